@@ -41,6 +41,23 @@ def lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.select("book_id", (F.col("_rn") - 1).cast("int").alias("i"), *columns)
 
 
+def documents_wide(spark: SparkSession, sf_dir: str) -> bool:
+    return wide(spark, sf_dir, "documents", "source")
+
+
+def f_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as pages of books (one per source), with a heading and a page reference put in."""
+    hot = documents_wide(spark, sf_dir)
+    base = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", "text")
+    rows = ranks.number_rows(base, ["book_id"], ["doc_id"], "_rn", hot)
+    rows = ranks.with_totals(rows, ["book_id"], {"_n": F.count(F.lit(1))}, "doc_id", hot)
+    i = F.col("_rn") - 1
+    return rows.select(
+        "book_id", i.cast("int").alias("scan_index"),
+        F.concat(F.lit("Chapter "), F.col("_rn").cast("string"), F.lit("\n"), F.col("text"), F.lit("\nsee page "),
+                 ((i * 7) % F.col("_n") + 1).cast("string")).alias("full_text"))
+
+
 def _number_columns() -> tuple[Column, Column, Column]:
     i, q = F.col("i"), F.col("l_quantity")
     value = (F.when(F.col("l_discount") >= 0.09, None).when(i.between(5, 11), i + 1).when(i < 5, None)
@@ -58,20 +75,30 @@ def f_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         value.alias("numeric_value"), kind.alias("number_type"), confidence.alias("confidence"))
 
 
+def f_text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and OCR confidence of the pages of :func:`f_numbers`."""
+    return lines(spark, sf_dir, "l_partkey", "l_discount").select(
+        "book_id", F.col("i").alias("scan_index"),
+        F.repeat(F.lit("word "), (F.col("l_partkey") % 15).cast("int")).alias("full_text"),
+        (30 + 700 * F.col("l_discount")).alias("language_confidence"),
+        (F.col("l_partkey") % 7 / 2.0).alias("processing_time"))
+
+
 def f_pages(numbers: DataFrame) -> DataFrame:
     return numbers.select("book_id", "scan_index", "original_name")
 
 
 def f_detected(numbers: DataFrame, contents: bool = True) -> DataFrame:
-    """Detected numbers in list order; pages with i % 97 = 40 list six of them."""
+    """Detected numbers in list order; i % 97 = 40 lists six of them, i % 89 = 60 two."""
     from quire.functions.numerals import roman_text
 
     listing = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: k * 9 + F.col("scan_index"))
     single = F.array(F.col("numeric_value"))
     many = (F.col("scan_index") % 97 == 40) if contents else F.lit(False)
+    pair = F.when(F.col("scan_index") % 89 == 60, F.array(F.col("numeric_value"), F.col("numeric_value") + 1))
     rows = numbers.select(
         "book_id", "scan_index", "number_type", "confidence",
-        F.posexplode(F.when(many, listing).otherwise(single)).alias("ord", "numeric_value"))
+        F.posexplode(F.when(many, listing).otherwise(F.coalesce(pair, single))).alias("ord", "numeric_value"))
     text = F.when(F.col("number_type") == "roman", roman_text(F.col("numeric_value"))).otherwise(
         F.col("numeric_value").cast("string"))
     return rows.where(F.col("numeric_value").isNotNull()).select(
@@ -86,6 +113,11 @@ VIEWS["f_lines"] = """
               l_partkey, l_shipdate, l_extendedprice) - 1 AS INTEGER) AS i, l.*
   FROM lineitem l"""
 
+VIEWS["f_text"] = """
+  SELECT source AS book_id, CAST(i AS INTEGER) AS scan_index,
+         'Chapter ' || (i + 1) || chr(10) || text || chr(10) || 'see page ' || ((i * 7) % n + 1) AS full_text
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)"""
+
 VIEWS["f_numbers"] = """
   SELECT book_id, i AS scan_index, book_id || '_Page_' || lpad(CAST(i + 1 AS VARCHAR), CAST(greatest(3, length(CAST(i + 1 AS VARCHAR))) AS INTEGER), '0') || '.jpg' AS original_name,
          CAST(CASE WHEN l_discount >= 0.09 THEN NULL WHEN i BETWEEN 5 AND 11 THEN i + 1 WHEN i < 5 THEN NULL
@@ -97,10 +129,10 @@ VIEWS["f_numbers"] = """
 
 VIEWS["f_detected"] = """
   SELECT book_id, scan_index, CAST(k AS INTEGER) AS ord, number_type,
-         CAST(CASE WHEN scan_index % 97 = 40 THEN k * 9 + scan_index ELSE numeric_value END AS INTEGER) AS numeric_value,
+         CAST(CASE WHEN scan_index % 97 = 40 THEN k * 9 + scan_index ELSE numeric_value + k END AS INTEGER) AS numeric_value,
          confidence
   FROM f_numbers, range(6) r(k)
-  WHERE (scan_index % 97 = 40 AND scan_index > 11) OR (scan_index % 97 <> 40 AND k = 0 AND numeric_value IS NOT NULL)"""
+  WHERE (scan_index % 97 = 40 AND scan_index > 11) OR (scan_index % 97 <> 40 AND (k = 0 OR (k = 1 AND scan_index % 89 = 60)) AND numeric_value IS NOT NULL)"""
 
 # decisions, written rule by rule as a union instead of one CASE
 VIEWS["f_page"] = """

@@ -11,7 +11,8 @@ ROMAN_DIGITS = [("m", 1000), ("d", 500), ("c", 100), ("l", 50), ("x", 10), ("v",
 ROMAN_PIECES = [(50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]
 
 # A whole word that is a strict numeral; the look-ahead keeps it from being empty.
-STRICT_ROMAN_WORD = (r"(?i)\b(?=[ivxlcdm])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\b")
+STRICT_ROMAN_WORD = (r"(?i)(?<![\p{L}\p{N}_])(?=[ivxlcdm])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+                     r"(?![\p{L}\p{N}_])")
 
 
 def roman_value(text: Column) -> Column:

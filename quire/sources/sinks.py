@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.plans import ranks
@@ -21,3 +21,110 @@ def output_names(ordered: DataFrame, wide: bool | None = None, extension: str =
     prefix = F.when(F.col("_head").rlike("^[0-9]+$"), F.col("_head")).otherwise(default_prefix)
     name = F.format_string(f"%s_%05d.{extension}", prefix, F.col("_rank").cast("int"))
     return rows.withColumn("output_name", name).drop("_head", "_rank")
+
+
+def confidence_class(confidence: Column) -> Column:
+    return F.when(confidence > 0.8, "high").when(confidence > 0.5, "medium").otherwise("low")
+
+
+def order_comparison(pages: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Original place beside final place for every page of either list."""
+    before = pages.select("book_id", "scan_index", (F.col("scan_index") + 1).alias("original_place"))
+    after = ordered.select("book_id", "scan_index", "assigned_position", "confidence")
+    return before.join(after, ["book_id", "scan_index"], "full_outer").select(
+        "book_id", "scan_index", "original_place", "assigned_position",
+        (F.col("assigned_position") - F.col("original_place")).alias("shift"),
+        confidence_class(F.col("confidence")).alias("confidence_class"))
+
+
+def page_details(ordered: DataFrame, detected: DataFrame, page_text: DataFrame) -> DataFrame:
+    """One JSON object per page: place, confidence, numbers, OCR facts.
+
+    A long book never becomes one object; the file sink writes one line per page
+    under its book's folder.
+    """
+    from quire.operators.confidence import word_count
+
+    numbers = detected.groupBy("book_id", "scan_index").agg(
+        F.sort_array(F.collect_list(F.struct(
+            "ord", "text", F.col("number_type").alias("type"), "numeric_value", "confidence"))).alias("_numbers"))
+    kept = F.when(F.col("has_number"), F.col("_numbers"))
+    listed = F.transform(F.coalesce(kept, F.array()), lambda n: F.struct(
+        n["text"].alias("text"), n["type"].alias("type"), n["numeric_value"].alias("numeric_value"),
+        n["confidence"].alias("confidence")))
+    return (ordered.join(numbers, ["book_id", "scan_index"], "left")
+            .join(page_text, ["book_id", "scan_index"], "left")
+            .select("book_id", "scan_index", F.struct(
+                F.col("original_name").alias("original_filename"), "assigned_position", "confidence",
+                F.col("rule").alias("reasoning"), listed.alias("detected_numbers"),
+                F.struct(F.length("full_text").alias("text_length"),
+                         word_count(F.col("full_text")).alias("word_count"),
+                         "language_confidence", "processing_time").alias("ocr_info")).alias("detail")))
+
+
+def shorten(text: Column, limit: int = 100) -> Column:
+    """Context shown in logs: the first ``limit`` characters and dots."""
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
+
+
+def log_headers(report: DataFrame, page_text: DataFrame) -> DataFrame:
+    """The summary part of the log, one row per book."""
+    time = page_text.groupBy("book_id").agg(F.sum("processing_time").alias("processing_time"))
+    return report.join(time, "book_id", "left").select(
+        "book_id", F.col("page_count").alias("total_pages"), "overall_confidence",
+        F.col("problem_pages").alias("pages_reviewed"), "processing_time")
+
+
+def summary_lines(ordered: DataFrame, report: DataFrame, advice: DataFrame, assessed: DataFrame) -> DataFrame:
+    """The text summary as (book_id, section, line_no, line); sort by section and line_no to print."""
+    lines = F.array_compact(F.array(
+        F.format_string("Total pages processed: %d", "page_count"),
+        F.format_string("Overall confidence: %.1f%%", "overall_confidence"),
+        F.format_string("Pages needing review: %d", "problem_pages"),
+        F.when(F.col("needs_human_review"), "HUMAN REVIEW RECOMMENDED").otherwise("Automatic ordering appears reliable"),
+        F.format_string("High confidence pages: %d", "high_pages"),
+        F.format_string("Medium confidence pages: %d", "medium_pages"),
+        F.format_string("Low confidence pages: %d", "low_pages"),
+        F.format_string("Numbering detection: %.1f%%", "numbering_confidence"),
+        F.format_string("Sequence quality: %.1f%%", F.col("sequence_confidence").cast("double"))))
+    head = report.select("book_id", F.lit("1 results").alias("section"),
+                         F.posexplode(lines).alias("line_no", "line"))
+    mark = F.when(F.col("confidence") > 0.8, "ok").when(F.col("confidence") > 0.5, "check").otherwise("unsure")
+    order = ordered.select(
+        "book_id", F.lit("2 order").alias("section"), F.col("assigned_position").alias("line_no"),
+        F.format_string("%3d. %s [%s]", "assigned_position", "original_name", mark).alias("line"))
+    first_ten = Window.partitionBy("book_id").orderBy("slot")
+    tips = (advice.withColumn("line_no", F.row_number().over(first_ten)).where(F.col("line_no") <= 10)
+            .select("book_id", F.lit("3 recommendations").alias("section"), "line_no",
+                    F.format_string("%s: %s", "title", "action").alias("line")))
+    from quire.operators.confidence import first_review_pages
+
+    review = first_review_pages(assessed, 10).select(
+        "book_id", F.lit("4 review").alias("section"), F.col("_rank").alias("line_no"),
+        F.format_string("%s (Position %d)", "original_name", "assigned_position").alias("line"))
+    return head.unionByName(order).unionByName(tips).unionByName(review)
+
+
+def write_outputs(outputs: dict[str, tuple[DataFrame, str]], folder: str) -> dict[str, bool]:
+    """Write the chosen outputs, each by book; ``outputs`` maps a name to (frame, 'json', 'text' or 'parquet').
+
+    A failed output does not stop the others; the run succeeded when all are true.
+    """
+    done: dict[str, bool] = {}
+    for name, (frame, kind) in outputs.items():
+        keys = ["book_id"] if "book_id" in frame.columns else []
+        if kind == "text":
+            frame = frame.select(*keys, "line")
+        try:
+            frame.write.mode("overwrite").partitionBy(*keys).format(kind).save(f"{folder}/{name}")
+            done[name] = True
+        except Exception:  # reported per output, as the caller asked for
+            done[name] = False
+    return done
+
+
+def write_samples(samples: DataFrame, folder: str) -> None:
+    """Training samples, one folder per lower-cased label; a blank label is stored as ``none``."""
+    label = F.lower(F.trim("label"))
+    (samples.withColumn("class_label", F.when(label == "", "none").otherwise(F.coalesce(label, F.lit("none"))))
+     .write.mode("append").partitionBy("class_label").parquet(folder))
