@@ -58,6 +58,30 @@ def f_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                  ((i * 7) % F.col("_n") + 1).cast("string")).alias("full_text"))
 
 
+def conversations_wide(spark: SparkSession, sf_dir: str) -> bool:
+    return wide(spark, sf_dir, "conversations", "conv_id")
+
+
+def f_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as books; a turn opens with the last three words of the turn before, reversed."""
+    from quire.functions.text import meaningful_words
+
+    own = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("book_id"), F.col("turn").cast("int").alias("scan_index"), "text")
+    tail = F.array_join(F.slice(F.reverse(meaningful_words(F.col("text"))), 1, 3), " ")
+    rows = ranks.last_seen(own.withColumn("_tail", tail), ["book_id"], "scan_index", "_tail", "_opening",
+                           conversations_wide(spark, sf_dir))
+    return rows.select("book_id", "scan_index", F.concat_ws(" ", "_opening", "text").alias("full_text"))
+
+
+def f_tail_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan order with every second page unsure."""
+    i = F.col("turn").cast("int")
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("book_id"), i.alias("scan_index"),
+        (i + 1).alias("assigned_position"), F.when(i % 2 == 1, 0.5).otherwise(0.95).alias("confidence"))
+
+
 def _number_columns() -> tuple[Column, Column, Column]:
     i, q = F.col("i"), F.col("l_quantity")
     value = (F.when(F.col("l_discount") >= 0.09, None).when(i.between(5, 11), i + 1).when(i < 5, None)
@@ -253,5 +277,5 @@ def oracle(view: str | list[str], sql: str) -> str:
 
     for name in [view] if isinstance(view, str) else view:
         visit(name)
-    heads = ",\n".join(f"{n} AS ({VIEWS[n]})" if n == "f_greedy" else f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order)
+    heads = ",\n".join(f"{n} AS ({VIEWS[n]})" if n.endswith("_greedy") else f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order)
     return f"WITH RECURSIVE {heads}\n{sql}"

@@ -32,14 +32,25 @@ def roman_value(text: Column) -> Column:
     return F.when(word.rlike("^[ivxlcdm]+$") & (total > 0), total).cast("int")
 
 
+def written_roman(number: int) -> str:
+    """Lower-case roman numeral of a plain Python integer, digits up to l."""
+    out = ""
+    for value, piece in ROMAN_PIECES:
+        out += piece * (number // value)
+        number %= value
+    return out
+
+
 def roman_text(number: Column) -> Column:
     """Lower-case roman numeral with digits up to l; empty for numbers below 1."""
-    rest, parts = number, []
-    for value, piece in ROMAN_PIECES:
-        times = F.greatest(F.floor(rest / value), F.lit(0)).cast("int")
-        parts.append(F.repeat(F.lit(piece), times))
-        rest = rest - times * value
-    return F.concat(*parts)
+    n = F.greatest(number, F.lit(0)).cast("int")
+    ones = F.array(*[F.lit(written_roman(k)) for k in range(10)])
+    below_fifty = F.pmod(n, F.lit(50))
+    return F.concat(
+        F.repeat(F.lit("l"), F.floor(n / 50).cast("int")),
+        F.when(below_fifty >= 40, "xl").otherwise(""),
+        F.repeat(F.lit("x"), F.floor(F.pmod(below_fifty, F.lit(40)) / 10).cast("int")),
+        F.get(ones, F.pmod(n, F.lit(10))))
 
 
 def is_loose_roman(text: Column) -> Column:
@@ -48,6 +59,5 @@ def is_loose_roman(text: Column) -> Column:
 
 def number_type(text: Column, upper: int) -> Column:
     """'roman' for the written numerals 1..``upper``, else 'arabic'."""
-    value = roman_value(text)
-    canonical = (F.lower(text) == roman_text(value)) & value.between(1, upper)
-    return F.when(F.coalesce(canonical, F.lit(False)), "roman").otherwise("arabic")
+    known = [written_roman(k) for k in range(1, upper + 1)]
+    return F.when(F.lower(text).isin(known), "roman").otherwise("arabic")

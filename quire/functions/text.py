@@ -158,10 +158,11 @@ def reference_class(reference: Column) -> Column:
 
 def references(pages: DataFrame, text: str = "full_text") -> DataFrame:
     """All matches of each reference pattern with the number they name."""
-    found = F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({pattern})"), F.lit(1)),
-                    lambda m, k=k: F.struct(F.lit(k).alias("pattern_no"), m.alias("reference")))
-        for k, pattern in enumerate(REFERENCE_PATTERNS)]))
+    def matches(number: int, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"(?i)({pattern})"), F.lit(1))
+        return F.transform(found, lambda m: F.struct(F.lit(number).alias("pattern_no"), m.alias("reference")))
+
+    found = F.flatten(F.array(*[matches(k, p) for k, p in enumerate(REFERENCE_PATTERNS)]))
     rows = pages.select("book_id", "scan_index", F.posexplode(found).alias("ord", "_r"))
     return rows.select(
         "book_id", "scan_index", "ord", "_r.pattern_no", "_r.reference",
