@@ -52,15 +52,15 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     if not _decide(df, group, wide):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     rows = fix(df.sort(*group, *order)
-               .withColumn("_id", F.monotonically_increasing_id())
-               .withColumn("_part", F.shiftright("_id", 33)))
-    spans = rows.groupBy(*group, "_part").agg(
-        F.min("_id").alias("_low"), F.count("*").alias("_size"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    return (rows.join(spans, [*group, "_part"])
-            .withColumn(name, (F.col("_id") - F.col("_low") + F.col("_before") + 1).cast("int"))
-            .drop("_id", "_part", "_low", "_before"))
+               .withColumn("__id", F.monotonically_increasing_id())
+               .withColumn("__part", F.shiftright("__id", 33)))
+    spans = rows.groupBy(*group, "__part").agg(
+        F.min("__id").alias("__low"), F.count("*").alias("__size"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+    return (rows.join(spans, [*group, "__part"])
+            .withColumn(name, (F.col("__id") - F.col("__low") + F.col("__before") + 1).cast("int"))
+            .drop("__id", "__part", "__low", "__before"))
 
 
 def running(df: DataFrame, group: Sequence[str], key: str, values: dict[str, tuple[str, Column]],
@@ -75,22 +75,22 @@ def running(df: DataFrame, group: Sequence[str], key: str, values: dict[str, tup
     if not _decide(df, group, wide):
         w = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: aggs[how](value).over(w) for name, (how, value) in values.items()})
-    df = fix(df.withColumns({f"_in_{name}": value for name, (_, value) in values.items()})
-             .withColumn("_chunk", _chunk(key)))
-    inside = Window.partitionBy(*group, "_chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*group, "_chunk").agg(
-        *[aggs[how](f"_in_{name}").alias(f"_t_{name}") for name, (how, _) in values.items()])
-    carry = totals.select(*group, "_chunk", *[
-        aggs[how](f"_t_{name}").over(earlier).alias(f"_c_{name}") for name, (how, _) in values.items()])
-    out = (df.withColumns({f"_l_{name}": aggs[how](f"_in_{name}").over(inside)
+    df = fix(df.withColumns({f"__in_{name}": value for name, (_, value) in values.items()})
+             .withColumn("__chunk", _chunk(key)))
+    inside = Window.partitionBy(*group, "__chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*group, "__chunk").agg(
+        *[aggs[how](f"__in_{name}").alias(f"__t_{name}") for name, (how, _) in values.items()])
+    carry = totals.select(*group, "__chunk", *[
+        aggs[how](f"__t_{name}").over(earlier).alias(f"__c_{name}") for name, (how, _) in values.items()])
+    out = (df.withColumns({f"__l_{name}": aggs[how](f"__in_{name}").over(inside)
                            for name, (how, _) in values.items()})
-           .join(carry, [*group, "_chunk"]))
+           .join(carry, [*group, "__chunk"]))
     for name, (how, _) in values.items():
-        local, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")
+        local, before = F.col(f"__l_{name}"), F.col(f"__c_{name}")
         both = F.coalesce(before + local, local, before) if how == "sum" else F.greatest(before, local)
-        out = out.withColumn(name, both).drop(f"_in_{name}", f"_l_{name}", f"_c_{name}")
-    return out.drop("_chunk")
+        out = out.withColumn(name, both).drop(f"__in_{name}", f"__l_{name}", f"__c_{name}")
+    return out.drop("__chunk")
 
 
 def last_seen(df: DataFrame, group: Sequence[str], key: str, value: str, name: str,
@@ -100,23 +100,23 @@ def last_seen(df: DataFrame, group: Sequence[str], key: str, value: str, name: s
     if not _decide(df, group, wide):
         w = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    df = fix(df.withColumn("_chunk", _chunk(key)))
-    inside = Window.partitionBy(*group, "_chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    df = fix(df.withColumn("__chunk", _chunk(key)))
+    inside = Window.partitionBy(*group, "__chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     final = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(key)))
-    carry = (df.groupBy(*group, "_chunk").agg(final.alias("_final"))
-             .withColumn("_carry", F.last("_final", ignorenulls=True).over(earlier)).drop("_final"))
-    return (df.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
-            .join(carry, [*group, "_chunk"])
-            .withColumn(name, F.coalesce("_local", "_carry"))
-            .drop("_chunk", "_local", "_carry"))
+    carry = (df.groupBy(*group, "__chunk").agg(final.alias("__final"))
+             .withColumn("__carry", F.last("__final", ignorenulls=True).over(earlier)).drop("__final"))
+    return (df.withColumn("__local", F.last(value, ignorenulls=True).over(inside))
+            .join(carry, [*group, "__chunk"])
+            .withColumn(name, F.coalesce("__local", "__carry"))
+            .drop("__chunk", "__local", "__carry"))
 
 
 def next_seen(df: DataFrame, group: Sequence[str], key: str, value: str, name: str,
               wide: bool | None = None) -> DataFrame:
     """First non-null ``value`` on a later row; mirror of :func:`last_seen`."""
-    mirrored = df.withColumn("_mirror", -F.col(key).cast("long"))
-    return last_seen(mirrored, group, "_mirror", value, name, wide).drop("_mirror")
+    mirrored = df.withColumn("__mirror", -F.col(key).cast("long"))
+    return last_seen(mirrored, group, "__mirror", value, name, wide).drop("__mirror")
 
 
 def attach(df: DataFrame, small: DataFrame, group: Sequence[str], spread: str,
@@ -129,9 +129,9 @@ def attach(df: DataFrame, small: DataFrame, group: Sequence[str], spread: str,
     group = list(group)
     if not _decide(df, group, wide):
         return df.join(small, group, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (df.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS)))
-            .join(salted, [*group, "_salt"], how).drop("_salt"))
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (df.withColumn("__salt", F.pmod(F.hash(spread), F.lit(SALTS)))
+            .join(salted, [*group, "__salt"], how).drop("__salt"))
 
 
 def with_totals(df: DataFrame, group: Sequence[str], totals: dict[str, Column], spread: str,

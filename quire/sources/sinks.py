@@ -108,13 +108,17 @@ def summary_lines(ordered: DataFrame, report: DataFrame, advice: DataFrame, asse
 def write_outputs(outputs: dict[str, tuple[DataFrame, str]], folder: str) -> dict[str, bool]:
     """Write the chosen outputs, each by book; ``outputs`` maps a name to (frame, 'json', 'text' or 'parquet').
 
-    A failed output does not stop the others; the run succeeded when all are true.
+    Rows of a book are brought together for few files, and a hot book is split
+    again by size (rebalance). A failed output does not stop the others; the run
+    succeeded when all are true.
     """
     done: dict[str, bool] = {}
     for name, (frame, kind) in outputs.items():
         keys = ["book_id"] if "book_id" in frame.columns else []
         if kind == "text":
             frame = frame.select(*keys, "line")
+        if keys:
+            frame = frame.hint("rebalance", *keys)
         try:
             frame.write.mode("overwrite").partitionBy(*keys).format(kind).save(f"{folder}/{name}")
             done[name] = True
