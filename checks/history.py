@@ -71,11 +71,11 @@ def f_images(spark, sf_dir):
 
 
 @q("scan_profile", "f_lines", """
-SELECT CAST(doc_id AS VARCHAR) AS origin, 64 AS width, h AS height, round((h * 64 - n) / (h * 64), 6) AS white_share
+SELECT CAST(doc_id AS VARCHAR) AS origin, 64 AS width, h AS height, h * 64 - n AS white_pixels
 FROM (SELECT doc_id, octet_length(encode(text)) AS n, CAST(ceil(octet_length(encode(text)) / 64) AS INTEGER) AS h FROM documents) WHERE n > 0""")
 def scan_profile(spark, sf_dir):
-    return s.quality_rule(s.blank_rule(s.scan_profile(f_images(spark, sf_dir)))).select(
-        "origin", "width", "height", F.round("white_share", 6).alias("white_share"))
+    pixels = F.round(F.col("white_share") * F.col("width") * F.col("height")).cast("long")
+    return s.scan_profile(f_images(spark, sf_dir)).select("origin", "width", "height", pixels.alias("white_pixels"))
 
 
 @q("scan_quality")
@@ -429,12 +429,14 @@ def label_statistics(spark, sf_dir):
     return d.label_statistics(f_labels(spark, sf_dir))
 
 
-@q("dataset_issues", "f_labels", """
-SELECT 'Class ''' || label || ''' has only ' || n || ' samples (need 10+)' AS issue FROM (SELECT label, count(*) AS n FROM f_labels GROUP BY 1) WHERE n < 10
-UNION ALL SELECT 'Class imbalance: max=' || hi || ', min=' || lo FROM (SELECT max(n) AS hi, min(n) AS lo FROM (SELECT count(*) AS n FROM f_labels GROUP BY label)) WHERE hi > 10 * lo
-UNION ALL SELECT 'Only ' || n || ' images (recommend 1000+)' FROM (SELECT count(*) AS n FROM f_labels) WHERE n < 500""")
+@q("dataset_issues", None, """
+WITH k AS (SELECT p_brand || ' size ' || p_size AS label, count(*) AS n FROM part GROUP BY 1)
+SELECT 'Class ''' || label || ''' has only ' || n || ' samples (need 10+)' AS issue FROM k WHERE n < 10
+UNION ALL SELECT 'Class imbalance: max=' || max(n) || ', min=' || min(n) FROM k HAVING max(n) > 10 * min(n)
+UNION ALL SELECT 'Only ' || sum(n) || ' images (recommend 1000+)' FROM k HAVING sum(n) < 500""")
 def dataset_issues(spark, sf_dir):
-    return d.dataset_issues(f_labels(spark, sf_dir).withColumnRenamed("label", "class_label"))
+    label = F.concat("p_brand", F.lit(" size "), F.col("p_size").cast("string"))
+    return d.dataset_issues(fx.table(spark, sf_dir, "part").select(label.alias("class_label")))
 
 
 @q("class_weights", "f_lines", "SELECT CAST(label AS VARCHAR) AS class_label, count(*) AS samples, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM embeddings GROUP BY label")

@@ -53,7 +53,8 @@ def test_shift_is_learned():
 
 
 def test_session_windows_stream_equals_batch(spark, tmp_path):
-    sessions = f_sessions(spark, SMALL).select("session_id", "ts", "pages", "seconds", "success", "user_id")
+    sessions = f_sessions(spark, SMALL).select(
+        "session_id", F.col("ts").cast("timestamp").alias("ts"), "pages", "seconds", "success", "user_id")
     stream = replay(spark, sessions, str(tmp_path / "sessions"), 3, "session_id")
     query = (jobs.session_stream(stream).writeStream.format("memory").queryName("windows").outputMode("update")
              .option("checkpointLocation", str(tmp_path / "state")).start())
