@@ -46,42 +46,68 @@ def _first(*rules: tuple[Column, float]) -> Column:
     return expr
 
 
-def score_arabic(boxes: DataFrame, score_scale: float = 1.0) -> DataFrame:
-    """Candidates of 1 to 3 digits, scored by place."""
-    region, text = F.col("region"), F.btrim("text", F.lit(" \t\r\n"))
-    found = F.regexp_extract_all(text, F.lit(r"\b([0-9]{1,3})\b"), F.lit(1))
-    rows = (boxes.withColumn("text", text).where(plausible_text(F.col("text")))
-            .select("*", F.posexplode(found).alias("cand_ord", "candidate"))
-            .withColumn("number", F.col("candidate").cast("int")).where(F.col("number").between(1, 999)))
+def _arabic_matches() -> Column:
+    found = F.regexp_extract_all("text", F.lit(r"\b([0-9]{1,3})\b"), F.lit(1))
+    return F.transform(found, lambda m: F.struct(F.lit("arabic").alias("kind"), m.alias("candidate")))
+
+
+def _roman_matches() -> Column:
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([ivxlcdm]{1,10})\b"), F.lit(1)))
+    return F.transform(found, lambda m: F.struct(F.lit("roman").alias("kind"), m.alias("candidate")))
+
+
+def _arabic_score(score_scale: float) -> Column:
+    region = F.col("region")
     base = F.col("conf") * score_scale * 0.9
     doubtful = (F.col("number") > 200) & ~region.isin("top_left", "top_right", "top_center", "bottom_center")
     place = _first(
         (region.isin("edge_top_left", "edge_top_right", "edge_bottom_right"), 55),
         (region.startswith("edge_"), 40), (region.startswith("full_edge_"), 30),
         (region.isin("top_left", "top_right"), 25), (region.isin("top_center", "bottom_center"), 15), (_has("top"), 10))
-    score = (F.when(doubtful, base * 0.4).otherwise(base) + place + _first((_has("right"), 5))
-             + _first((F.col("text") == F.col("candidate"), 10)))
-    return rows.withColumns({"kind": F.lit("arabic"), "confidence": F.least(score, F.lit(CAP))})
+    return (F.when(doubtful, base * 0.4).otherwise(base) + place + _first((_has("right"), 5))
+            + _first((F.col("text") == F.col("candidate"), 10)))
 
 
-def score_roman(boxes: DataFrame, score_scale: float = 1.0) -> DataFrame:
-    """Roman candidates 1..50; a numeral inside a longer valid one of the same text is dropped."""
-    region, text = F.col("region"), F.btrim("text", F.lit(" \t\r\n"))
-    low = F.lower("text")
-    found = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b([ivxlcdm]{1,10})\b"), F.lit(1)))
-    rows = (boxes.withColumn("text", text).where(plausible_text(F.col("text")))
-            .withColumn("_all", found).select("*", F.posexplode("_all").alias("cand_ord", "candidate"))
-            .withColumn("number", roman_value(F.col("candidate"))))
-    one, size = F.col("candidate"), F.length("candidate")
-    alone = (size > 1) | (one == "x") | (one.isin("i", "v") & (F.length("text") <= 3))
-    longer = F.exists("_all", lambda o: (F.length(o) > size) & o.contains(one) & roman_value(o).between(1, 50))
-    rows = rows.where(F.col("number").between(1, 50) & alone & ~longer)
+def _roman_score(score_scale: float) -> Column:
+    region, one, size = F.col("region"), F.col("candidate"), F.length("candidate")
     edge = _first((region.startswith("edge_") & _has("top"), 55), (region.startswith("edge_"), 45),
                   (region.startswith("full_edge_"), 35), (region.isin("top_left", "top_right"), 30),
                   (region == "top_center", 20))
-    score = (F.col("conf") * score_scale * 0.95 + edge + _first((size >= 3, 15), (size == 2, 10))
-             + _first((_has("top"), 10)) + _first((_has("left"), 5)) + _first((low == one, 15)))
-    return rows.drop("_all").withColumns({"kind": F.lit("roman"), "confidence": F.least(score, F.lit(CAP))})
+    return (F.col("conf") * score_scale * 0.95 + edge + _first((size >= 3, 15), (size == 2, 10))
+            + _first((_has("top"), 10)) + _first((_has("left"), 5)) + _first((F.lower("text") == one, 15)))
+
+
+def _roman_stands() -> Column:
+    """A numeral 1..50 that is no stray letter and not part of a longer valid one of its text."""
+    one, size = F.col("candidate"), F.length("candidate")
+    alone = (size > 1) | (one == "x") | (one.isin("i", "v") & (F.length("text") <= 3))
+    longer = (F.size("_all") > 1) & F.exists("_all", lambda o: (
+        (o["kind"] == "roman") & (F.length(o["candidate"]) > size) & o["candidate"].contains(one)
+        & roman_value(o["candidate"]).between(1, 50)))
+    return F.col("number").between(1, 50) & alone & ~longer
+
+
+def _scored(boxes: DataFrame, matches: Column, score_scale: float) -> DataFrame:
+    """Candidates of the given matches: kind, candidate, number and capped score."""
+    rows = (boxes.withColumn("text", F.btrim("text", F.lit(" \t\r\n"))).where(plausible_text(F.col("text")))
+            .withColumn("_all", matches)
+            .select("*", F.posexplode("_all").alias("cand_ord", "_c")).select("*", "_c.kind", "_c.candidate"))
+    arabic = F.col("kind") == "arabic"
+    rows = rows.withColumn("number", F.when(arabic, F.col("candidate").try_cast("int")).otherwise(
+        roman_value(F.col("candidate"))))
+    stands = F.when(arabic, F.col("number").between(1, 999)).otherwise(_roman_stands())
+    score = F.when(arabic, _arabic_score(score_scale)).otherwise(_roman_score(score_scale))
+    return rows.where(stands).drop("_all", "_c").withColumn("confidence", F.least(score, F.lit(CAP)))
+
+
+def score_arabic(boxes: DataFrame, score_scale: float = 1.0) -> DataFrame:
+    """Candidates of 1 to 3 digits, scored by place."""
+    return _scored(boxes, _arabic_matches(), score_scale)
+
+
+def score_roman(boxes: DataFrame, score_scale: float = 1.0) -> DataFrame:
+    """Roman candidates 1..50; a numeral inside a longer valid one of the same text is dropped."""
+    return _scored(boxes, _roman_matches(), score_scale)
 
 
 def edge_boost() -> Column:
@@ -100,8 +126,8 @@ def region_weight(region: Column) -> Column:
 
 
 def candidates(boxes: DataFrame, score_scale: float = 1.0) -> DataFrame:
-    """All scored candidates; ``place`` orders them as the scan meets them."""
-    both = score_arabic(boxes, score_scale).unionByName(score_roman(boxes, score_scale))
+    """All scored candidates in one pass; ``place`` orders them as the scan meets them."""
+    both = _scored(boxes, F.concat(_arabic_matches(), _roman_matches()), score_scale)
     met = F.struct("scan_rank", "block_index", (F.col("kind") == "roman").alias("second"),
                    F.when(F.col("kind") == "roman", -F.length("candidate")).otherwise(0).alias("longest"), "cand_ord")
     return both.withColumn("confidence", F.col("confidence") + edge_boost()).withColumn("place", met)
@@ -115,14 +141,24 @@ def early_exit(found: DataFrame, sure: float = 95.0) -> DataFrame:
             .where(F.col("_stop").isNull() | (F.col("scan_rank") <= F.col("_stop"))).drop("_stop"))
 
 
-def best_candidate(found: DataFrame) -> DataFrame:
-    """The candidate with the highest weighted confidence; the first met on ties."""
+def best_candidate(found: DataFrame, sure: float = 95.0) -> DataFrame:
+    """The candidate with the highest weighted confidence up to the early exit; the first met on ties.
+
+    Each region is first reduced to its first and its best candidate, so at most
+    18 rows per page reach the second step, and candidates are read once.
+    """
     weighted = found.withColumn("weighted", F.col("confidence") * region_weight(F.col("region")))
-    pick = F.min_by(F.struct("candidate", "number", "kind", "region", "weighted"),
-                    F.struct(-F.col("weighted"), "place")).alias("_best")
-    return weighted.groupBy(*PAGE).agg(pick).select(
-        *PAGE, F.col("_best.candidate").alias("text"), "_best.number", "_best.kind", "_best.region",
-        F.col("_best.weighted").alias("confidence"))
+    order = F.struct((-F.col("weighted")).alias("low"), "place")
+    regions = weighted.groupBy(*PAGE, "scan_rank").agg(
+        F.min_by("confidence", "place").alias("_first"), F.min(order).alias("_order"),
+        F.min_by(F.struct("candidate", "number", "kind", "region", "weighted"), order).alias("_best"))
+    listed = regions.groupBy(*PAGE).agg(
+        F.min(F.when(F.col("_first") >= sure, F.col("scan_rank"))).alias("_stop"),
+        F.collect_list(F.struct("_order", "scan_rank", "_best")).alias("_all"))
+    kept = F.filter("_all", lambda r: F.col("_stop").isNull() | (r["scan_rank"] <= F.col("_stop")))
+    return listed.withColumn("_pick", F.array_min(kept)["_best"]).select(
+        *PAGE, F.col("_pick.candidate").alias("text"), "_pick.number", "_pick.kind", "_pick.region",
+        F.col("_pick.weighted").alias("confidence"))
 
 
 def repair_numbers(best: DataFrame, total_pages: Column | None = None) -> DataFrame:

@@ -158,8 +158,9 @@ def _take_slots(rows: DataFrame, wide: bool | None) -> DataFrame:
     running count over both kinds of rows merged; no position is ever enumerated.
     """
     key = F.when(F.col("_asks"), 2 * F.col("rank")).otherwise(2 * F.col("_below") + 1).cast("long")
-    rows = ranks.number_rows(rows.withColumn("_key", key), BOOK, ["_key", "scan_index"], "_turn", wide)
-    rows = ranks.running(rows, BOOK, "_turn", {"_skip": ("sum", F.col("_taken").cast("int"))}, wide)
+    order = ["_key", "scan_index"]
+    rows = ranks.number_rows(rows.withColumn("_key", key), BOOK, order, "_turn", wide)
+    rows = ranks.running(rows, BOOK, "_turn", {"_skip": ("sum", F.col("_taken").cast("int"))}, wide, order)
     return rows.withColumn("slot", (F.col("rank") + F.col("_skip")).cast("int"))
 
 
@@ -181,15 +182,16 @@ def allocate(wishes: DataFrame, order: list[Column], wide: bool | None = None,
     wish, positive = F.col("desired"), F.greatest("desired", F.lit(0))
     rows = (wishes.withColumnRenamed("assigned_position", "desired")
             .withColumn("_part", F.lit(True) if part is None else part))
-    rows = ranks.number_rows(rows, group, ["desired", *order], "_row", wide)
-    rows = ranks.last_seen(rows, group, "_row", "desired", "_before", wide)
+    order = ["desired", *order]
+    rows = ranks.number_rows(rows, group, order, "_row", wide)
+    rows = ranks.last_seen(rows, group, "_row", "desired", "_before", wide, order)
     rows = rows.withColumn("_first", ~wish.eqNullSafe(F.col("_before")))
     rows = ranks.running(rows, group, "_row", {
         "_distinct": ("sum", F.col("_first").cast("int")),
-        "_positive": ("sum", (F.col("_first") & (wish >= 1)).cast("int"))}, wide)
+        "_positive": ("sum", (F.col("_first") & (wish >= 1)).cast("int"))}, wide, order)
     rows = rows.withColumns({"_below": positive - F.col("_positive"), "_k": F.col("_row") - F.col("_distinct")})
     rows = ranks.running(rows, group, "_row", {
-        "_peak": ("max", F.when(~F.col("_first"), F.col("_below") - F.col("_k")))}, wide)
+        "_peak": ("max", F.when(~F.col("_first"), F.col("_below") - F.col("_k")))}, wide, order)
     rows = rows.withColumns({
         "rank": F.col("_k") + 1 + F.col("_peak"),
         "_asks": F.col("_part") & ~F.col("_first"),
@@ -221,16 +223,17 @@ def order_pages(decisions: DataFrame, wide: bool | None = None) -> DataFrame:
     """
     rows = _settle(decisions, wide).withColumn("_place", F.col("assigned_position"))
     group, taken = ["book_id", "part"], F.col("part") & (F.col("_place") >= 1)
-    rows = ranks.number_rows(
-        rows, group, [F.when(F.col("part"), F.col("_place")), "scan_index"], "rank", wide)
-    rows = ranks.running(rows, group, "rank", {"_positive": ("sum", taken.cast("int"))}, wide)
+    rows = rows.withColumn("_order", F.when(F.col("part"), F.col("_place")).otherwise(F.col("scan_index")))
+    order = ["_order", "scan_index"]
+    rows = ranks.number_rows(rows, group, order, "rank", wide)
+    rows = ranks.running(rows, group, "rank", {"_positive": ("sum", taken.cast("int"))}, wide, order)
     rows = rows.withColumns({
         "_below": F.greatest("_place", F.lit(0)) - F.col("_positive"),
         "_asks": ~F.col("part"), "_taken": taken})
     rows = _take_slots(rows, wide)
     position = F.when(F.col("_asks"), F.col("slot")).otherwise(F.col("_place"))
     return rows.withColumns({"assigned_position": position, "moved": position != F.col("desired")}).drop(
-        "_place", "rank", "_positive", "_below", "_asks", "_taken", "_key", "_turn", "_skip", "slot")
+        "_place", "_order", "rank", "_positive", "_below", "_asks", "_taken", "_key", "_turn", "_skip", "slot")
 
 
 def validate_order(ordered: DataFrame, wide: bool | None = None) -> DataFrame:

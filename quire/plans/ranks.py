@@ -64,16 +64,17 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
 
 
 def running(df: DataFrame, group: Sequence[str], key: str, values: dict[str, tuple[str, Column]],
-            wide: bool | None = None) -> DataFrame:
+            wide: bool | None = None, order: Sequence[Column | str] | None = None) -> DataFrame:
     """Running totals up to and with this row.
 
     ``values`` maps a new column to ("sum" or "max", expression); ``key`` is an
-    integer, unique per group.
+    integer, unique per group. When ``key`` is the row number of an ``order``, the
+    plain form sorts by that order, which the rows already have.
     """
     group = list(group)
     aggs = {"sum": F.sum, "max": F.max}
     if not _decide(df, group, wide):
-        w = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*group).orderBy(*(order or [key])).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: aggs[how](value).over(w) for name, (how, value) in values.items()})
     df = fix(df.withColumns({f"__in_{name}": value for name, (_, value) in values.items()})
              .withColumn("__chunk", _chunk(key)))
@@ -94,11 +95,11 @@ def running(df: DataFrame, group: Sequence[str], key: str, values: dict[str, tup
 
 
 def last_seen(df: DataFrame, group: Sequence[str], key: str, value: str, name: str,
-              wide: bool | None = None) -> DataFrame:
+              wide: bool | None = None, order: Sequence[Column | str] | None = None) -> DataFrame:
     """Last non-null ``value`` on an earlier row; ``key`` as in :func:`running`."""
     group = list(group)
     if not _decide(df, group, wide):
-        w = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*group).orderBy(*(order or [key])).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
     df = fix(df.withColumn("__chunk", _chunk(key)))
     inside = Window.partitionBy(*group, "__chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
