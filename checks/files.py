@@ -181,15 +181,41 @@ def region_assign(spark, sf_dir):
     return cand.region_assign(f_blocks(spark, sf_dir)).select("book_id", "scan_index", "block_index", "region", "scan_rank")
 
 
-@q("region_boxes", "f_lines", """
-SELECT p_partkey AS page, 'top_right' AS region, w - 200 AS x1, 0 AS y1, w AS x2, 200 AS y2 FROM (SELECT *, 2000 + p_size * 10 AS w, 3000 + p_size * 7 AS h FROM part)
-UNION ALL SELECT p_partkey, 'edge_bottom_center', w // 2 - 150, h - 100, w // 2 + 150, h FROM (SELECT *, 2000 + p_size * 10 AS w, 3000 + p_size * 7 AS h FROM part)
-UNION ALL SELECT p_partkey, 'middle_left', 0, h // 2 - 100, 200, h // 2 + 100 FROM (SELECT *, 2000 + p_size * 10 AS w, 3000 + p_size * 7 AS h FROM part)
-UNION ALL SELECT p_partkey, 'full_edge_right', w - 100, 0, w, h FROM (SELECT *, 2000 + p_size * 10 AS w, 3000 + p_size * 7 AS h FROM part)
-UNION ALL SELECT p_partkey, 'corner_bottom_right', w - CAST(floor(w * 0.15) AS INTEGER), h - CAST(floor(h * 0.15) AS INTEGER), w, h FROM (SELECT *, 2000 + p_size * 10 AS w, 3000 + p_size * 7 AS h FROM part)
-UNION ALL SELECT p_partkey, 'manual_top_center', w // 2 - 100, 0, w // 2 + 100, 200 FROM (SELECT *, 2000 + p_size * 10 AS w, 3000 + p_size * 7 AS h FROM part)""")
+def _boxes_sql() -> str:
+    """All 28 rectangles of a w x h page as plain arithmetic."""
+    def side(name, across, middle):
+        if "center" in name:
+            return f"w // 2 - {middle // 2}", f"w // 2 + {middle // 2}"
+        return ("0", str(across)) if "left" in name else (f"w - {across}", "w")
+
+    def level(name, down, middle):
+        if "middle" in name:
+            return f"h // 2 - {middle // 2}", f"h // 2 + {middle // 2}"
+        return ("0", str(down)) if "top" in name else (f"h - {down}", "h")
+
+    rows = {}
+    for name in REGIONS:
+        if name.startswith("full_edge_"):
+            rows[name] = {"top": "0, 0, w, 100", "bottom": "0, h - 100, w, h", "left": "0, 0, 100, h", "right": "w - 100, 0, w, h"}[name[10:]]
+            continue
+        size = 100 if name.startswith("edge_") else 200
+        (x1, x2), (y1, y2) = side(name, size, 300), level(name, size, 200)
+        rows[name] = f"{x1}, {y1}, {x2}, {y2}"
+    for name in ("top_left", "top_right", "bottom_left", "bottom_right"):
+        x, y = "CAST(floor(w * 0.15) AS INTEGER)", "CAST(floor(h * 0.15) AS INTEGER)"
+        rows["corner_" + name] = (f"0, {'0' if 'top' in name else f'h - {y}'}, {x}, {y if 'top' in name else 'h'}" if "left" in name
+                                  else f"w - {x}, {'0' if 'top' in name else f'h - {y}'}, w, {y if 'top' in name else 'h'}")
+    for name in ("top_left", "top_right", "bottom_left", "bottom_right", "top_center", "bottom_center"):
+        (x1, x2), (y1, y2) = side(name, 200, 200), level(name, 200, 200)
+        rows["manual_" + name] = f"{x1}, {y1}, {x2}, {y2}"
+    size = "SELECT p_partkey, 2000 + p_size * 10 AS w, 3000 + p_size * 7 AS h FROM part"
+    parts = [f"SELECT p_partkey AS page, '{name}' AS region, {box} FROM ({size})" for name, box in rows.items()]
+    parts[0] = f"SELECT p_partkey AS page, '{REGIONS[0]}' AS region, 0 AS x1, 0 AS y1, 100 AS x2, 100 AS y2 FROM ({size})"
+    return " UNION ALL ".join(parts)
+
+
+@q("region_boxes", "f_lines", _boxes_sql())
 def region_boxes(spark, sf_dir):
-    """The kinds of rectangle, one of each family; all 18 are covered by region_assign."""
     pages = fx.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("page"), (2000 + F.col("p_size") * 10).alias("w"), (3000 + F.col("p_size") * 7).alias("h"))
     w, h = F.col("w"), F.col("h")
@@ -198,8 +224,8 @@ def region_boxes(spark, sf_dir):
         return pages.select("page", F.explode(boxes).alias("b")).select(
             "page", F.concat(F.lit(prefix), F.col("b.region")).alias("region"), "b.x1", "b.y1", "b.x2", "b.y2")
 
-    every = named(g.region_boxes(w, h), "").unionByName(named(g.corner_boxes(w, h), "corner_")).unionByName(named(g.manual_boxes(w, h), "manual_"))
-    return every.where(F.col("region").isin("top_right", "edge_bottom_center", "middle_left", "full_edge_right", "corner_bottom_right", "manual_top_center"))
+    return named(g.region_boxes(w, h), "").unionByName(named(g.corner_boxes(w, h), "corner_")).unionByName(
+        named(g.manual_boxes(w, h), "manual_"))
 
 
 @q("rescale_boxes", "f_lines", """

@@ -172,7 +172,7 @@ def references(pages: DataFrame, text: str = "full_text") -> DataFrame:
 
 def words(text: Column) -> Column:
     """Whitespace separated words; empty array for blank text."""
-    return F.filter(F.split(text, r"[ \t\n\r\f]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[ \t\n\r\f]+"), "")
 
 
 def meaningful_words(text: Column) -> Column:
