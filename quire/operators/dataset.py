@@ -79,6 +79,7 @@ def training_samples(detections: DataFrame) -> DataFrame:
 
 def stratified_split(samples: DataFrame, key: str, label: str, seed: int = 42, wide: bool | None = None) -> DataFrame:
     """Adds ``part``: 80 % of each label to 'train' by hash order; the same rows on every run."""
+    wide = ranks.settle_width(samples, [label], wide)
     rows = ranks.with_totals(samples, [label], {"_n": F.count(F.lit(1))}, key, wide)
     rows = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
     rows = ranks.number_rows(rows, [label], ["_h", key], "_r", wide)

@@ -64,7 +64,7 @@ def recent_sessions(sessions: DataFrame, keep: int = 100) -> DataFrame:
 def running_time(sessions: DataFrame, wide: bool | None = None) -> DataFrame:
     """Mean seconds of the sessions of a size class up to each session."""
     rows = sessions.where("success").withColumn("category", size_category(F.col("pages")))
-    wide = ranks.is_wide(rows, ["category"]) if wide is None else wide
+    wide = ranks.settle_width(rows, ["category"], wide)
     rows = ranks.number_rows(rows, ["category"], ["ts", "session_id"], "nth", wide)
     rows = ranks.running(rows, ["category"], "nth", {"_sum": ("sum", F.col("seconds").cast("decimal(18,4)"))}, wide)
     return rows.withColumn("mean_seconds", F.col("_sum").cast("double") / F.col("nth")).drop("_sum")

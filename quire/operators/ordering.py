@@ -73,6 +73,7 @@ def _context_facts(t: Thresholds) -> dict[str, Column]:
 def book_context(numbered: DataFrame, wide: bool | None = None,
                  t: Thresholds = THRESHOLDS) -> DataFrame:
     """What kind of numbering each book has, over all its pages."""
+    wide = ranks.settle_width(numbered, BOOK, wide)
     pages = ranks.with_totals(numbered, BOOK, {"total_pages": F.count(F.lit(1))}, "scan_index", wide)
     context = pages.groupBy("book_id").agg(
         F.first("total_pages").alias("total_pages"),
@@ -91,6 +92,7 @@ def book_context(numbered: DataFrame, wide: bool | None = None,
 
 def decide(numbered: DataFrame, wide: bool | None = None, t: Thresholds = THRESHOLDS) -> DataFrame:
     """Desired position and confidence of every page; the first rule that holds wins."""
+    wide = ranks.settle_width(numbered, BOOK, wide)
     facts = _context_facts(t)
     needed = {name: facts[name] for name in ("roman_count", "front_matter")}
     pages = ranks.with_totals(numbered, BOOK, {"total_pages": F.count(F.lit(1))}, "scan_index", wide)
@@ -177,6 +179,7 @@ def allocate(wishes: DataFrame, order: list[Column], wide: bool | None = None,
     position of rank ``k + 1 + max over j <= k of (f(p_j) - j)``; f(p) is p minus
     the number of distinct desired positions up to p.
     """
+    wide = ranks.settle_width(wishes, BOOK, wide)
     keep = [c for c in wishes.columns if c != "assigned_position"]
     group = ["book_id", "_part"]
     wish, positive = F.col("desired"), F.greatest("desired", F.lit(0))
@@ -212,6 +215,7 @@ def _settle(decisions: DataFrame, wide: bool | None) -> DataFrame:
 
 def resolve_conflicts(decisions: DataFrame, wide: bool | None = None) -> DataFrame:
     """Unique positions for the pages that take part."""
+    wide = ranks.settle_width(decisions, BOOK, wide)
     return _settle(decisions.where(to_resolve()), wide).drop("part")
 
 
@@ -221,6 +225,7 @@ def order_pages(decisions: DataFrame, wide: bool | None = None) -> DataFrame:
     Pages that take no part in conflict resolution go, in scan order, to the
     lowest free positions. ``part`` tells the two kinds apart.
     """
+    wide = ranks.settle_width(decisions, BOOK, wide)
     rows = _settle(decisions, wide).withColumn("_place", F.col("assigned_position"))
     group, taken = ["book_id", "part"], F.col("part") & (F.col("_place") >= 1)
     rows = rows.withColumn("_order", F.when(F.col("part"), F.col("_place")).otherwise(F.col("scan_index")))
@@ -278,6 +283,7 @@ def nearest_free(taken: DataFrame, preferred: DataFrame, wide: bool | None = Non
     Runs of taken positions are folded to (start, end) islands, so each wish is
     answered from the island around its neighbours instead of by probing.
     """
+    wide = ranks.settle_width(taken, BOOK, wide)
     taken = taken.select("book_id", "position").distinct()
     rowed = ranks.running(taken, BOOK, "position", {"_m": ("sum", F.lit(1))}, wide)
     isle = (F.col("position") - F.col("_m")).alias("_isle")

@@ -32,7 +32,8 @@ def is_wide(df: DataFrame, group: Sequence[str], limit: int | None = None) -> bo
     return not counts.where(F.col("_n") > bound).isEmpty()
 
 
-def _decide(df: DataFrame, group: Sequence[str], wide: bool | None) -> bool:
+def settle_width(df: DataFrame, group: Sequence[str], wide: bool | None) -> bool:
+    """``wide`` itself, or the measured answer; operators of several steps ask once."""
     return is_wide(df, group) if wide is None else wide
 
 
@@ -49,7 +50,7 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     same row ids; then one offset per (group, partition).
     """
     group = list(group)
-    if not _decide(df, group, wide):
+    if not settle_width(df, group, wide):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     rows = fix(df.sort(*group, *order)
                .withColumn("__id", F.monotonically_increasing_id())
@@ -73,7 +74,7 @@ def running(df: DataFrame, group: Sequence[str], key: str, values: dict[str, tup
     """
     group = list(group)
     aggs = {"sum": F.sum, "max": F.max}
-    if not _decide(df, group, wide):
+    if not settle_width(df, group, wide):
         w = Window.partitionBy(*group).orderBy(*(order or [key])).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: aggs[how](value).over(w) for name, (how, value) in values.items()})
     df = fix(df.withColumns({f"__in_{name}": value for name, (_, value) in values.items()})
@@ -98,7 +99,7 @@ def last_seen(df: DataFrame, group: Sequence[str], key: str, value: str, name: s
               wide: bool | None = None, order: Sequence[Column | str] | None = None) -> DataFrame:
     """Last non-null ``value`` on an earlier row; ``key`` as in :func:`running`."""
     group = list(group)
-    if not _decide(df, group, wide):
+    if not settle_width(df, group, wide):
         w = Window.partitionBy(*group).orderBy(*(order or [key])).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
     df = fix(df.withColumn("__chunk", _chunk(key)))
@@ -128,7 +129,7 @@ def attach(df: DataFrame, small: DataFrame, group: Sequence[str], spread: str,
     are salted by the hash of ``spread``, so no task receives a whole hot group.
     """
     group = list(group)
-    if not _decide(df, group, wide):
+    if not settle_width(df, group, wide):
         return df.join(small, group, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (df.withColumn("__salt", F.pmod(F.hash(spread), F.lit(SALTS)))
@@ -143,7 +144,7 @@ def with_totals(df: DataFrame, group: Sequence[str], totals: dict[str, Column],
     same group. Wide form: a partial aggregate, joined back with salt.
     """
     group = list(group)
-    if not _decide(df, group, wide):
+    if not settle_width(df, group, wide):
         return df.withColumns({name: value.over(Window.partitionBy(*group)) for name, value in totals.items()})
     df = fix(df)
     facts = df.groupBy(*group).agg(*[value.alias(name) for name, value in totals.items()])
