@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import language, quality, toxicity
+from quire.llm import language, neardup, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
@@ -26,5 +26,27 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(*_read(spark, sf_dir, "documents", "labels"))
 
 
-QUERIES = {"op3_quality": op3_quality, "op6_language": op6_language, "op8_toxicity": op8_toxicity}
-ORACLES: dict[str, str] = {}
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are near copies of which?"""
+    setting = neardup.Settings(width=3, percent=85)
+    return neardup.near_duplicates(*_read(spark, sf_dir, "documents"), setting).drop("node")
+
+
+QUERIES = {"op3_quality": op3_quality, "op6_language": op6_language, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op9_neardup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+                  ELSE array_to_string(w[i:i + 2], ' ') END AS s
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id
+                   GROUP BY ALL),
+        link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT v, b FROM reach JOIN link ON r = a),
+        low AS (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY v)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept
+        FROM documents LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)""",
+}
