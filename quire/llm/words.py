@@ -94,14 +94,21 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def split(texts: pa.Array) -> Words:
-    """The words of a slice of ``slices``; null and empty texts have none."""
+_LETTER = np.ones(256, bool)
+_LETTER[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = False
+
+
+def split(texts: pa.Array, letters: bool = False) -> Words:
+    """The words of a slice of ``slices``; null and empty texts have none.
+
+    With ``letters``, ASCII punctuation and control bytes part words as white space does.
+    """
     raw, offsets = raw_bytes(texts)
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(len(texts), np.zeros(0, np.uint64), none, none, none, raw, offsets)
-    solid = ~_SPACE[raw]
+    solid = _LETTER[raw] if letters else ~_SPACE[raw]
     border = np.zeros(n + 1, bool)
     border[offsets] = True
     start = solid.copy()
