@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, language, neardup, quality, toxicity
+from quire.llm import decontam, language, neardup, packing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
@@ -16,6 +16,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(*_read(spark, sf_dir, "documents", "labels"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that packing counts tokens by."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sequence of 2048 tokens does every piece of every document go to?"""
+    return packing.pack(*_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold passages of the benchmark?"""
     return decontam.contaminated(*_read(spark, sf_dir, "documents", "benchmark"))
@@ -37,7 +49,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(*_read(spark, sf_dir, "documents"), setting).drop("node")
 
 
-QUERIES = {"op3_quality": op3_quality, "op5_decontam": op5_decontam, "op6_language": op6_language, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup}
+QUERIES = {"op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
