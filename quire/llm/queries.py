@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, language, neardup, packing, quality, toxicity
+from quire.llm import decontam, language, neardup, packing, quality, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
@@ -38,6 +38,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(*_read(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Should every page's url be let in?"""
+    return urls.judge(*_read(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How toxic is every document?"""
     return toxicity.toxicity(*_read(spark, sf_dir, "documents", "labels"))
@@ -49,10 +54,71 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(*_read(spark, sf_dir, "documents"), setting).drop("node")
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup}
+QUERIES = {"op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+def _fits(rule: str) -> str:
+    host, start = rule.split("/", 1)
+    return f"((host = '{host}' OR suffix(host, '.{host}')) AND prefix(path, '/{start}'))"
+
+
+def _by_rule(values: dict[str, str]) -> str:
+    """CASE over the rules, longest first."""
+    return "CASE " + " ".join(f"WHEN {_fits(r)} THEN '{values[r]}'" for r in sorted(values, key=lambda r: (-len(r), r))) + " END"
+
+
+def _merge_level(source: str, made: str, d: int) -> str:
+    """One level of merging in the tree of url templates, as CTEs."""
+    up = ["host", *(f"t{k}" for k in range(1, d))]
+    below = [f"t{k}" for k in range(d + 1, 5)]
+    u, b = ", ".join(up), ", ".join(below)
+    rest = ", ".join(c for c in ("t1", "t2", "t3", "t4") if c != f"t{d}")
+    return f"""
+        {made}_c AS (SELECT {u}, t{d}, {b}, sum(n) n, sum(labelled) l, sum(blocked) b FROM {source} GROUP BY ALL),
+        {made}_b AS (SELECT {u}, t{d}, sum(n) bn, sum(l) bl, sum(b) bb FROM {made}_c GROUP BY ALL),
+        {made}_p AS (SELECT {u}, {b}, sum(n) cn FROM {made}_c GROUP BY ALL),
+        {made}_t AS (SELECT * FROM (SELECT {u}, sum(cn) pn, count(*) - 1 df FROM {made}_p GROUP BY ALL)
+                     JOIN (SELECT {u}, sum(bl) pl, sum(bb) pb, count(*) branches FROM {made}_b GROUP BY ALL) USING ({u})),
+        {made}_x AS (SELECT {u}, t{d}, sum(n::DOUBLE * n * pn / cn) x FROM {made}_c JOIN {made}_p USING ({u}, {b})
+                     JOIN (SELECT {u}, pn FROM {made}_t) USING ({u}) GROUP BY ALL),
+        {made}_n AS (SELECT {u}, t{d}, CASE WHEN branches > 1 AND bl > 0 AND x / bn - bn <= df + 3 * sqrt(2.0 * df) + 1e-6
+                         AND abs(bb - bl * (pb / pl)) <= 2 * sqrt(bl * (pb / pl) * (1 - pb / pl)) + 0.5
+                         THEN '~' ELSE t{d} END AS new
+                     FROM {made}_b JOIN {made}_x USING ({u}, t{d}) JOIN {made}_t USING ({u})),
+        {made} AS (SELECT host, s1, s2, s3, s4, n, labelled, blocked, {rest}, new AS t{d}
+                   FROM {source} JOIN {made}_n USING ({u}, t{d})),"""
+
+
+def _wild_level(source: str, made: str, d: int) -> str:
+    up = ", ".join(["host", *(f"t{k}" for k in range(1, d))])
+    return f"""
+        {made}_e AS (SELECT {up}, s{d}, sum(n) en FROM {source} GROUP BY ALL),
+        {made}_w AS (SELECT {up}, sum(en) whole, count(*) kinds FROM {made}_e GROUP BY ALL),
+        {made} AS (SELECT {source}.*, CASE WHEN kinds >= 8 AND en < 0.05 * whole AND s{d} <> '' THEN '*' ELSE s{d} END AS t{d}
+                   FROM {source} JOIN {made}_e USING ({up}, s{d}) JOIN {made}_w USING ({up})),"""
+
+
 ORACLES: dict[str, str] = {
+    "op7_urls": f"""
+        WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        r AS (SELECT *, {_by_rule({r: r for _, r in urls.RULES})} AS rule, {_by_rule({r: v for v, r in urls.RULES})} AS ruled,
+              list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM p),
+        o AS (SELECT *, CASE WHEN regexp_matches(coalesce(seg[1], ''), '[0-9]') THEN '*' ELSE coalesce(seg[1], '') END AS s1,
+              CASE WHEN regexp_matches(coalesce(seg[2], ''), '[0-9]') THEN '*' ELSE coalesce(seg[2], '') END AS s2,
+              CASE WHEN regexp_matches(coalesce(seg[3], ''), '[0-9]') THEN '*' ELSE coalesce(seg[3], '') END AS s3,
+              CASE WHEN len(seg) > 3 THEN '**' ELSE '' END AS s4 FROM r),
+        g0 AS (SELECT host, s1, s2, s3, s4, count(*) n, count(ruled) labelled, count(*) FILTER (ruled = 'block') blocked FROM o GROUP BY ALL),
+        {_wild_level("g0", "g1", 1)}{_wild_level("g1", "g2", 2)}{_wild_level("g2", "g3", 3)}
+        g4 AS (SELECT *, s4 AS t4 FROM g3),
+        {_merge_level("g4", "m1", 1)}{_merge_level("m1", "m2", 2)}
+        q AS (SELECT host, t1, t2, t3, t4, (sum(blocked) + 1) / (sum(labelled) + 2) >= 0.8 AS reject FROM m2 GROUP BY ALL),
+        j AS (SELECT host, s1, s2, s3, s4, reject, host || CASE WHEN t1 <> '' THEN '/' || t1 ELSE '' END
+              || CASE WHEN t2 <> '' THEN '/' || t2 ELSE '' END || CASE WHEN t3 <> '' THEN '/' || t3 ELSE '' END
+              || CASE WHEN t4 <> '' THEN '/' || t4 ELSE '' END AS template FROM m2 JOIN q USING (host, t1, t2, t3, t4))
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict, template
+        FROM o JOIN j USING (host, s1, s2, s3, s4)""",
     "op9_neardup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
