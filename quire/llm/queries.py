@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, language, neardup, packing, quality, toxicity, urls
+from quire.llm import decontam, fixity, language, neardup, packing, quality, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
@@ -54,7 +54,13 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(*_read(spark, sf_dir, "documents"), setting).drop("node")
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup}
+def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which WARC records of a damaged replica of the pages are not those of the first one?"""
+    whole = fixity.records(*_read(spark, sf_dir, "pages"))
+    return fixity.audit(whole, fixity.damaged(whole))
+
+
+QUERIES = {"op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_fixity": op10_fixity}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 def _fits(rule: str) -> str:
@@ -99,6 +105,15 @@ def _wild_level(source: str, made: str, d: int) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op10_fixity": """
+        WITH r AS (SELECT page_id, floor(page_id / 4096)::BIGINT AS archive, (page_id * 7919) % 101 AS turn,
+                   strlen('WARC/1.0' || 'WARC-Type: response' || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+                       || 'WARC-Target-URI: ' || coalesce(url, '') || 'Content-Length: ' || strlen(coalesce(html, ''))
+                       || coalesce(html, '')) + 16 AS length FROM pages),
+        o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM r)
+        SELECT archive::VARCHAR AS archive, place::BIGINT AS "offset", length::BIGINT AS length,
+               CASE WHEN turn = 11 THEN 'missing' ELSE 'changed' END AS kind
+        FROM o WHERE turn IN (3, 7, 11)""",
     "op7_urls": f"""
         WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
