@@ -9,9 +9,10 @@ independent keys need. A pair of similarity s is missed by all keys with probabi
 below (3 rows, 10 bands).
 
 Equal sets are one node, so exact copies never meet each other. Inside a key, nodes meet one
-centre first; once confirmed links have merged what they can, only nodes of different
-components that share a key still meet, all of them, so no key is capped. Sizes that rule a
-link out, and sketches that agree far too little for one (more than five standard
+centre first, then in ``rounds`` further turns a centre drawn anew for each key; what
+confirmed links have merged by then needs no more comparing. What is still apart though it shares a key
+meets by the order of its rarest shingles, which finds every link that is left without listing
+the pairs of a key, so no key is capped. Sizes that rule a link out, and sketches that agree far too little for one (more than five standard
 deviations), are put aside before the texts are compared. Components come from repeated
 contraction in Spark; nothing of the corpus is gathered on the driver.
 
@@ -40,6 +41,9 @@ class Settings:
     percent: int = 80
     rows: int = 3
     bands: int = 10
+    rounds: int = 1
+    order_bits: int = 18
+    order_sample: int = 20_000
     broadcast_nodes: int = 2_000_000
 
     @property
@@ -274,10 +278,18 @@ def near_duplicates(docs: DataFrame, setting: Settings = Settings()) -> DataFram
     shared = (keys.groupBy("key").agg(F.count("*").alias("_c"), F.min(F.struct("node", "n")).alias("_low"))
               .where("_c > 1").select("key", F.col("_low.node").alias("centre"), F.col("_low.n").alias("m")))
     met = store.keep(keys.join(shared, "key").select("key", "node", "n", "centre", "m"))
-    first = store.keep(met.where((F.col("node") != F.col("centre")) & _may_link(setting))
+    pairs = store.keep(met.where((F.col("node") != F.col("centre")) & _may_link(setting))
                        .select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    links = _confirmed(docs, nodes, first, setting)
-    links = links.unionByName(_confirmed(docs, nodes, _rest(met, components(links), first, setting), setting))
+    met, tried = met.select("key", "node", "n"), pairs
+    links = _confirmed(docs, nodes, pairs, setting)
+    for turn in range(setting.rounds + 1):
+        apart = _apart(met, components(links))
+        if turn < setting.rounds:
+            pairs = store.keep(_to_centres(apart, turn, setting).join(tried, ["a", "b"], "left_anti"))
+        else:
+            pairs = store.keep(_rest(docs, nodes, apart, setting).join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(_confirmed(docs, nodes, pairs, setting))
+        tried = tried.unionByName(pairs)
     roots = components(links)
     named = (nodes.select("node", "doc_id").join(roots, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
@@ -288,18 +300,79 @@ def near_duplicates(docs: DataFrame, setting: Settings = Settings()) -> DataFram
                     F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "node"))
 
 
-def _rest(met: DataFrame, roots: DataFrame, tried: DataFrame, setting: Settings) -> DataFrame:
-    """Pairs that share a key, may link, are still apart, and were not compared yet."""
-    placed = (met.select("key", "node", "n").join(roots, "node", "left")
-              .withColumn("root", F.coalesce("root", "node")))
-    apart = (placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
-             .where("_a <> _b").select("key"))
-    open_ = store.keep(placed.join(apart, "key", "left_semi"))
-    left = open_.select("key", F.col("node").alias("a"), "n", F.col("root").alias("_ra"))
-    right = open_.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("_rb"))
-    return store.keep(
-        left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & _may_link(setting))
-        .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, n, root of the keys whose nodes are not yet one component."""
+    placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = (placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
+               .where("_a <> _b").select("key"))
+    return store.keep(placed.join(several, "key", "left_semi").select("key", "node", "n", "root"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _to_centres(apart: DataFrame, turn: int, setting: Settings) -> DataFrame:
+    """Each node with one node per key, drawn anew for every key and turn, of another component."""
+    drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "n", "root")).alias("_c")
+    centres = apart.groupBy("key").agg(drawn).select(
+        "key", F.col("_c.node").alias("a"), F.col("_c.n").alias("m"), F.col("_c.root").alias("_root"))
+    return _ordered(apart.join(centres, "key").where((F.col("root") != F.col("_root")) & _may_link(setting))
+                    .select("a", F.col("node").alias("b")))
+
+
+def _frequencies(texts: DataFrame, setting: Settings) -> np.ndarray:
+    """About how often shingles occur, by hash bucket, from a bounded sample of texts. It only
+    decides the order of shingles in ``_rest``; any order gives the same pairs."""
+    bits = setting.order_bits
+
+    def count(batches):
+        for batch in batches:
+            for _, piece in words.slices(batch["text"]):
+                _, h = shingles(piece, setting.width)
+                bucket, times = np.unique((h >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(times)], ["bucket", "n"])
+
+    found = (store.sample_of(texts, "node", setting.order_sample).select("text")
+             .mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
+    out = np.zeros(1 << bits, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _rest(docs: DataFrame, nodes: DataFrame, apart: DataFrame, setting: Settings) -> DataFrame:
+    """Every pair of nodes still apart that may be a link, without listing the pairs of a key.
+
+    With shingles in one order for all, rarest first, linked sets share a shingle among the first
+    ``n - ceil(s * n) + 1`` of both; the places of the first shared one bound the overlap.
+    """
+    own = store.keep(apart.select("node", "n", "root").distinct())
+    pairs = own.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    texts = store.keep(_texts(docs, nodes, pairs, setting))
+    sent = docs.sparkSession.sparkContext.broadcast(_frequencies(texts, setting))
+    bits, percent = setting.order_bits, setting.percent
+
+    def prefixes(batches):
+        often = sent.value
+        for batch in batches:
+            node = batch["node"].to_numpy()
+            for begin, piece in words.slices(batch["text"]):
+                row, h = shingles(piece, setting.width)
+                order = np.lexsort((h, often[(h >> np.uint64(64 - bits)).astype(np.int64)], row))
+                h, size = h[order], np.bincount(row, minlength=len(piece))
+                place = np.arange(len(h)) - (np.cumsum(size) - size)[row]
+                early = place <= (size - -(-percent * size // 100))[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[early].view(np.int64)), pa.array(node[begin + row[early]]), pa.array(place[early])],
+                    ["shingle", "node", "place"])
+
+    rows = (texts.select("node", "text").mapInArrow(prefixes, "shingle long, node long, place long").join(own, "node"))
+    left = rows.select("shingle", F.col("node").alias("a"), "n", F.col("root").alias("_ra"), F.col("place").alias("_i"))
+    right = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("_rb"), F.col("place").alias("_j"))
+    most = F.least(F.col("n") - F.col("_i"), F.col("m") - F.col("_j"))
+    return left.join(right, "shingle").where(
+        (F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb"))
+        & (100 * most >= percent * (F.col("n") + F.col("m") - most))).select("a", "b").distinct()
 
 
 def drop_copies(docs: DataFrame, setting: Settings = Settings()) -> DataFrame:
