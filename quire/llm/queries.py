@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, fixity, hpyp, language, neardup, packing, quality, toxicity, urls
+from quire.llm import ann, decontam, fixity, hpyp, language, neardup, packing, quality, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
@@ -16,6 +16,11 @@ def op1_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpyp.score(*_read(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ten vectors are nearest to every hundredth one?"""
+    return ann.nearest(*_read(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How good is every document?"""
     return quality.quality(*_read(spark, sf_dir, "documents", "labels"))
@@ -65,7 +70,7 @@ def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(whole, fixity.damaged(whole))
 
 
-QUERIES = {"op1_hpyp": op1_hpyp, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_fixity": op10_fixity}
+QUERIES = {"op1_hpyp": op1_hpyp, "op2_ann": op2_ann, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_fixity": op10_fixity}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 def _fits(rule: str) -> str:
