@@ -85,7 +85,8 @@ def f_tail_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _number_columns() -> tuple[Column, Column, Column]:
     i, q = F.col("i"), F.col("l_quantity")
     value = (F.when(F.col("l_discount") >= 0.09, None).when(i.between(5, 11), i + 1).when(i < 5, None)
-             .when(q <= 2, 4000 + i).when(q == 3, 7 * (i + 1)).when(q <= 5, i - 12).otherwise(i - 11)).cast("int")
+             .when((q == 1) & (i % 2 == 0), 9780632046584).when(q <= 2, 12000 + i).when(q == 3, 7 * (i + 1))
+             .when(q <= 5, i - 12).otherwise(i - 11)).cast("long")
     kind = F.when(i.between(5, 11), "roman").otherwise("arabic")
     return value, kind, 40 + 700 * F.col("l_tax")
 
@@ -145,15 +146,15 @@ VIEWS["f_text"] = """
 VIEWS["f_numbers"] = """
   SELECT book_id, i AS scan_index, book_id || '_Page_' || lpad(CAST(i + 1 AS VARCHAR), CAST(greatest(3, length(CAST(i + 1 AS VARCHAR))) AS INTEGER), '0') || '.jpg' AS original_name,
          CAST(CASE WHEN l_discount >= 0.09 THEN NULL WHEN i BETWEEN 5 AND 11 THEN i + 1 WHEN i < 5 THEN NULL
-              WHEN l_quantity <= 2 THEN 4000 + i WHEN l_quantity = 3 THEN 7 * (i + 1)
-              WHEN l_quantity <= 5 THEN i - 12 ELSE i - 11 END AS INTEGER) AS numeric_value,
+              WHEN l_quantity = 1 AND i % 2 = 0 THEN 9780632046584 WHEN l_quantity <= 2 THEN 12000 + i WHEN l_quantity = 3 THEN 7 * (i + 1)
+              WHEN l_quantity <= 5 THEN i - 12 ELSE i - 11 END AS BIGINT) AS numeric_value,
          CASE WHEN i BETWEEN 5 AND 11 THEN 'roman' ELSE 'arabic' END AS number_type,
          40 + 700 * l_tax AS confidence
   FROM f_lines"""
 
 VIEWS["f_detected"] = """
   SELECT book_id, scan_index, CAST(k AS INTEGER) AS ord, number_type,
-         CAST(CASE WHEN scan_index % 97 = 40 THEN k * 9 + scan_index ELSE numeric_value + k END AS INTEGER) AS numeric_value,
+         CAST(CASE WHEN scan_index % 97 = 40 THEN k * 9 + scan_index ELSE numeric_value + k END AS BIGINT) AS numeric_value,
          confidence
   FROM f_numbers, range(6) r(k)
   WHERE (scan_index % 97 = 40 AND scan_index > 11) OR (scan_index % 97 <> 40 AND (k = 0 OR (k = 1 AND scan_index % 89 = 60)) AND numeric_value IS NOT NULL)"""

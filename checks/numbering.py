@@ -24,8 +24,8 @@ add_view("f_values", """
          min(scan_index * 1000 + ord) AS first_at FROM f_detected GROUP BY ALL""", ["f_detected"])
 add_view("f_profile", """
   SELECT book_id, number_type, first_at, len(vals) AS numbers, len(uniq) AS distinct_values, uniq[1] AS first_number, uniq[-1] AS last_number,
-         CASE WHEN uniq[-1] - uniq[1] + 1 > 10000 THEN 0 ELSE len(list_filter(range(uniq[1], uniq[-1] + 1), lambda x: NOT list_contains(uniq, x))) END AS gap_count,
-         len(list_filter(range(uniq[1], CASE WHEN uniq[-1] - uniq[1] > 10000 THEN least(uniq[1] + 1000, uniq[-1] + 1) ELSE uniq[-1] + 1 END), lambda x: NOT list_contains(uniq, x))) AS missing_count,
+         uniq[-1] - uniq[1] + 1 - len(uniq) AS gap_count,
+         coalesce(list_sum(list_transform(list_zip(uniq[:-2], uniq[2:]), lambda z: z[2] - z[1] - 1)), 0)::BIGINT AS missing_count,
          (SELECT count(*) FROM (SELECT unnest(vals) AS v GROUP BY 1 HAVING count(*) > 1)) AS duplicate_values,
          len(vals) - len(uniq) AS extra_copies,
          len(list_filter(list_zip(uniq[:-2], uniq[2:]), lambda z: z[2] - z[1] = 1)) AS consecutive_pairs,
@@ -34,7 +34,7 @@ add_view("f_profile", """
   FROM f_values""", ["f_values"])
 add_view("f_sconf", """
   SELECT *, least(100.0, greatest(0.0, CASE number_type WHEN 'arabic' THEN 70 WHEN 'roman' THEN 80 ELSE 50 END
-      + CASE WHEN distinct_values > 1 THEN 20.0 * distinct_values / (last_number - first_number + 1) + 15.0 * consecutive_pairs / (distinct_values - 1) ELSE 0 END
+      + CASE WHEN distinct_values > 1 THEN distinct_values / (last_number - first_number + 1) * 20 + consecutive_pairs / (distinct_values - 1) * 15 ELSE 0 END
       - 5 * extra_copies + CASE WHEN first_number BETWEEN 1 AND 10 AND last_number <= 1000 THEN 10 ELSE 0 END)) AS sequence_confidence,
     CASE WHEN distinct_values = 1 THEN 'single_' || number_type WHEN min_step = 1 AND max_step = 1 THEN 'sequential_' || number_type
          WHEN min_step = max_step THEN 'arithmetic_' || number_type || '_step_' || min_step
@@ -73,11 +73,11 @@ def primary(spark, sf_dir):
 
 
 @q("sequence_profile", "f_profile", """
-SELECT book_id, number_type, numbers, distinct_values, first_number, last_number, gap_count, duplicate_values, extra_copies, consecutive_pairs FROM f_profile""")
+SELECT book_id, number_type, numbers, distinct_values, first_number, last_number, gap_count, missing_count, duplicate_values, extra_copies, consecutive_pairs, min_step, max_step FROM f_profile""")
 def sequence_profile(spark, sf_dir):
     return profile(spark, sf_dir).select(
         "book_id", "number_type", "numbers", "distinct_values", "first_number", "last_number",
-        "gap_count", "duplicate_values", "extra_copies", "consecutive_pairs")
+        "gap_count", "missing_count", "duplicate_values", "extra_copies", "consecutive_pairs", "min_step", "max_step")
 
 
 @q("sequence_confidence", "f_sconf", "SELECT book_id, number_type, round(sequence_confidence, 6) AS sequence_confidence FROM f_sconf")
@@ -123,9 +123,9 @@ def numbering_analysis(spark, sf_dir):
 
 
 @q("missing_numbers", "f_values", """
-SELECT book_id, number_type, CAST(v AS INTEGER) AS missing FROM (
-  SELECT book_id, number_type, uniq, unnest(range(uniq[1], uniq[-1] + 1)) AS v FROM f_values WHERE uniq[-1] - uniq[1] + 1 <= 10000)
-WHERE NOT list_contains(uniq, v)""")
+SELECT book_id, number_type, z[1] + 1 AS first_missing, z[2] - 1 AS last_missing, z[2] - z[1] - 1 AS missing_count FROM (
+  SELECT book_id, number_type, unnest(list_zip(uniq[:-2], uniq[2:])) AS z FROM f_values)
+WHERE z[2] - z[1] > 1""")
 def missing_numbers(spark, sf_dir):
     return n.missing_numbers(detected(spark, sf_dir), fx.lines_wide(spark, sf_dir))
 

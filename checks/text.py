@@ -36,7 +36,7 @@ def roman_sql(column: str) -> str:
 
 
 @q("extract_arabic", "f_tokens", """
-SELECT book_id, scan_index, CAST(o - 1 AS INTEGER) AS ord, text, try_cast(text AS INTEGER) AS numeric_value, 80.0::DOUBLE AS confidence
+SELECT book_id, scan_index, CAST(o - 1 AS INTEGER) AS ord, text, least(coalesce(try_cast(text AS BIGINT), 1000000000000000000), 1000000000000000000) AS numeric_value, 80.0::DOUBLE AS confidence
 FROM (SELECT book_id, scan_index, unnest(arabic) AS text, generate_subscripts(arabic, 1) AS o FROM f_tokens)""")
 def extract_arabic(spark, sf_dir):
     return t.text_numbers(fx.f_text(spark, sf_dir)).where("number_type = 'arabic'").drop("number_type")
@@ -60,7 +60,7 @@ def text_numbers(spark, sf_dir):
 
 
 @q("extract_hybrid", "f_text", r"""
-SELECT book_id, scan_index, 'thousands' AS form, x AS text, 'arabic' AS number_type, try_cast(regexp_replace(x, '[,.]', '', 'g') AS INTEGER) AS numeric_value
+SELECT book_id, scan_index, 'thousands' AS form, x AS text, 'arabic' AS number_type, try_cast(regexp_replace(x, '[,.]', '', 'g') AS BIGINT) AS numeric_value
 FROM (SELECT book_id, scan_index, unnest(regexp_extract_all(full_text, '\b[0-9]{1,3}(?:[,.][0-9]{3})*\b')) AS x FROM f_text)
 UNION ALL SELECT book_id, scan_index, 'decimal', x, 'arabic', try_cast(split_part(x, '.', 1) AS INTEGER) FROM (SELECT book_id, scan_index, unnest(regexp_extract_all(full_text, '\b[0-9]+\.[0-9]+\b')) AS x FROM f_text)
 UNION ALL SELECT book_id, scan_index, 'chapter_page', x, 'hybrid', try_cast(regexp_extract(x, '[0-9]+$') AS INTEGER) FROM (SELECT book_id, scan_index, unnest(regexp_extract_all(full_text, '(?i)\b(?:Chapter|Ch\.?)\s*[0-9]+[,\s]+(?:Page|p\.?)\s*[0-9]+\b')) AS x FROM f_text)

@@ -41,9 +41,14 @@ REFERENCE_PATTERNS = [
 WORD_EDGE = '.,!?;:"()[]'
 
 
+#: Digit strings above this count as this: far above any page, and sums of a few still fit 64 bits.
+LARGEST_NUMBER = 10**18
+
+
 def whole_number(text: Column) -> Column:
-    """Integer value of a digit string; null when it does not fit."""
-    return text.try_cast("int")
+    """Value of a digit string as a long, ``LARGEST_NUMBER`` for longer ones; null without digits only."""
+    own = F.coalesce(text.try_cast("long"), F.when(text.rlike("^[0-9]+$"), LARGEST_NUMBER))
+    return F.least(own, F.lit(LARGEST_NUMBER))
 
 
 def arabic_matches(text: Column) -> Column:
@@ -128,7 +133,7 @@ def heading_number(heading: Column) -> Column:
     """First digits, else the first roman word."""
     digits = F.regexp_extract(heading, "([0-9]+)", 1)
     roman = F.regexp_extract(heading, r"(?<![\p{L}\p{N}_])([IVXLCDMivxlcdm]+)(?![\p{L}\p{N}_])", 1)
-    return F.when(digits != "", digits.try_cast("int")).otherwise(F.when(roman != "", roman_value(roman)))
+    return F.when(digits != "", whole_number(digits)).otherwise(F.when(roman != "", roman_value(roman)))
 
 
 def headings(pages: DataFrame, text: str = "full_text") -> DataFrame:
@@ -167,7 +172,7 @@ def references(pages: DataFrame, text: str = "full_text") -> DataFrame:
     return rows.select(
         "book_id", "scan_index", "ord", "_r.pattern_no", "_r.reference",
         reference_class(F.col("_r.reference")).alias("reference_type"),
-        F.regexp_extract("_r.reference", "([0-9]+)", 1).try_cast("int").alias("referenced_number"))
+        whole_number(F.regexp_extract("_r.reference", "([0-9]+)", 1)).alias("referenced_number"))
 
 
 def words(text: Column) -> Column:

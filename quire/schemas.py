@@ -22,7 +22,7 @@ DETECTED_NUMBERS = T.StructType([
     T.StructField("ord", T.IntegerType(), False),
     T.StructField("text", T.StringType()),
     T.StructField("number_type", T.StringType()),
-    T.StructField("numeric_value", T.IntegerType()),
+    T.StructField("numeric_value", T.LongType()),
     T.StructField("confidence", T.DoubleType()),
 ])
 
@@ -67,8 +67,6 @@ class Thresholds:
     outlier_factor: int = 5
     contents_numbers: int = 5
     protected_pages: int = 5
-    gap_range_limit: int = 10000
-    gap_sample: int = 1000
     auto_order_minimum: float = 90.0
     refine_below: float = 0.7
     strong_relation: float = 0.7
@@ -78,11 +76,12 @@ class Thresholds:
 THRESHOLDS = Thresholds()
 
 # Fixed value: words that carry no meaning for continuity and similarity.
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by is are was were be been being "
-    "have has had do does did will would could should may might can this that these "
-    "those i you he she it we they"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "can", "this", "that", "these", "those",
+    "i", "you", "he", "she", "it", "we", "they",
+]
 
 # The 18 scan regions in edge-first order.
 REGIONS = [

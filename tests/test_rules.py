@@ -133,3 +133,27 @@ def test_files_and_outputs(spark, tmp_path):
     done = sinks.write_outputs({"summary": (lines, "text"), "bad": (lines, "no_such_format")}, str(tmp_path / "out"))
     assert done == {"summary": True, "bad": False}
     assert spark.read.text(str(tmp_path / "out" / "summary")).count() == 2
+
+
+def test_gaps_of_any_width_are_exact(spark):
+    from quire.operators import numbering as n
+
+    rows = [("b", i, 0, "", "arabic", v, 80.0) for i, v in enumerate([1, 2, 4, 12000])]
+    from quire.schemas import DETECTED_NUMBERS
+    detected = spark.createDataFrame(rows, DETECTED_NUMBERS)
+    profile = n.sequence_profile(detected).first()
+    assert profile["gap_count"] == profile["missing_count"] == 11996
+    found = sorted(tuple(r)[2:] for r in n.missing_numbers(detected).collect())
+    assert found == [(3, 3, 1), (5, 11999, 11995)]
+
+
+def test_long_numbers_are_numbers(spark):
+    from quire.operators import ordering as o
+
+    texts = ["9780632046584", "9" * 25, "99999"]
+    pages = spark.createDataFrame([("b", i + 10, f"p{i}", x) for i, x in enumerate(texts)],
+                                  "book_id string, scan_index int, original_name string, full_text string")
+    found = t.text_numbers(pages)
+    assert [r.numeric_value for r in found.orderBy("scan_index").collect()] == [9780632046584, 10**18, 99999]
+    rules = {r.rule for r in o.decide(o.page_numbers(pages, found)).collect()}
+    assert rules == {"unrealistic"}
