@@ -33,18 +33,18 @@ add_view("f_score", """
         FROM f_ordered o JOIN f_ocr w USING (book_id, scan_index))))""", ["f_ordered", "f_ocr"])
 add_view("f_assess", """
   SELECT *, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level, score < 0.6 AS needs_review,
-    list_filter([CASE WHEN lang / 100.0 < 0.6 THEN 'Low OCR quality' END,
-      CASE WHEN words = 0 THEN 'No text detected' WHEN words < 10 THEN 'Very little text content' END,
-      CASE WHEN has_number AND mean_conf < 50 THEN 'Weak number detection' END,
-      CASE WHEN has_number AND len(vals) > 1 THEN 'Conflicting page numbers: ' || CAST(vals AS VARCHAR) END,
-      CASE WHEN NOT has_number AND assigned_position > 50 THEN 'Missing arabic number in main content'
-           WHEN NOT has_number AND assigned_position > 5 THEN 'Missing roman numeral in front matter' END,
-      CASE WHEN assigned_position <= 0 THEN 'Invalid position assigned' WHEN assigned_position > 2 * total THEN 'Position seems too high' END],
+    list_filter([CASE WHEN lang / 100.0 < 0.6 THEN 'ocr_low' END,
+      CASE WHEN words = 0 THEN 'text_none' WHEN words < 10 THEN 'text_little' END,
+      CASE WHEN has_number AND mean_conf < 50 THEN 'number_weak' END,
+      CASE WHEN has_number AND len(vals) > 1 THEN 'number_conflict' END,
+      CASE WHEN NOT has_number AND assigned_position > 50 THEN 'arabic_absent'
+           WHEN NOT has_number AND assigned_position > 5 THEN 'roman_absent' END,
+      CASE WHEN assigned_position <= 0 THEN 'position_invalid' WHEN assigned_position > 2 * total THEN 'position_high' END],
       lambda x: x IS NOT NULL) AS issues,
-    list_filter([CASE WHEN lang / 100.0 >= 0.6 THEN printf('Good OCR quality (%.1f%%)', CAST(lang AS DOUBLE)) END,
-      CASE WHEN words >= 10 THEN words || ' words detected' END,
-      CASE WHEN has_number AND mean_conf / 100.0 > 0.8 THEN printf('Strong number detection (%.1f%%)', mean_conf) END,
-      CASE WHEN NOT has_number AND assigned_position <= 5 THEN 'No page number expected (title/front matter)' END],
+    list_filter([CASE WHEN lang / 100.0 >= 0.6 THEN 'ocr_good' END,
+      CASE WHEN words >= 10 THEN 'words_enough' END,
+      CASE WHEN has_number AND mean_conf / 100.0 > 0.8 THEN 'number_strong' END,
+      CASE WHEN NOT has_number AND assigned_position <= 5 THEN 'number_not_expected' END],
       lambda x: x IS NOT NULL) AS evidence FROM f_score""", ["f_score"])
 add_view("f_metrics", """
   SELECT *, least(100, overall_confidence) AS content_confidence, greatest(0, 100 - 10 * gaps) AS sequence_confidence FROM (
@@ -55,22 +55,28 @@ add_view("f_metrics", """
   GROUP BY book_id)""", ["f_assess"])
 add_view("f_report", """
   SELECT *, overall_confidence < 90 AS needs_human_review,
-    CASE WHEN overall_confidence >= 85 THEN 'Excellent' WHEN overall_confidence >= 70 THEN 'Good' WHEN overall_confidence >= 50 THEN 'Fair' ELSE 'Poor' END
-    || printf(' ordering confidence (%.1f%%). ', overall_confidence) || high_pages || ' high, ' || medium_pages || ' medium, ' || low_pages || ' low confidence pages.'
-    || CASE WHEN problem_pages > 0 THEN ' ' || problem_pages || ' pages need review.' ELSE '' END AS summary FROM f_metrics""", ["f_metrics"])
+    CASE WHEN overall_confidence >= 85 THEN 'excellent' WHEN overall_confidence >= 70 THEN 'good' WHEN overall_confidence >= 50 THEN 'fair' ELSE 'poor' END
+    || printf(', %.1f of 100: ', overall_confidence) || high_pages || ' pages sure, ' || medium_pages || ' fair, ' || low_pages || ' doubtful, ' || problem_pages || ' to look at' AS summary FROM f_metrics""", ["f_metrics"])
 add_view("f_review", """
   SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY assigned_position) AS r FROM f_assess WHERE needs_review""", ["f_assess"])
-add_view("f_advice", """
-  SELECT book_id, 0 AS slot, CASE WHEN overall_confidence < 50 THEN 'critical' ELSE 'warning' END AS type,
-         CASE WHEN overall_confidence < 50 THEN 'Very Low Confidence' ELSE 'Low Confidence' END AS title,
-         CASE WHEN overall_confidence < 50 THEN 'The ordering has very low confidence. Manual review is strongly recommended.' ELSE 'The ordering has low confidence. Review recommended.' END AS description,
-         CASE WHEN overall_confidence < 50 THEN 'Use GUI mode or manually verify page order' ELSE 'Check pages marked for review' END AS action,
-         CASE WHEN overall_confidence < 50 THEN 'high' ELSE 'medium' END AS priority, CAST(NULL AS INTEGER) AS scan_index FROM f_metrics WHERE overall_confidence < 70
-  UNION ALL SELECT book_id, 1, 'info', 'Poor Number Detection', 'Few pages have detectable page numbers.', 'Consider preprocessing options or manual numbering', 'medium', NULL FROM f_metrics WHERE numbering_confidence < 50
-  UNION ALL SELECT book_id, 2, 'warning', 'Sequence Gaps', 'There are gaps in the page sequence.', 'Check for missing pages or numbering issues', 'medium', NULL FROM f_metrics WHERE sequence_confidence < 70
-  UNION ALL SELECT book_id, r + 2, 'page_review', 'Review Page: ' || original_name, 'Issues: ' || array_to_string(issues, ', '), 'Manually verify position ' || assigned_position,
+def _said(code: str) -> str:
+    kind, priority, text = c.ADVICE[code]
+    return f"'{kind}' AS type, '{code}' AS code, '{text}' AS text, '{priority}' AS priority, CAST(NULL AS INTEGER) AS scan_index"
+
+
+def _tip(code: str) -> str:
+    kind, text = c.TIPS[code]
+    return f"'{kind}' AS type, '{code}' AS code, '{text}' AS text"
+
+
+add_view("f_advice", f"""
+  SELECT book_id, 0 AS slot, {_said("order_unsure")} FROM f_metrics WHERE overall_confidence < 50
+  UNION ALL SELECT book_id, 0, {_said("order_doubtful")} FROM f_metrics WHERE overall_confidence >= 50 AND overall_confidence < 70
+  UNION ALL SELECT book_id, 1, {_said("numbers_rare")} FROM f_metrics WHERE numbering_confidence < 50
+  UNION ALL SELECT book_id, 2, {_said("positions_gap")} FROM f_metrics WHERE sequence_confidence < 70
+  UNION ALL SELECT book_id, r + 2, 'page_review', 'check_page', original_name || ' at ' || assigned_position || ' ' || array_to_string(issues, ','),
          CASE WHEN score > 0.3 THEN 'low' ELSE 'medium' END, scan_index FROM f_review WHERE r <= 5
-  UNION ALL SELECT book_id, 8, 'processing', 'Poor OCR Quality', 'OCR results are of poor quality.', 'Try preprocessing options: denoise, deskew, contrast enhancement', 'low', NULL FROM f_metrics WHERE overall_confidence < 60""", ["f_metrics", "f_review"])
+  UNION ALL SELECT book_id, 8, {_said("ocr_poor")} FROM f_metrics WHERE overall_confidence < 60""", ["f_metrics", "f_review"])
 
 
 # the same chain over the desired positions, before conflicts are resolved
@@ -98,17 +104,18 @@ def assess_pages(spark, sf_dir):
 @q("book_metrics", "f_metrics", """
 SELECT book_id, page_count, round(overall_confidence, 6) AS overall_confidence, round(numbering_confidence, 6) AS numbering_confidence,
        round(content_confidence, 6) AS content_confidence, sequence_confidence, high_pages, medium_pages, low_pages, problem_pages, gaps,
-       concat_ws('; ', CASE WHEN low_pages > 0 THEN low_pages || ' pages need manual review' END,
-          CASE WHEN gaps > page_count * 0.2 THEN 'Many gaps in sequence - check for missing pages' END,
-          CASE WHEN overall_confidence < 70 THEN 'Consider using GUI mode for interactive review' END) AS hints FROM f_metrics""")
+       concat_ws('; ', CASE WHEN low_pages > 0 THEN 'review_pages' END,
+          CASE WHEN gaps > page_count * 0.2 THEN 'many_gaps' END,
+          CASE WHEN overall_confidence < 70 THEN 'look_through' END) AS hints FROM f_metrics""")
 def book_metrics(spark, sf_dir):
     return metrics(spark, sf_dir).drop("ocr_confidence").withColumns({
         name: F.round(name, 6) for name in ("overall_confidence", "numbering_confidence", "content_confidence")})
 
 
-@q("confidence_report", "f_report", "SELECT book_id, page_count, needs_human_review, summary FROM f_report")
+@q("confidence_report", "f_report", "SELECT book_id, page_count, overall_confidence >= 70 AS fine, needs_human_review, summary FROM f_report")
 def confidence_report(spark, sf_dir):
-    return c.confidence_report(metrics(spark, sf_dir)).select("book_id", "page_count", "needs_human_review", "summary")
+    return c.confidence_report(metrics(spark, sf_dir)).select(
+        "book_id", "page_count", F.col("grade").isin("good", "excellent").alias("fine"), "needs_human_review", "summary")
 
 
 @q("library_metrics", "f_metrics", """
@@ -128,9 +135,9 @@ def recommendations(spark, sf_dir):
 
 @q("review_queue", "f_assess", """
 SELECT book_id, scan_index, original_name, assigned_position, round(score, 6) AS score,
-       concat_ws('; ', CASE WHEN len(list_filter(issues, lambda x: x LIKE 'Missing %')) > 0 THEN 'Check for page numbers in margins or headers' END,
-                       CASE WHEN list_contains(issues, 'Low OCR quality') THEN 'Try image preprocessing options' END,
-                       CASE WHEN len(list_filter(issues, lambda x: x LIKE 'Conflicting%')) > 0 THEN 'Manually select the correct page number' END) AS actions
+       concat_ws('; ', CASE WHEN list_has_any(issues, ['roman_absent', 'arabic_absent']) THEN 'look_for_number' END,
+                       CASE WHEN list_contains(issues, 'ocr_low') THEN 'clean_scan' END,
+                       CASE WHEN list_contains(issues, 'number_conflict') THEN 'choose_number' END) AS actions
 FROM f_assess WHERE score < 0.6""")
 def review_queue(spark, sf_dir):
     return c.review_queue(assessed(spark, sf_dir)).select(
@@ -138,10 +145,10 @@ def review_queue(spark, sf_dir):
         F.array_join("actions", "; ").alias("actions"))
 
 
-@q("auto_suggestions", "d_metrics", """
-SELECT book_id, 'preprocessing' AS type, 'Enable OCR Enhancement' AS title, 'Try enabling denoising and contrast enhancement' AS description FROM d_metrics WHERE numbering_confidence < 40
-UNION ALL SELECT book_id, 'ordering', 'Use Content Analysis', 'Enable content-based ordering for missing numbers' FROM d_metrics WHERE sequence_confidence < 60
-UNION ALL SELECT book_id, 'processing', 'Try Different OCR Settings', 'Experiment with different OCR engine modes' FROM d_metrics WHERE low_pages > page_count * 0.3""")
+@q("auto_suggestions", "d_metrics", f"""
+SELECT book_id, {_tip("clean_scans")} FROM d_metrics WHERE numbering_confidence < 40
+UNION ALL SELECT book_id, {_tip("use_content")} FROM d_metrics WHERE sequence_confidence < 60
+UNION ALL SELECT book_id, {_tip("change_ocr")} FROM d_metrics WHERE low_pages > page_count * 0.3""")
 def auto_suggestions(spark, sf_dir):
     wide = fx.lines_wide(spark, sf_dir)
     wished = ordering_checks.decided(spark, sf_dir)
@@ -197,7 +204,7 @@ SELECT book_id, '1 results' AS section, CAST(n AS INTEGER) AS line_no, line FROM
    printf('Numbering detection: %.1f%%', numbering_confidence), printf('Sequence quality: %.1f%%', CAST(sequence_confidence AS DOUBLE))]) AS line FROM f_report)
 UNION ALL SELECT book_id, '2 order', assigned_position, lpad(CAST(assigned_position AS VARCHAR), greatest(3, CAST(length(CAST(assigned_position AS VARCHAR)) AS INTEGER)), ' ') || '. ' || original_name || ' ['
    || CASE WHEN confidence > 0.8 THEN 'ok' WHEN confidence > 0.5 THEN 'check' ELSE 'unsure' END || ']' FROM f_ordered
-UNION ALL SELECT book_id, '3 recommendations', CAST(r AS INTEGER), line FROM (SELECT book_id, title || ': ' || action AS line, row_number() OVER (PARTITION BY book_id ORDER BY slot) AS r FROM f_advice) WHERE r <= 10
+UNION ALL SELECT book_id, '3 recommendations', CAST(r AS INTEGER), line FROM (SELECT book_id, code || ': ' || text AS line, row_number() OVER (PARTITION BY book_id ORDER BY slot) AS r FROM f_advice) WHERE r <= 10
 UNION ALL SELECT book_id, '4 review', CAST(r AS INTEGER), original_name || ' (Position ' || assigned_position || ')' FROM f_review WHERE r <= 10""")
 def summary_lines(spark, sf_dir):
     pages = fix(assessed(spark, sf_dir))

@@ -116,9 +116,9 @@ def crop_summary(spark, sf_dir):
 
 
 @q("crop_review", "f_crops", """
-SELECT book_id, page_name, concat_ws(' | ', page_name, printf('%.1f%%', CAST(score AS DOUBLE)), concat_ws('; ', CASE WHEN a THEN printf('Excessive cropping detected: %.1f%% of image removed', (1 - ratio) * 100) END,
-   CASE WHEN b THEN 'Minimal cropping: Auto-crop may have failed to detect borders' END, CASE WHEN c THEN printf('Asymmetric cropping: width=%.1f%%, height=%.1f%%', wr * 100, hr * 100) END,
-   CASE WHEN e THEN printf('Significant black borders remain: %.1f%% of edges are dark', border * 100) END, CASE WHEN f THEN 'Potential content cut-off: Significant text/content detected at image edges' END)) AS line
+SELECT book_id, page_name, concat_ws(' | ', page_name, printf('%.1f%%', CAST(score AS DOUBLE)), concat_ws('; ', CASE WHEN a THEN 'cut_heavy' END,
+   CASE WHEN b THEN 'cut_little' END, CASE WHEN c THEN 'cut_uneven' END,
+   CASE WHEN e THEN 'border_dark' END, CASE WHEN f THEN 'content_at_edge' END)) AS line
 FROM f_crops WHERE a OR c OR e OR f OR score < 70""")
 def crop_review(spark, sf_dir):
     return s.crop_review(s.crop_validation(f_crops(spark, sf_dir)))

@@ -96,7 +96,7 @@ def summary_lines(ordered: DataFrame, report: DataFrame, advice: DataFrame, asse
     first_ten = Window.partitionBy("book_id").orderBy("slot")
     tips = (advice.withColumn("line_no", F.row_number().over(first_ten)).where(F.col("line_no") <= 10)
             .select("book_id", F.lit("3 recommendations").alias("section"), "line_no",
-                    F.format_string("%s: %s", "title", "action").alias("line")))
+                    F.format_string("%s: %s", "code", "text").alias("line")))
     from quire.operators.confidence import first_review_pages
 
     review = first_review_pages(assessed, 10).select(
