@@ -12,11 +12,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quire.operators import history
 from quire.operators.learner import LEARNER_COLUMNS, LEARNER_STATE, Learner, fold
 
-_SAVED = "counters array<bigint>, rates array<double>, flags array<boolean>, location string, kind string"
+_SAVED = "places array<bigint>, counts array<bigint>, flags array<boolean>, location string, kind string"
 
 
 class LearnerProcessor(StatefulProcessor):
-    """Keeps one learner per book; emits its state after each micro-batch."""
+    """Keeps one learner per book; emits its state after each micro-batch.
+
+    A row that comes after later ones of its book is folded when it comes: the stream equals the
+    batch form for input in order, up to the rows of one Arrow batch.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("learner", _SAVED)
@@ -24,11 +28,11 @@ class LearnerProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         saved = self.state.get() if self.state.exists() else None
         learner = Learner(tuple(saved) if saved else None)
-        # a micro-batch may deliver rows in any order; within it they are put in sequence
-        for part in [pd.concat(list(rows)).sort_values("seq")]:
-            fold(learner, part)
-        counters, rates, flags, location, kind = learner.save()
-        self.state.update(([int(c) for c in counters], [float(r) for r in rates], [bool(f) for f in flags], location, kind))
+        # Rows come in Arrow batches, each put in sequence alone, so a step holds one batch of a book.
+        for part in rows:
+            fold(learner, part.sort_values("seq"))
+        places, counts, flags, location, kind = learner.save()
+        self.state.update(([int(p) for p in places], [int(c) for c in counts], [bool(f) for f in flags], location, kind))
         yield pd.DataFrame([learner.row(key[0])], columns=LEARNER_COLUMNS)
 
     def close(self) -> None:

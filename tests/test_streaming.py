@@ -47,8 +47,9 @@ def test_shift_is_learned():
     assert (state.location, state.kind, state.learned["roman"]) == ("top_left", "roman", True)
     for _ in range(3):
         state.add("top_right", True, "roman")
-    assert state.shifts == 1 and not state.learned["roman"] and state.progress["roman"] == 8
-    assert abs(state.rate["top_right"] - 1.2) < 1e-9 and abs(state.rate["top_left"] - 0.7) < 1e-9
+    assert state.moves == 1 and not state.learned["roman"] and state.progress["roman"] == 8
+    standing = dict(zip(learner.REGIONS, state.standing()))
+    assert abs(standing["top_right"] - 1.2) < 1e-9 and abs(standing["top_left"] - 0.7) < 1e-9
     assert state.location == "top_right"
 
 
