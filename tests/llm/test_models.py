@@ -78,10 +78,13 @@ def test_seating_has_the_exact_distribution(count, strength, chance, discount):
     assert np.bincount(got, minlength=count + 1) / many == pytest.approx(odds / odds.sum(), abs=0.01)
 
 
-def test_seating_of_large_counts_goes_on_like_exact_ones():
-    rng = np.random.default_rng(3)
-    args = np.full(4000, 200), np.full(4000, 8.0), np.full(4000, 0.2), 0.6
-    assert hpyp.seat(*args, 20, rng).mean() == pytest.approx(hpyp.seat(*args, 200, rng).mean(), rel=0.35)
+@pytest.mark.parametrize("count, strength, chance, discount", [
+    (200, 8.0, 0.2, 0.6), (400, 300.0, 0.3, 0.7), (390, 5000.0, 0.05, 0.8), (350, 50.0, 1e-6, 0.5), (300, 40.0, 0.9, 0.3)])
+def test_seating_of_large_dishes_follows_the_exact_weights(count, strength, chance, discount):
+    args = np.full(4000, count), np.full(4000, strength), np.full(4000, chance), discount
+    fast, slow = (hpyp.seat(*args, exact, np.random.default_rng(3)) for exact in (20, 400))
+    assert fast.mean() == pytest.approx(slow.mean(), rel=0.04)
+    assert fast.std() == pytest.approx(slow.std(), rel=0.15, abs=0.05)
 
 
 def test_packed_numbers_come_back():
