@@ -249,13 +249,13 @@ def f_corrections(spark, sf_dir):
     original = (key % 300 + 1).cast("int")
     return h.record_corrections(fx.table(spark, sf_dir, "orders").select(
         key.alias("seq"), name.alias("page_name"), original.alias("original_position"),
-        (original + (key * key) % 13 - 6).cast("int").alias("corrected_position"), F.col("o_orderdate").alias("corrected_at")))
+        (original + key % 13 - 6).cast("int").alias("corrected_position"), F.col("o_orderdate").alias("corrected_at")))
 
 
 add_view("f_corrections", """
   SELECT *, CASE WHEN position_change = 0 THEN 'no_change' WHEN abs(position_change) = 1 THEN 'minor_adjustment' WHEN abs(position_change) <= 5 THEN 'moderate_adjustment' ELSE 'major_adjustment' END AS correction_type
   FROM (SELECT o_orderkey AS seq, CASE o_custkey % 3 WHEN 0 THEN 'page_' || lpad(CAST(o_custkey AS VARCHAR), greatest(3, CAST(length(CAST(o_custkey AS VARCHAR)) AS INTEGER)), '0') WHEN 1 THEN 'scan' || o_custkey ELSE 'v' || (o_custkey % 90) END AS stem,
-      o_orderkey % 300 + 1 AS original_position, CAST((o_orderkey * o_orderkey) % 13 - 6 AS INTEGER) AS position_change, o_orderdate AS corrected FROM orders)""")
+      o_orderkey % 300 + 1 AS original_position, CAST(o_orderkey % 13 - 6 AS INTEGER) AS position_change, o_orderdate AS corrected FROM orders)""")
 
 
 @q("correction_stats", "f_corrections", "SELECT correction_type, count(*) AS corrections, min(corrected) AS first_at, max(corrected) AS last_at, CAST(date_diff('day', min(corrected), max(corrected)) AS INTEGER) AS age_days FROM f_corrections GROUP BY 1")

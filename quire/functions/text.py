@@ -14,10 +14,10 @@ from quire.schemas import STOP_WORDS
 
 # Declared number forms and the type each one gives.
 EXTRA_FORMS = {
-    "thousands": (r"\b([0-9]{1,3}(?:[,.][0-9]{3})*)\b", "arabic"),
-    "decimal": (r"\b([0-9]+\.[0-9]+)\b", "arabic"),
-    "chapter_page": (r"(?i)\b((?:Chapter|Ch\.?)\s*[0-9]+[,\s]+(?:Page|p\.?)\s*[0-9]+)\b", "hybrid"),
-    "section": (r"\b([0-9]+\.[0-9]+)\b", "hierarchical"),
+    "thousands": (r"(?<![\p{L}\p{N}_])([0-9]{1,3}(?:[,.][0-9]{3})*)(?![\p{L}\p{N}_])", "arabic"),
+    "decimal": (r"(?<![\p{L}\p{N}_])([0-9]+\.[0-9]+)(?![\p{L}\p{N}_])", "arabic"),
+    "chapter_page": (r"(?i)(?<![\p{L}\p{N}_])((?:Chapter|Ch\.?)\s*[0-9]+[,\s]+(?:Page|p\.?)\s*[0-9]+)(?![\p{L}\p{N}_])", "hybrid"),
+    "section": (r"(?<![\p{L}\p{N}_])([0-9]+\.[0-9]+)(?![\p{L}\p{N}_])", "hierarchical"),
 }
 
 # Heading patterns, tried in this order at the start of a line.

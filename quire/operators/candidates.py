@@ -47,12 +47,12 @@ def _first(*rules: tuple[Column, float]) -> Column:
 
 
 def _arabic_matches() -> Column:
-    found = F.regexp_extract_all("text", F.lit(r"\b([0-9]{1,3})\b"), F.lit(1))
+    found = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])([0-9]{1,3})(?![\p{L}\p{N}_])"), F.lit(1))
     return F.transform(found, lambda m: F.struct(F.lit("arabic").alias("kind"), m.alias("candidate")))
 
 
 def _roman_matches() -> Column:
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([ivxlcdm]{1,10})\b"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])([ivxlcdm]{1,10})(?![\p{L}\p{N}_])"), F.lit(1)))
     return F.transform(found, lambda m: F.struct(F.lit("roman").alias("kind"), m.alias("candidate")))
 
 

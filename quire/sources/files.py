@@ -17,10 +17,12 @@ def scan_collection(spark: SparkSession, folder: str, recursive: bool = False) -
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images with their size; files that do not decode are dropped."""
-    images = (spark.read.format("image").option("dropInvalid", "true")
+    """Decoded images with their size; a file that does not decode is a row with an error and no data."""
+    images = (spark.read.format("image").option("dropInvalid", "false")
               .option("recursiveFileLookup", "true").load(folder))
-    return images.select(F.regexp_extract("image.origin", "([^/]+)/[^/]+$", 1).alias("book_id"), "image")
+    broken = F.col("image.height") < 0
+    return images.select(F.regexp_extract("image.origin", "([^/]+)/[^/]+$", 1).alias("book_id"), "image",
+                         F.when(broken, "not an image").alias("error"))
 
 
 def extension(path: Column) -> Column:

@@ -105,14 +105,14 @@ def summary_lines(ordered: DataFrame, report: DataFrame, advice: DataFrame, asse
     return head.unionByName(order).unionByName(tips).unionByName(review)
 
 
-def write_outputs(outputs: dict[str, tuple[DataFrame, str]], folder: str) -> dict[str, bool]:
+def write_outputs(outputs: dict[str, tuple[DataFrame, str]], folder: str) -> dict[str, str | None]:
     """Write the chosen outputs, each by book; ``outputs`` maps a name to (frame, 'json', 'text' or 'parquet').
 
     Rows of a book are brought together for few files, and a hot book is split
-    again by size (rebalance). A failed output does not stop the others; the run
-    succeeded when all are true.
+    again by size (rebalance). A failed output does not stop the others; each name
+    maps to None when written, else to the error.
     """
-    done: dict[str, bool] = {}
+    done: dict[str, str | None] = {}
     for name, (frame, kind) in outputs.items():
         keys = ["book_id"] if "book_id" in frame.columns else []
         if kind == "text":
@@ -121,9 +121,9 @@ def write_outputs(outputs: dict[str, tuple[DataFrame, str]], folder: str) -> dic
             frame = frame.hint("rebalance", *keys)
         try:
             frame.write.mode("overwrite").partitionBy(*keys).format(kind).save(f"{folder}/{name}")
-            done[name] = True
-        except Exception:  # reported per output, as the caller asked for
-            done[name] = False
+            done[name] = None
+        except Exception as error:  # reported per output, as the caller asked for
+            done[name] = f"{type(error).__name__}: {error}"
     return done
 
 
