@@ -40,7 +40,7 @@ class Settings:
     start_rounds: int = 3
     rounds: int = 9
     settled: float = 0.04
-    beam: int = 160
+    beam: int = 400
     entries: int = 32
     seed: int = 5
 
