@@ -172,7 +172,8 @@ def machine(found: Features, model: Model) -> np.ndarray:
     own = _sums(square[found.column] * x * x, found.row, bins, square)
     z = model.bias + _sums(model.weight[found.column] * x, found.row, bins, model.weight)
     z = z + 0.5 * ((total ** 2).sum(axis=1) - own)
-    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
 
 
 def _numbers(values: pa.Array) -> np.ndarray:

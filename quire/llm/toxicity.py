@@ -133,7 +133,8 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
         used = table[index] != 0
         row, index = _distinct(row[used], index[used], model.bits)
         total = model.bias + words.group_sums(table[index], row, len(piece))
-        out[first:first + len(piece)] = 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+        with np.errstate(over="ignore"):
+            out[first:first + len(piece)] = 1 / (1 + np.exp(-total))
     return out
 
 
