@@ -1,13 +1,13 @@
-"""Benchmark passages in documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in documents: n-gram seeds, then Smith-Waterman alignment.
 
 Every test item is the sequence of its words (lower-cased, punctuation parts words) and the
-set of its ``gram``-word grams. One pass over the documents finds where grams of items occur
-and cuts one passage around each run of them, one item length wider on both sides. The
-document frequency of every gram over all documents then says which grams of an item are rare:
-those not above its median (an item that a third of the corpus copies keeps its rarest half
-too). Passages with a rare seed are aligned with their item; the local alignment score
-(match 2, mismatch and gap -1) over that of the whole item is 1.0 for an exact copy. Rows from
-``threshold`` on are contaminated.
+set of its ``gram``-word grams. One pass over the documents finds where grams of items occur,
+cuts one passage around each run of them, one item length wider on both sides, and aligns the
+passage with its item; the local alignment score (match 2, mismatch and gap -1) over that of
+the whole item is 1.0 for an exact copy. Rows from ``threshold`` on are contaminated. Only
+passages that cannot reach it are left unaligned: those that hold too few of the item's words,
+each counted as often as both have it, even if all of them matched. So whether a document is
+found depends on its own text and the item alone, not on what other documents hold.
 
 Items are taken in blocks of ``block_words`` words, so what is broadcast is bounded however
 large the benchmark is; each block reads the documents once.
@@ -51,10 +51,21 @@ class Block:
     first: np.ndarray
     item: np.ndarray
     short: int
+    bag_at: np.ndarray
+    bag: np.ndarray
+    times: np.ndarray
 
     def size(self, item: np.ndarray) -> np.ndarray:
         return self.at[item + 1] - self.at[item]
 
+    def common(self, item: int, passage: np.ndarray) -> int:
+        """Words that item and passage share, each as often as both have it: no alignment matches more."""
+        own = slice(self.bag_at[item], self.bag_at[item + 1])
+        bag = self.bag[own]
+        near = np.minimum(np.searchsorted(bag, passage), len(bag) - 1)
+        got = np.bincount(near[bag[near] == passage], minlength=len(bag))
+        return int(np.minimum(got, self.times[own]).sum())
+
 
 def _grams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of every n-gram that stays inside one text."""
@@ -89,11 +100,14 @@ def block_of(ids: list[int], texts: list[str], gram: int) -> Block:
     code = np.rec.fromarrays([np.concatenate(hashes), np.concatenate(items)], names="g,i")
     code = np.unique(code)
     grams, first = np.unique(code.g, return_index=True)
-    return Block(np.asarray(ids, np.int64), at, h, grams, np.r_[first, len(code)], code.i.astype(np.int64), short)
+    bag, times = np.unique(np.rec.fromarrays([row, h], names="i,h"), return_counts=True)
+    return Block(np.asarray(ids, np.int64), at, h, grams, np.r_[first, len(code)], code.i.astype(np.int64), short,
+                 np.searchsorted(bag.i, np.arange(len(ids) + 1)), np.ascontiguousarray(bag.h), times)
 
 
-def passages(texts: pa.Array, block: Block, gram: int) -> dict[str, list]:
-    """Runs of item grams in a slice of lower-cased texts, as columns: row, item, start, stop, grams, passage."""
+def passages(texts: pa.Array, block: Block, setting: Settings) -> dict[str, list]:
+    """Runs of item grams in a slice of lower-cased texts that may reach the threshold, as columns: row, item, start, stop, passage."""
+    gram = setting.gram
     text = words.split(texts, letters=True)
     places, found = [], []
     for n in range(block.short, gram + 1):
@@ -109,8 +123,8 @@ def passages(texts: pa.Array, block: Block, gram: int) -> dict[str, list]:
     item = block.item[block.first[gram_no] + within] if len(place) else place
     row = text.row[place]
     order = np.lexsort((place, item, row))
-    row, item, place, gram_no = row[order], item[order], place[order], gram_no[order]
-    out = {k: [] for k in ("row", "item", "start", "stop", "grams", "passage")}
+    row, item, place = row[order], item[order], place[order]
+    out = {k: [] for k in ("row", "item", "start", "stop", "passage")}
     if not len(place):
         return out
     size = block.size(item)
@@ -122,12 +136,13 @@ def passages(texts: pa.Array, block: Block, gram: int) -> dict[str, list]:
         r, m = row[i], size[i]
         start = max(begin[r], place[i] - m)
         stop = min(begin[r + 1], place[j - 1] + gram + m)
+        if block.common(item[i], text.hash[start:stop]) / m < setting.threshold:
+            continue
         out["row"].append(int(r))
         out["item"].append(int(item[i]))
         out["start"].append(int(start - begin[r]))
         out["stop"].append(int(stop - begin[r]))
-        out["grams"].append(np.unique(gram_no[i:j]).astype(np.int32))
-        out["passage"].append(text.hash[start:stop].tobytes())
+        out["passage"].append(text.hash[start:stop])
     return out
 
 
@@ -159,73 +174,39 @@ def align(item: np.ndarray, passages_: list[np.ndarray], setting: Settings) -> n
 def _block_matches(docs: DataFrame, block: Block, setting: Settings) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word for one block of items."""
     context = docs.sparkSession.sparkContext
-    sent, gram = context.broadcast(block), setting.gram
+    sent = context.broadcast(block)
 
     def find(batches):
         own: Block = sent.value
         for batch in batches:
             ids = batch["doc_id"]
             for begin, piece in words.slices(batch["text"]):
-                got = passages(piece, own, gram)
-                if got["row"]:
+                got = passages(piece, own, setting)
+                item, raw = np.array(got["item"], np.int64), got["passage"]
+                value = np.zeros(len(item))
+                for by_item in _runs(np.lexsort((np.array([len(p) for p in raw], np.int64), item)), item, raw):
+                    words_of = own.words[own.at[item[by_item[0]]]:own.at[item[by_item[0]] + 1]]
+                    value[by_item] = align(words_of, [raw[i] for i in by_item], setting)
+                over = np.flatnonzero(value >= setting.threshold)
+                if len(over):
+                    row, start, stop = (np.array(got[c], np.int64)[over] for c in ("row", "start", "stop"))
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([begin + r for r in got["row"]])), pa.array(got["item"], pa.int32()),
-                         pa.array(got["start"], pa.int64()), pa.array(got["stop"], pa.int64()),
-                         pa.array(got["grams"], pa.list_(pa.int32())), pa.array(got["passage"], pa.binary())],
-                        ["doc_id", "item", "start_word", "end_word", "grams", "passage"])
+                        [ids.take(pa.array(begin + row)), pa.array(own.ids[item[over]]), pa.array(value[over]),
+                         pa.array(start), pa.array(stop)],
+                        ["doc_id", "item_id", "score", "start_word", "end_word"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hits = store.keep(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(
-        find, f"doc_id {kind}, item int, start_word long, end_word long, grams array<int>, passage binary"))
-    counts = hits.select("doc_id", F.explode("grams").alias("g")).distinct().groupBy("g").count()
-    # Both sides of this are bounded by the block, not by the corpus.
-    df = np.zeros(len(block.grams), np.int64)
-    for batch in counts.toArrow().to_batches():
-        df[batch["g"].to_numpy()] = batch["count"].to_numpy()
-    where = np.repeat(np.arange(len(block.grams)), np.diff(block.first))
-    order = np.lexsort((df[where], block.item))
-    item_sizes = np.bincount(block.item, minlength=len(block.ids))
-    first = np.cumsum(item_sizes) - item_sizes
-    middle = np.zeros(len(block.ids), np.int64)
-    some = item_sizes > 0
-    middle[some] = df[where[order][(first + (item_sizes - 1) // 2)[some]]]
-    rare = context.broadcast((block.first, block.item, df, middle))
-
-    def score(batches):
-        own: Block = sent.value
-        _, _, frequency, limit = rare.value
-        for batch in batches:
-            item = batch["item"].to_numpy()
-            lists = batch["grams"]
-            at = lists.offsets.to_numpy()
-            g = lists.flatten().to_numpy() if len(lists) else np.zeros(0, np.int32)
-            owner = np.repeat(np.arange(len(item)), np.diff(at))
-            seeded = np.zeros(len(item), bool)
-            seeded[owner[frequency[g] <= limit[item[owner]]]] = True
-            chosen = np.flatnonzero(seeded)
-            raw = {int(i): np.frombuffer(batch["passage"][int(i)].as_buffer(), np.uint64) for i in chosen}
-            length = np.array([len(raw[int(i)]) for i in chosen], np.int64)
-            value = np.zeros(len(item))
-            for by_item in _runs(chosen[np.lexsort((length, item[chosen]))], item, raw):
-                words_of = own.words[own.at[item[by_item[0]]]:own.at[item[by_item[0]] + 1]]
-                value[by_item] = align(words_of, [raw[int(i)] for i in by_item], setting)
-            over = np.flatnonzero(value >= setting.threshold)
-            if len(over):
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pa.array(over)), pa.array(own.ids[item[over]]), pa.array(value[over]),
-                     batch["start_word"].take(pa.array(over)), batch["end_word"].take(pa.array(over))],
-                    ["doc_id", "item_id", "score", "start_word", "end_word"])
-
-    return hits.mapInArrow(score, f"doc_id {kind}, item_id long, score double, start_word long, end_word long")
-
-
-def _runs(order: np.ndarray, item: np.ndarray, raw: dict, cells: int = 1 << 18):
+    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(
+        find, f"doc_id {kind}, item_id long, score double, start_word long, end_word long")
+
+
+def _runs(order: np.ndarray, item: np.ndarray, raw: list[np.ndarray], cells: int = 1 << 18):
     """Rows of one item at a time, so many that their padded passages have a bounded size."""
     start = 0
     while start < len(order):
         stop = start + 1
         while (stop < len(order) and item[order[stop]] == item[order[start]]
-               and (stop - start + 1) * len(raw[int(order[stop])]) <= cells):
+               and (stop - start + 1) * len(raw[order[stop]]) <= cells):
             stop += 1
         yield order[start:stop]
         start = stop

@@ -63,6 +63,30 @@ def test_a_passage_in_most_documents_keeps_its_rare_half(spark):
     assert sorted(r["doc_id"] for r in found.collect()) == list(range(60))
 
 
+@pytest.mark.parametrize("share", [0.2, 0.25, 0.3])
+def test_edited_copies_alone_and_in_thousands(spark, share):
+    """Every edit is found by its own text: what plain Smith-Waterman finds, however often the edit occurs."""
+    rng, s = random.Random(7), decontam.Settings()
+    items = [[f"i{k}w{j}" for j in range(rng.randrange(25, 45))] for k in range(8)]
+    docs, want = [], set()
+    for k, item in enumerate(items):
+        own = list(item)
+        for j in range(len(own)) if share == 0.2 else rng.sample(range(len(own)), int(share * len(own))):
+            if share > 0.2 or j % 5 == 4:
+                own[j] = "changed"
+        for _ in range(2500 if k == 0 else 1):
+            around = [f"f{rng.randrange(900)}" for _ in range(20)]
+            docs.append((len(docs), " ".join(around[:10] + own + around[10:])))
+            if smith_waterman(item, own, s) >= s.threshold:
+                want.add((len(docs) - 1, k))
+    docs.append((len(docs), " ".join(items[1][:len(items[1]) // 2 + 1] + ["own", "end"])))
+    want.add((len(docs) - 1, 1))
+    assert len(want) == len(docs)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, bench).collect()} == want
+
+
 def test_hard_rows(spark, hard_docs, tables):
     items = tables("benchmark")
     assert decontam.contaminated(hard_docs, items).columns == ["doc_id", "item_id", "score", "start_word", "end_word"]
