@@ -3,8 +3,8 @@
 Rules (verdict, host suffix, path start) fit a host and its subdomains; the longest wins. What
 a rule decides is also the labelled data of the templates:
 
-1. a path is its first ``depth`` segments, the rest being ``**``; a segment with a digit is
-   ``*``, and so is one that is rare (under ``rare_share``) among ``many`` or more siblings;
+1. a path is all of its segments; one with a digit is ``*``, and so is one that is rare (under
+   ``rare_share``) among ``many`` or more siblings;
 2. level by level, sibling branches merge into ``~`` when they are statistically alike: what
    follows them is spread as below their parent (chi-square), and the share of blocked
    among their labelled pages is their parent's (two standard deviations). A branch
@@ -13,6 +13,9 @@ a rule decides is also the labelled data of the templates:
    verdict, reaches ``threshold``: at least three blocked pages and nearly no allowed one;
    a template without labelled pages is let in.
 
+Levels are worked on one per round, until no path has a deeper segment; a shape that is alone
+below its parent has nothing to be compared with and leaves the rounds.
+
 Pages are counted per host and path shape before anything is joined, so a host that holds a
 third of all pages is a few rows of the tree; the join back to pages is a plain equi-join that
 adaptive execution may split.
@@ -37,7 +40,6 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 @dataclass(frozen=True)
 class Settings:
     rules: tuple[tuple[str, str], ...] = RULES
-    depth: int = 3
     many: int = 8
     rare_share: float = 0.05
     deviations: float = 3.0
@@ -62,70 +64,94 @@ def parts(pages: DataFrame, setting: Settings) -> DataFrame:
     return out.withColumns({"rule": rule, "ruled": verdict})
 
 
-def _shape(depth: int) -> list[Column]:
-    """Segments 1..depth with digits generalised, then what is left, as columns s1..s(depth+1)."""
+def _shape() -> Column:
+    """All segments of the path, with digits generalised."""
     segments = F.filter(F.split("path", "/", -1), lambda x: x != "")
-    own = [F.coalesce(F.get(segments, k), F.lit("")) for k in range(depth)]
-    return [F.when(s.rlike("[0-9]"), "*").otherwise(s).alias(f"s{k + 1}") for k, s in enumerate(own)] + [
-        F.when(F.size(segments) > depth, "**").otherwise("").alias(f"s{depth + 1}")]
+    return F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s))
+
+
+_TREE = ["host", "shape", "t", "n", "labelled", "blocked"]
+
+
+def _level(path: str, d: int) -> Column:
+    return F.coalesce(F.get(path, F.lit(d - 1)), F.lit(""))
+
+
+def _from(path: str, d: int) -> Column:
+    """The segments from level ``d`` on."""
+    return F.slice(path, d, F.size(path))
 
 
-def _up_to(d: int) -> list[str]:
-    return ["host", *(f"t{k}" for k in range(1, d + 1))]
+def _by_level(tree: DataFrame, path: str, step) -> DataFrame:
+    """``step(rows, d)`` level by level on the rows whose ``_on`` it left true, while one of them is as deep in ``path``."""
+    done, going, d = [], tree, 1
+    while not going.where(F.size(path) >= d).isEmpty():
+        out = store.keep(step(going, d))
+        done.append(out.where("NOT _on").select(*_TREE))
+        going, d = out.where("_on").select(*_TREE), d + 1
+    for rows in done:
+        going = going.unionByName(rows)
+    return going
 
 
 def _wildcards(shapes: DataFrame, setting: Settings) -> DataFrame:
-    """Add t1..: the segments after rare ones among many siblings became ``*``."""
-    out = shapes
-    for d in range(1, setting.depth + 1):
-        up = _up_to(d - 1)
-        each = out.groupBy(*up, f"s{d}").agg(F.sum("n").alias("_n"))
-        whole = each.groupBy(*up).agg(F.sum("_n").alias("_all"), F.count("*").alias("_kinds"))
-        named = (each.join(whole, up).withColumn(
-            f"t{d}", F.when((F.col("_kinds") >= setting.many) & (F.col("_n") < setting.rare_share * F.col("_all"))
-                            & (F.col(f"s{d}") != ""), "*").otherwise(F.col(f"s{d}")))
-                 .select(*up, f"s{d}", f"t{d}"))
-        out = out.join(named, [*up, f"s{d}"])
-    return out.withColumn(f"t{setting.depth + 1}", F.col(f"s{setting.depth + 1}"))
-
-
-def _merged(tree: DataFrame, d: int, setting: Settings) -> DataFrame:
-    """Replace t<d> by ``~`` in the branches of level ``d`` that are alike below their parent."""
-    up, own = _up_to(d - 1), f"t{d}"
-    below = [f"t{k}" for k in range(d + 1, setting.depth + 2)]
-    cells = tree.groupBy(*up, own, *below).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-    branch = cells.groupBy(*up, own).agg(F.sum("n").alias("bn"), F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"))
-    pooled = cells.groupBy(*up, *below).agg(F.sum("n").alias("cn"))
-    parent = (pooled.groupBy(*up).agg(F.sum("cn").alias("pn"), (F.count("*") - 1).alias("df"))
-              .join(branch.groupBy(*up).agg(F.sum("bl").alias("pl"), F.sum("bb").alias("pb"), F.count("*").alias("branches")), up))
-    chi = (cells.join(pooled, [*up, *below]).join(parent.select(*up, "pn"), up)
-           .groupBy(*up, own).agg(F.sum(F.col("n").cast("double") * F.col("n") * F.col("pn") / F.col("cn")).alias("_x")))
-    share = F.try_divide("pb", "pl")
-    alike = ((F.col("branches") > 1) & (F.col("bl") > 0)
-             & (F.col("_x") / F.col("bn") - F.col("bn") <= F.col("df") + setting.deviations * F.sqrt(2.0 * F.col("df")) + 1e-6)
-             & (F.abs(F.col("bb") - F.col("bl") * share) <= 2 * F.sqrt(F.col("bl") * share * (1 - share)) + 0.5))
-    named = (branch.join(chi, [*up, own]).join(parent, up)
-             .select(*up, own, F.when(alike, "~").otherwise(F.col(own)).alias("_new")))
-    return tree.join(named, [*up, own]).drop(own).withColumnRenamed("_new", own)
+    """Add t, the template: the segments after rare ones among many siblings became ``*``."""
+    up = ["host", "t"]
+
+    def step(going: DataFrame, d: int) -> DataFrame:
+        rows = going.withColumn("_s", _level("shape", d))
+        each = rows.groupBy(*up, "_s").agg(F.sum("n").alias("_n"), F.count("*").alias("_shapes"))
+        whole = each.groupBy(*up).agg(F.sum("_n").alias("_all"), F.count("*").alias("_kinds"), F.sum("_shapes").alias("_below"))
+        rare = (F.col("_kinds") >= setting.many) & (F.col("_n") < setting.rare_share * F.col("_all")) & (F.col("_s") != "")
+        named = each.join(whole, up).select(*up, "_s", F.when(rare, "*").otherwise(F.col("_s")).alias("_new"), "_below")
+        alone = F.col("_below") == 1
+        return rows.join(named, [*up, "_s"]).withColumns({
+            "t": F.when(alone, F.concat("t", _from("shape", d))).when(F.col("_s") == "", F.col("t")).otherwise(F.array_append("t", F.col("_new"))),
+            "_on": ~alone & (F.col("_s") != "")})
+
+    return _by_level(shapes.withColumn("t", F.array().cast("array<string>")), "shape", step)
+
+
+def _merged(tree: DataFrame, setting: Settings) -> DataFrame:
+    """Replace segments of t by ``~`` in the branches that are alike below their parent, from the first level down."""
+    up = ["host", "_up"]
+
+    def step(going: DataFrame, d: int) -> DataFrame:
+        rows = going.withColumns({"_up": F.slice("t", 1, d - 1), "_own": _level("t", d), "_rest": _from("t", d + 1)})
+        cells = rows.groupBy(*up, "_own", "_rest").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+        branch = cells.groupBy(*up, "_own").agg(F.sum("n").alias("bn"), F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"),
+                                                F.count("*").alias("kinds"))
+        pooled = cells.groupBy(*up, "_rest").agg(F.sum("n").alias("cn"))
+        parent = (pooled.groupBy(*up).agg(F.sum("cn").alias("pn"), (F.count("*") - 1).alias("df"))
+                  .join(branch.groupBy(*up).agg(F.sum("bl").alias("pl"), F.sum("bb").alias("pb"), F.count("*").alias("branches"),
+                                                F.sum("kinds").alias("_below")), up))
+        chi = (cells.join(pooled, [*up, "_rest"]).join(parent.select(*up, "pn"), up)
+               .groupBy(*up, "_own").agg(F.sum(F.col("n").cast("double") * F.col("n") * F.col("pn") / F.col("cn")).alias("_x")))
+        share = F.try_divide("pb", "pl")
+        alike = ((F.col("branches") > 1) & (F.col("bl") > 0)
+                 & (F.col("_x") / F.col("bn") - F.col("bn") <= F.col("df") + setting.deviations * F.sqrt(2.0 * F.col("df")) + 1e-6)
+                 & (F.abs(F.col("bb") - F.col("bl") * share) <= 2 * F.sqrt(F.col("bl") * share * (1 - share)) + 0.5))
+        named = (branch.join(chi, [*up, "_own"]).join(parent, up)
+                 .select(*up, "_own", F.when(alike, "~").otherwise(F.col("_own")).alias("_new"), "_below"))
+        return rows.join(named, [*up, "_own"]).withColumns({
+            "t": F.when(F.col("_new") == "", F.col("t")).otherwise(F.concat("_up", F.array("_new"), "_rest")),
+            "_on": (F.col("_below") > 1) & (F.col("_new") != "")})
+
+    return _by_level(tree, "t", step)
 
 
 def judge(pages: DataFrame, setting: Settings = Settings()) -> DataFrame:
     """page_id, host, path, rule, verdict, template of every page."""
-    shape = [f"s{k}" for k in range(1, setting.depth + 2)]
-    own = parts(pages, setting).select("*", *_shape(setting.depth))
-    shapes = store.keep(own.groupBy("host", *shape).agg(
+    own = parts(pages, setting).withColumn("shape", _shape())
+    shapes = store.keep(own.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("ruled").alias("labelled"),
         F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked")))
-    tree = _wildcards(shapes, setting)
-    for d in range(1, setting.depth):
-        tree = _merged(store.keep(tree), d, setting)
-    tree = store.keep(tree)
-    names = [f"t{k}" for k in range(1, setting.depth + 2)]
-    template = F.concat("host", *[F.when(F.col(t) != "", F.concat(F.lit("/"), F.col(t))).otherwise("") for t in names])
-    purity = (tree.groupBy("host", *names).agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b"))
-              .select("host", *names, template.alias("template"),
+    tree = store.keep(_merged(_wildcards(shapes, setting), setting))
+    template = F.concat("host", F.array_join(F.transform("t", lambda x: F.concat(F.lit("/"), x)), ""))
+    purity = (tree.groupBy("host", "t").agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b"))
+              .select("host", "t", template.alias("template"),
                       ((F.col("_b") + setting.weight) / (F.col("_l") + 2 * setting.weight) >= setting.threshold).alias("_reject")))
-    judged = tree.select("host", *shape, *names).join(purity, ["host", *names]).select("host", *shape, "template", "_reject")
-    return (own.join(judged, ["host", *shape])
+    judged = tree.select("host", "shape", "t").join(purity, ["host", "t"]).select("host", "shape", "template", "_reject")
+    return (own.join(judged, ["host", "shape"])
             .select("page_id", "host", "path", "rule",
                     F.coalesce("ruled", F.when(F.col("_reject"), "block").otherwise("allow")).alias("verdict"), "template"))

@@ -54,6 +54,19 @@ def test_rare_words_among_many_siblings_are_a_wildcard(spark):
     assert got[0] == got[59] == "h.org/*" and got[100] == "h.org/about"
 
 
+def test_branches_below_the_third_segment_have_their_own_templates(spark):
+    deep = "a/b/c/" + "d/" * 9
+    rows = [(i, f"http://h.net/{deep}spam/x{i}") for i in range(40)] + [(100 + i, f"http://h.net/{deep}spam/{i}") for i in range(10)]
+    rows += [(200 + i, f"http://h.net/{deep}news/{i}") for i in range(40)] + [(300, "http://h.net/a/b"), (301, "http://h.net/a/b/c")]
+    setting = urls.Settings(rules=(("block", f"h.net/{deep}spam/x"),))
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), setting).collect()}
+    assert len(got) == len(rows)
+    spam, news = {got[i]["template"] for i in [*range(40), *range(100, 110)]}, {got[200 + i]["template"] for i in range(40)}
+    assert len(spam) == len(news) == 1 and spam != news and {t.count("/") for t in spam | news} == {14}
+    assert all(got[100 + i]["verdict"] == "block" for i in range(10)) and all(got[200 + i]["verdict"] == "allow" for i in range(40))
+    assert (got[300]["template"].count("/"), got[301]["template"].count("/")) == (2, 3)
+
+
 def test_urls_hard_tables(spark):
     pages = spark.createDataFrame([(1, "http://h.org/a", "t", 1), (1, "http://h.org/a", "t", 1), (None, None, None, None)],
                                   "page_id long, url string, template string, n int")
