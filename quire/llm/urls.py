@@ -4,14 +4,15 @@ Rules (verdict, host suffix, path start) fit a host and its subdomains; the long
 a rule decides is also the labelled data of the templates:
 
 1. a path is all of its segments; one with a digit is ``*``, and so is one that is rare (under
-   ``rare_share``) among ``many`` or more siblings;
+   ``rare_share``) among ``many`` or more siblings and has no labelled page (``**`` where a
+   sibling ``*`` has some). Rare branches with labelled pages are left to the test of 2;
 2. level by level, sibling branches merge into ``~`` when they are statistically alike: what
    follows them is spread as below their parent (chi-square), and the share of blocked
    among their labelled pages is their parent's (two standard deviations). A branch
    without labelled pages is not shown to be alike and stays apart;
 3. a template is rejected when its labelled purity, smoothed by ``weight`` pages of either
-   verdict, reaches ``threshold``: at least three blocked pages and nearly no allowed one;
-   a template without labelled pages is let in.
+   verdict, reaches ``threshold``: at least three blocked pages and nearly no allowed one,
+   and ``support`` of all its pages are labelled; any other template is let in.
 
 Levels are worked on one per round, until no path has a deeper segment; a shape that is alone
 below its parent has nothing to be compared with and leaves the rounds.
@@ -45,6 +46,7 @@ class Settings:
     deviations: float = 3.0
     weight: float = 1.0
     threshold: float = 0.8
+    support: float = 0.1
 
 
 def parts(pages: DataFrame, setting: Settings) -> DataFrame:
@@ -95,15 +97,17 @@ def _by_level(tree: DataFrame, path: str, step) -> DataFrame:
 
 
 def _wildcards(shapes: DataFrame, setting: Settings) -> DataFrame:
-    """Add t, the template: the segments after rare ones among many siblings became ``*``."""
+    """Add t, the template: the segments after rare ones among many siblings without labels became ``*``."""
     up = ["host", "t"]
 
     def step(going: DataFrame, d: int) -> DataFrame:
         rows = going.withColumn("_s", _level("shape", d))
-        each = rows.groupBy(*up, "_s").agg(F.sum("n").alias("_n"), F.count("*").alias("_shapes"))
-        whole = each.groupBy(*up).agg(F.sum("_n").alias("_all"), F.count("*").alias("_kinds"), F.sum("_shapes").alias("_below"))
-        rare = (F.col("_kinds") >= setting.many) & (F.col("_n") < setting.rare_share * F.col("_all")) & (F.col("_s") != "")
-        named = each.join(whole, up).select(*up, "_s", F.when(rare, "*").otherwise(F.col("_s")).alias("_new"), "_below")
+        each = rows.groupBy(*up, "_s").agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_l"), F.count("*").alias("_shapes"))
+        whole = each.groupBy(*up).agg(F.sum("_n").alias("_all"), F.count("*").alias("_kinds"), F.sum("_shapes").alias("_below"),
+                                      F.sum(F.when(F.col("_s") == "*", F.col("_l")).otherwise(0)).alias("_numbered"))
+        rare = ((F.col("_kinds") >= setting.many) & (F.col("_n") < setting.rare_share * F.col("_all"))
+                & ~F.col("_s").isin("", "*") & (F.col("_l") == 0))
+        named = each.join(whole, up).select(*up, "_s", F.when(rare, F.when(F.col("_numbered") == 0, "*").otherwise("**")).otherwise(F.col("_s")).alias("_new"), "_below")
         alone = F.col("_below") == 1
         return rows.join(named, [*up, "_s"]).withColumns({
             "t": F.when(alone, F.concat("t", _from("shape", d))).when(F.col("_s") == "", F.col("t")).otherwise(F.array_append("t", F.col("_new"))),
@@ -148,9 +152,10 @@ def judge(pages: DataFrame, setting: Settings = Settings()) -> DataFrame:
         F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked")))
     tree = store.keep(_merged(_wildcards(shapes, setting), setting))
     template = F.concat("host", F.array_join(F.transform("t", lambda x: F.concat(F.lit("/"), x)), ""))
-    purity = (tree.groupBy("host", "t").agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b"))
+    purity = (tree.groupBy("host", "t").agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b"))
               .select("host", "t", template.alias("template"),
-                      ((F.col("_b") + setting.weight) / (F.col("_l") + 2 * setting.weight) >= setting.threshold).alias("_reject")))
+                      (((F.col("_b") + setting.weight) / (F.col("_l") + 2 * setting.weight) >= setting.threshold)
+                       & (F.col("_l") >= setting.support * F.col("_n"))).alias("_reject")))
     judged = tree.select("host", "shape", "t").join(purity, ["host", "t"]).select("host", "shape", "template", "_reject")
     return (own.join(judged, ["host", "shape"])
             .select("page_id", "host", "path", "rule",

@@ -67,6 +67,18 @@ def test_branches_below_the_third_segment_have_their_own_templates(spark):
     assert (got[300]["template"].count("/"), got[301]["template"].count("/")) == (2, 3)
 
 
+def test_a_few_ruled_pages_do_not_reject_the_unruled_ones(spark):
+    """Not by a wildcard over rare siblings, nor by a branch of which a few pages in a thousand are labelled."""
+    names = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(98)]
+    rows = [(i, f"http://h.net/{names[i % 98]}/page") for i in range(980)] + [(2000 + i, f"http://h.net/{lang}/page") for i, lang in enumerate(["es"] * 3 + ["fr"])]
+    rows += [(3000 + i, f"http://k.org/docs/{'x' if i < 3 else ''}{i}") for i in range(200)]
+    setting = urls.Settings(rules=(*urls.RULES, ("block", "k.org/docs/x")))
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), setting).collect()}
+    assert {got[i]["verdict"] for i in range(980)} == {"allow"} and {got[i]["template"] for i in range(980)} == {"h.net/*/page"}
+    assert {got[2000 + i]["verdict"] for i in range(4)} == {"block"} and got[2000]["template"] != "h.net/*/page"
+    assert [got[3000 + i]["verdict"] for i in range(200)] == ["block"] * 3 + ["allow"] * 197
+
+
 def test_urls_hard_tables(spark):
     pages = spark.createDataFrame([(1, "http://h.org/a", "t", 1), (1, "http://h.org/a", "t", 1), (None, None, None, None)],
                                   "page_id long, url string, template string, n int")
