@@ -4,8 +4,9 @@ Equal vectors are one node of the graph; of a node's rows only the ``k + 1`` sma
 be among anyone's ``k`` nearest, so copies never crowd a neighbourhood. Building starts from
 random small groups and repeats one local join: every node gathers a sample of its fresh
 and old neighbours in both directions (``sample`` each), all gathered pairs with a fresh side
-are compared, and each node keeps its ``degree`` nearest. Vectors travel as 8-bit numbers while
-building. A search starts at a few fixed entries and, if its vector is in the index, at its
+are compared, and each node keeps its ``degree`` nearest. Vectors travel in single precision while
+building, on the scale of the median row, so rows of any size leave the others' distances as they
+are. A search starts at a few fixed entries and, if its vector is in the index, at its
 own node; each round expands everything in the beam of ``beam`` nearest that was not expanded, in
 both directions of the graph, until nothing is left to expand. Search distances are
 Euclidean, in double precision, on the original vectors. Every row is indexed.
@@ -68,13 +69,20 @@ def _classes(rows: DataFrame, setting: Settings) -> tuple[DataFrame, DataFrame]:
     return nodes, few.select(F.xxhash64("vec").alias("node"), "id")
 
 
+#: Scaled components beyond this are cut to it while the graph is built: their rows stay far from all others.
+FAR = 1e30
+
+
 def _small(nodes: DataFrame) -> DataFrame:
-    """(node, q): vectors as signed bytes on one scale."""
-    top = nodes.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x))))).first()[0] or 1.0
+    """(node, q): vectors in single precision, the median row's largest component being 1."""
+    largest = F.array_max(F.transform("vec", lambda x: F.abs(x)))
+    scale = nodes.agg(F.percentile_approx(largest, 0.5)).first()[0] or 1.0
 
     @F.arrow_udf("binary")
     def shrink(vec: pa.Array) -> pa.Array:
-        return pa.array([r.tobytes() for r in np.rint(_matrix(vec) * (127 / top)).astype(np.int8)], pa.binary())
+        with np.errstate(over="ignore"):  # cut below
+            scaled = np.clip(_matrix(vec) / scale, -FAR, FAR).astype(np.float32)
+        return pa.array([r.tobytes() for r in scaled], pa.binary())
 
     return store.keep(nodes.select("node", shrink("vec").alias("q")))
 
@@ -89,9 +97,10 @@ def _offers(group: np.ndarray, node: np.ndarray, fresh: np.ndarray, radius: np.n
         starts = first[size == width]
         for begin in range(0, len(starts), max(1, (1 << 21) // (width * max(width, q.shape[1])))):
             at = starts[begin:begin + max(1, (1 << 21) // (width * max(width, q.shape[1])))][:, None] + np.arange(width)
-            x = q[at].astype(np.float32)
+            x = q[at].astype(np.float64)
             norm = (x * x).sum(-1)
             d = norm[:, :, None] + norm[:, None, :] - 2 * np.matmul(x, x.transpose(0, 2, 1))
+            d = np.sqrt(np.maximum(d, 0, out=d), out=d)
             f, m = fresh[at], node[at]
             d[~(f[:, :, None] | f[:, None, :]) | (m[:, :, None] == m[:, None, :])] = np.inf
             d[d >= radius[at][:, :, None]] = np.inf
@@ -121,7 +130,7 @@ def _local_join(members: DataFrame, best: int) -> DataFrame:
 
     def done(table):
         if table.num_rows:
-            q = np.frombuffer(b"".join(table["q"].to_pylist()), np.int8).reshape(table.num_rows, -1)
+            q = np.frombuffer(b"".join(table["q"].to_pylist()), np.float32).reshape(table.num_rows, -1)
             columns = (table[c].to_numpy() for c in ("w", "node", "fresh", "radius"))
             for u, v, d in _offers(*columns, q, best):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.float32))], ["u", "v", "d"])

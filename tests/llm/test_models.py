@@ -139,6 +139,24 @@ def test_graph_is_close_to_the_true_one(spark, tables):
     assert np.mean([len(near[u] & graph[u]) / 10 for u in names]) > 0.9
 
 
+@pytest.mark.parametrize("factor", [100.0, 1e4, 1e200])
+def test_a_few_huge_rows_leave_the_graph_of_the_others_as_it_is(spark, tables, factor):
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in tables("embeddings").collect()]
+    size = len(rows[0][1])
+    rows += [(10 ** 6 + i, [factor * (1 + i) if j == i else 0.0 for j in range(size)]) for i in range(3)]
+    nodes = ann._classes(ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), ann.Settings())[0]
+    x = {r["node"]: np.array(r["vec"]) for r in nodes.collect() if max(map(abs, r["vec"])) < factor}
+    names, m = list(x), np.stack(list(x.values()))
+    d = ((m[:, None] - m[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    near = {names[i]: {names[j] for j in np.argsort(d[i])[:10]} for i in range(len(names))}
+    graph = {}
+    for r in ann.neighbour_graph(nodes).collect():
+        graph.setdefault(r["u"], set()).add(r["v"])
+    assert len(graph) == len(names) + 3
+    assert np.mean([len(near[u] & graph[u]) / 10 for u in names]) > 0.9
+
+
 def test_ann_hard_rows(spark):
     rows = ([(i, [1.0, 0.0], 0) for i in range(0, 60)] + [(100, [0.0, 1.0], 0), (200, None, 1), (300, [0.0, 0.0], 1),
             (400, [float("nan"), 1.0], 1), (500, [None, 1.0], 1), (600, [1.0, 2.0, 3.0], 1), (None, [1.0, 1.0], 1), (700, [float("inf"), 0.0], 1),
