@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ann, decontam, fixity, hpyp, language, neardup, packing, quality, toxicity, urls
+from quire.llm import (ann, decontam, fixity, hpyp, language, neardup, packing, quality, toxicity, urls,
+                       whitening)
 
 
 def _read(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
@@ -70,7 +71,12 @@ def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(whole, fixity.damaged(whole))
 
 
-QUERIES = {"op1_hpyp": op1_hpyp, "op2_ann": op2_ann, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_fixity": op10_fixity}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What are the leading whitened components of every vector?"""
+    return whitening.whiten(*_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_hpyp": op1_hpyp, "op2_ann": op2_ann, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_fixity": op10_fixity, "op11_whitening": op11_whitening}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 def _fits(rule: str) -> str:
