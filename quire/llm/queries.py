@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import (ann, decontam, fixity, hpyp, language, neardup, packing, quality, toxicity, urls,
+from quire.llm import (ann, decontam, fixity, hpyp, language, neardup, packing, quality, tokenfiles, toxicity, urls,
                        whitening)
 
 
@@ -76,7 +76,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(*_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_hpyp": op1_hpyp, "op2_ann": op2_ann, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_fixity": op10_fixity, "op11_whitening": op11_whitening}
+def op13_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where do the token ids of every document stand in the files, and what are they?"""
+    return tokenfiles.listed(spark, tokenfiles.write(*_read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+QUERIES = {"op1_hpyp": op1_hpyp, "op2_ann": op2_ann, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_fixity": op10_fixity, "op11_whitening": op11_whitening, "op13_tokenids": op13_tokenids}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 def _fits(rule: str) -> str:
