@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import (ann, decontam, fixity, hpyp, language, neardup, packing, quality, tokenfiles, toxicity, urls,
+from quire.llm import (ann, decontam, fixity, hpyp, language, neardup, packing, phrases, quality, tokenfiles, toxicity, urls,
                        whitening)
 
 
@@ -76,12 +76,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(*_read(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which phrases hold together best in every language?"""
+    return phrases.collocations(*_read(spark, sf_dir, "documents"))
+
+
 def op13_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where do the token ids of every document stand in the files, and what are they?"""
     return tokenfiles.listed(spark, tokenfiles.write(*_read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-QUERIES = {"op1_hpyp": op1_hpyp, "op2_ann": op2_ann, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_fixity": op10_fixity, "op11_whitening": op11_whitening, "op13_tokenids": op13_tokenids}
+QUERIES = {"op1_hpyp": op1_hpyp, "op2_ann": op2_ann, "op3_quality": op3_quality, "op4_packing": op4_packing, "op5_decontam": op5_decontam, "op6_language": op6_language, "op7_urls": op7_urls, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_fixity": op10_fixity, "op11_whitening": op11_whitening, "op12_phrases": op12_phrases, "op13_tokenids": op13_tokenids}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 def _fits(rule: str) -> str:
@@ -155,6 +160,30 @@ ORACLES: dict[str, str] = {
               || CASE WHEN t4 <> '' THEN '/' || t4 ELSE '' END AS template FROM m2 JOIN q USING (host, t1, t2, t3, t4))
         SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict, template
         FROM o JOIN j USING (host, s1, s2, s3, s4)""",
+    "op12_phrases": r"""
+        WITH p AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+              FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        o AS MATERIALIZED (SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS i FROM p),
+        q AS (SELECT lang, w1, lead(w1, 1) OVER v AS w2, lead(w1, 2) OVER v AS w3, lead(w1, 3) OVER v AS w4 FROM o
+              WINDOW v AS (PARTITION BY lang, piece ORDER BY i)),
+        f AS MATERIALIZED (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM q GROUP BY ALL
+              UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM q WHERE w2 IS NOT NULL GROUP BY ALL
+              UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM q WHERE w3 IS NOT NULL GROUP BY ALL
+              UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM q WHERE w4 IS NOT NULL GROUP BY ALL),
+        total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+        cut AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp
+                FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+        cl AS MATERIALIZED (SELECT cut.*, f AS l FROM cut JOIN f ON f.lang = cut.lang AND f.phrase = lp),
+        s AS (SELECT cl.lang, cl.phrase, a, j, l, f AS r, ((2000000::HUGEINT * a) // (l + f))::BIGINT AS score
+              FROM cl JOIN f ON f.lang = cl.lang AND f.phrase = rp),
+        low AS (SELECT DISTINCT ON (lang, phrase) * FROM s ORDER BY lang, phrase, score, j),
+        inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+                   FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) AS ms(m) WHERE m < k) GROUP BY ALL),
+        kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
     "op9_neardup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
