@@ -172,7 +172,8 @@ def align(item: np.ndarray, passages_: list[np.ndarray], setting: Settings) -> n
 
 
 def _block_matches(docs: DataFrame, block: Block, setting: Settings) -> DataFrame:
-    """doc_id, item_id, score, start_word, end_word for one block of items."""
+    """doc_id, item_id, score, start_word, end_word for one block of items, and a hash of the text
+    (``_text``) that tells the rows of a repeated doc_id apart."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(block)
 
@@ -191,13 +192,13 @@ def _block_matches(docs: DataFrame, block: Block, setting: Settings) -> DataFram
                 if len(over):
                     row, start, stop = (np.array(got[c], np.int64)[over] for c in ("row", "start", "stop"))
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(begin + row)), pa.array(own.ids[item[over]]), pa.array(value[over]),
+                        [ids.take(pa.array(begin + row)), batch["_text"].take(pa.array(begin + row)), pa.array(own.ids[item[over]]), pa.array(value[over]),
                          pa.array(start), pa.array(stop)],
-                        ["doc_id", "item_id", "score", "start_word", "end_word"])
+                        ["doc_id", "_text", "item_id", "score", "start_word", "end_word"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(
-        find, f"doc_id {kind}, item_id long, score double, start_word long, end_word long")
+    return docs.select("doc_id", F.xxhash64("text").alias("_text"), F.lower("text").alias("text")).mapInArrow(
+        find, f"doc_id {kind}, _text long, item_id long, score double, start_word long, end_word long")
 
 
 def _runs(order: np.ndarray, item: np.ndarray, raw: list[np.ndarray], cells: int = 1 << 18):
@@ -225,12 +226,19 @@ def _blocks(benchmark: DataFrame, setting: Settings):
             yield block_of([r["item_id"] for r in rows], [r["text"] for r in rows], setting.gram)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, setting: Settings = Settings()) -> DataFrame:
-    """doc_id, item_id, score, start_word, end_word: each document's best passage per item."""
+def _matches(docs: DataFrame, benchmark: DataFrame, setting: Settings) -> DataFrame | None:
+    """The passages of all blocks; None for a benchmark without items."""
+    store.bound_batches(docs.sparkSession)
     found = None
     for block in _blocks(benchmark, setting):
         own = _block_matches(docs, block, setting)
         found = own if found is None else found.unionByName(own)
+    return found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, setting: Settings = Settings()) -> DataFrame:
+    """doc_id, item_id, score, start_word, end_word: each document's best passage per item."""
+    found = _matches(docs, benchmark, setting)
     if found is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("score"),
                            F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("end_word")).where("false")
@@ -240,8 +248,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, setting: Settings = Sett
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, setting: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, all columns as they are."""
-    gone = store.keep(contaminated(docs, benchmark, setting).select("doc_id").distinct())
+    """The rows of ``docs`` that hold no passage of the benchmark, all columns as they are. Each row
+    is judged by its own text, also where its doc_id is null or repeats."""
+    found = _matches(docs, benchmark, setting)
+    if found is None:
+        return docs
+    gone = store.keep(found.select(F.col("doc_id").alias("_gone_id"), F.col("_text").alias("_gone_text")).distinct())
     if gone.count() <= setting.broadcast_docs:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_text"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

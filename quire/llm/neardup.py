@@ -9,10 +9,9 @@ independent keys need. A pair of similarity s is missed by all keys with probabi
 below (3 rows, 10 bands).
 
 Equal sets are one node, so exact copies never meet each other. Inside a key, nodes meet one
-centre first, then in ``rounds`` further turns a centre drawn anew for each key; what
-confirmed links have merged by then needs no more comparing. What is still apart though it shares a key
-meets by the order of its rarest shingles, which finds every link that is left without listing
-the pairs of a key, so no key is capped. Sizes that rule a link out, and sketches that agree far too little for one (more than five standard
+centre first; in ``rounds`` further turns a centre is drawn anew for each key; what
+confirmed links have merged by then needs no more comparing. What is still apart though it shares a key meets by the order of its rarest shingles, across
+components only, which finds every link that is left; no key is capped. Sizes that rule a link out, and sketches that agree far too little for one (more than five standard
 deviations), are put aside before the texts are compared. Components come from repeated
 contraction in Spark; nothing of the corpus is gathered on the driver.
 
@@ -166,36 +165,23 @@ def _may_link(setting: Settings):
     return 100 * small >= setting.percent * large
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame, setting: Settings) -> DataFrame:
-    """The pairs whose sketches agree well enough for a link."""
-    least = setting.least_agreeing
-
-    @F.arrow_udf("boolean")
-    def agree(left: pa.Array, right: pa.Array) -> pa.Array:
-        a = np.frombuffer(b"".join(left.to_pylist()), np.uint32).reshape(len(left), -1)
-        b = np.frombuffer(b"".join(right.to_pylist()), np.uint32).reshape(len(right), -1)
-        return pa.array((a == b).sum(axis=1) >= least)
-
-    side = nodes.select("node", "sketch")
-    both = (pairs.join(side.toDF("a", "_left"), "a").join(side.toDF("b", "_right"), "b"))
-    return both.where(agree("_left", "_right")).select("a", "b")
-
-
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, setting: Settings) -> DataFrame:
-    """(node, text) of the nodes in ``pairs``: broadcast ids up to a bound, a shuffled join beyond it."""
+    """(node, text, sketch) of the nodes in ``pairs``: broadcast ids up to a bound, a shuffled join beyond it."""
     wanted = (pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-              .join(nodes.select("node", "doc_id"), "node"))
+              .join(nodes.select("node", "doc_id", "sketch"), "node"))
     wanted = store.keep(wanted)
+    ids = wanted.select("node", "doc_id")
     if wanted.count() <= setting.broadcast_nodes:
-        wanted = F.broadcast(wanted)
+        ids = F.broadcast(ids)
 
     @F.arrow_udf("long")
     def node_of(text: pa.Array) -> pa.Array:
         return pa.array(np.concatenate([np.zeros(0, np.uint64), *(
             sketch_node(piece, setting) for _, piece in words.slices(text))]).view(np.int64))
 
-    return (docs.select("doc_id", "text").join(wanted, "doc_id").where(node_of("text") == F.col("node"))
-            .groupBy("node").agg(F.first("text").alias("text")))
+    texts = (docs.select("doc_id", "text").join(ids, "doc_id").where(node_of("text") == F.col("node"))
+             .groupBy("node").agg(F.first("text").alias("text")))
+    return texts.join(wanted.select("node", "sketch"), "node")
 
 
 def sketch_node(piece: pa.Array, setting: Settings) -> np.ndarray:
@@ -228,18 +214,23 @@ def similar(left: pa.Array, right: pa.Array, setting: Settings) -> np.ndarray:
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, setting: Settings) -> DataFrame:
-    """The pairs (a, b) that are links, checked on their whole texts."""
-    likely = store.keep(_agreeing(pairs, nodes, setting))
-    if likely.isEmpty():
-        return likely
-    texts = store.keep(_texts(docs, nodes, likely, setting))
+    """The pairs (a, b) that are links. Each pair meets its texts and sketches once; texts are
+    compared where the sketches agree well enough."""
+    if pairs.isEmpty():
+        return pairs
+    sides = store.keep(_texts(docs, nodes, pairs, setting))
+    least = setting.least_agreeing
 
     @F.arrow_udf("boolean")
-    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array(similar(left, right, setting))
+    def linked(left: pa.Array, right: pa.Array, one: pa.Array, other: pa.Array) -> pa.Array:
+        a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(len(c), -1) for c in (one, other))
+        out, likely = np.zeros(len(left), bool), np.flatnonzero((a == b).sum(axis=1) >= least)
+        at = pa.array(likely)
+        out[likely] = similar(left.take(at), right.take(at), setting)
+        return pa.array(out)
 
-    both = likely.join(texts.toDF("a", "_left"), "a").join(texts.toDF("b", "_right"), "b")
-    return store.keep(both.where(linked("_left", "_right")).select("a", "b"))
+    both = (pairs.join(sides.toDF("a", "_left", "_one"), "a").join(sides.toDF("b", "_right", "_other"), "b"))
+    return store.keep(both.where(linked("_left", "_right", "_one", "_other")).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,7 +260,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, setting: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and the row's ``node``, of every row."""
+    """doc_id, n_shingles, component_id, kept, and the row's ``node`` and the ``root`` of its component, of every row."""
     signed = store.keep(_signed(docs, setting))
     nodes = store.keep(
         signed.where("node IS NOT NULL").groupBy("node")
@@ -294,10 +285,10 @@ def near_duplicates(docs: DataFrame, setting: Settings = Settings()) -> DataFram
     named = (nodes.select("node", "doc_id").join(roots, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(ids, "root").select("node", "component_id")
+    of_node = named.join(ids, "root").select("node", "component_id", "root")
     return (signed.join(of_node, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                    F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "node"))
+                    F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "node", "root"))
 
 
 def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -341,14 +332,14 @@ def _frequencies(texts: DataFrame, setting: Settings) -> np.ndarray:
 
 
 def _rest(docs: DataFrame, nodes: DataFrame, apart: DataFrame, setting: Settings) -> DataFrame:
-    """Every pair of nodes still apart that may be a link, without listing the pairs of a key.
+    """Every pair of nodes of different components that may be a link.
 
     With shingles in one order for all, rarest first, linked sets share a shingle among the first
     ``n - ceil(s * n) + 1`` of both; the places of the first shared one bound the overlap.
     """
     own = store.keep(apart.select("node", "n", "root").distinct())
     pairs = own.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    texts = store.keep(_texts(docs, nodes, pairs, setting))
+    texts = store.keep(_texts(docs, nodes, pairs, setting).drop("sketch"))
     sent = docs.sparkSession.sparkContext.broadcast(_frequencies(texts, setting))
     bits, percent = setting.order_bits, setting.percent
 
@@ -367,30 +358,53 @@ def _rest(docs: DataFrame, nodes: DataFrame, apart: DataFrame, setting: Settings
                     ["shingle", "node", "place"])
 
     rows = (texts.select("node", "text").mapInArrow(prefixes, "shingle long, node long, place long").join(own, "node"))
-    left = rows.select("shingle", F.col("node").alias("a"), "n", F.col("root").alias("_ra"), F.col("place").alias("_i"))
-    right = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("_rb"), F.col("place").alias("_j"))
+    rows = store.keep(rows)
+    # Of each shingle's components one is the largest; the rows of the others meet all rows. So two
+    # rows of one component are looked at no more often than two of different ones.
+    largest = (rows.groupBy("shingle", "root").agg(F.count("*").alias("_c")).groupBy("shingle")
+               .agg(F.max(F.struct("_c", "root")).alias("_top"), F.count("*").alias("_roots")).where("_roots > 1")
+               .select("shingle", F.col("_top.root").alias("_largest")))
+    shared = rows.join(largest, "shingle")
+    left = shared.where("root <> _largest").select(
+        "shingle", F.col("node").alias("a"), "n", F.col("root").alias("_ra"), F.col("place").alias("_i"))
+    right = shared.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("_rb"), F.col("place").alias("_j"))
     most = F.least(F.col("n") - F.col("_i"), F.col("m") - F.col("_j"))
-    return left.join(right, "shingle").where(
-        (F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb"))
-        & (100 * most >= percent * (F.col("n") + F.col("m") - most))).select("a", "b").distinct()
+    return _ordered(left.join(right, "shingle").where(
+        (F.col("_ra") != F.col("_rb")) & (100 * most >= percent * (F.col("n") + F.col("m") - most))).select("a", "b"))
 
 
 def drop_copies(docs: DataFrame, setting: Settings = Settings()) -> DataFrame:
     """One row of every group of near copies, all columns as they are.
 
-    The row of the smallest doc_id stays; of rows that repeat a doc_id and its text, one stays.
-    Rows without words and rows without a doc_id all stay.
+    The row of the smallest doc_id stays; of its rows, where it repeats, one with the smallest
+    set hash. Rows are judged each by its own text, so a doc_id that also stands for a different text keeps
+    that one. Rows without words and rows without a doc_id all stay.
     """
-    found = store.keep(near_duplicates(docs, setting).groupBy("doc_id", "node").agg(
-        F.first("kept").alias("kept"), F.count("*").alias("_n")).where("NOT kept OR _n > 1 AND node IS NOT NULL"))
-    gone, repeated = found.where("NOT kept").select("doc_id").distinct(), found.where("kept").select("doc_id").distinct()
+    found = store.keep(near_duplicates(docs, setting).select("doc_id", "node", "root"))
+    first = (found.where("node IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("_first")))
+    judged = store.keep(found.join(first, "root", "left").select(
+        "doc_id", "node", (F.col("node").isNull() | (F.col("_first") == F.struct("doc_id", "node"))).alias("_stays")))
+    by_id = store.keep(judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count("*").alias("_n"), F.count_if("_stays").alias("_k")).where("_n > 1 OR _k = 0"))
+    gone, several = by_id.where("_k = 0").select("doc_id"), by_id.where("_k > 0").select("doc_id")
 
     def bounded(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= setting.broadcast_nodes else ids
 
     left = docs.join(bounded(gone), "doc_id", "left_anti")
-    if repeated.isEmpty():
+    if several.isEmpty():
         return left.select(*docs.columns)
-    repeated = bounded(repeated)
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+    @F.arrow_udf("long")
+    def node_of(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0, np.uint64), *(
+            sketch_node(piece, setting) for _, piece in words.slices(text))]).view(np.int64))
+
+    several = bounded(several)
+    stay = judged.where("_stays AND node IS NOT NULL").select("doc_id", F.col("node").alias("_own_node")).join(
+        several, "doc_id", "left_semi").distinct()
+    rows = left.join(several, "doc_id", "left_semi").withColumn("_own_node", node_of("text"))
+    once = rows.join(stay, ["doc_id", "_own_node"], "left_semi").dropDuplicates(["doc_id", "_own_node"])
+    wordless = rows.where("_own_node = 0")
+    return (left.join(several, "doc_id", "left_anti").select(*docs.columns)
+            .unionByName(once.select(*docs.columns)).unionByName(wordless.select(*docs.columns)))

@@ -25,21 +25,16 @@ documents; a null doc_id is carried along; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import functools
-import json
-import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from quire.llm import store, words
+from quire.llm import bpe, store
 
 
 @dataclass(frozen=True)
@@ -48,103 +43,7 @@ class Settings:
     end_id: int = 0
     small: int = 850
     groups: int = 256
-    cache_entries: int = 400_000
-
-
-# The white space of Unicode, as byte-level BPE pre-tokenisers understand it.
-_SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A word with the one space before it, or white space without the space that the next word takes.
-_CHUNK = re.compile(f"[{_SPACES}]+(?![^{_SPACES}])| ?[^{_SPACES}]+|[{_SPACES}]+")
-
-
-# The pattern by which byte-level BPE parts a text before merging.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _byte_of() -> dict[str, int]:
-    """The byte behind each character of a byte-level vocabulary: printable Latin-1 characters
-    stand for themselves, the other bytes for the characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
-def _by_rank(path: str):
-    """An encoder that merges by rank, where the vocabulary's ids are in the order of its merges
-    and so give the same ids; None for any other vocabulary."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    model, before = spec.get("model", {}), spec.get("pre_tokenizer") or {}
-    if (model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space")
-            or not before.get("use_regex", True) or spec.get("normalizer") or model.get("byte_fallback")):
-        return None
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    vocab, byte_of = model["vocab"], _byte_of()
-    if any(vocab.get(left + right) != 256 + k for k, (left, right) in enumerate(merges)):
-        return None
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
-    return tiktoken.Encoding(path, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-class Encoder:
-    """Ids of texts as little-endian bytes, those that the ``tokenizers`` library gives with the
-    file at ``path``.
-
-    A byte-level BPE never merges across the chunks of ``_CHUNK``, so the ids of a chunk are kept.
-    New chunks of many texts are encoded together, one to a line: chunks hold no line break,
-    so the id of a lone line break parts their ids.
-    """
-
-    def __init__(self, path: str, cache_entries: int) -> None:
-        self.ranked, self.limit, self.known = _by_rank(path), cache_entries, {}
-        if self.ranked is None:
-            self.own = Tokenizer.from_file(path)
-            self.own.no_truncation()
-            self.own.no_padding()
-            self.own.encode_special_tokens = True
-        else:
-            self.line = self._ids("\n")[0]
-
-    def _ids(self, text: str) -> np.ndarray:
-        if self.ranked is None:
-            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(self.ranked.encode_ordinary(text), "<u4")
-
-    def _learn(self, chunks: list[str]) -> None:
-        words_, spaces = [c for c in chunks if not c.isspace()], [c for c in chunks if c.isspace()]
-        self.known.update((c, self._ids(c).tobytes()) for c in spaces)
-        for start in range(0, len(words_), 4096):
-            part = words_[start:start + 4096]
-            ids = self._ids("\n".join(part))
-            border = np.flatnonzero(ids == self.line)
-            if len(border) != len(part) - 1:  # a chunk with a character that counts as a line break
-                self.known.update((c, self._ids(c).tobytes()) for c in part)
-                continue
-            raw, at = ids.tobytes(), [-4, *(4 * border).tolist(), 4 * len(ids)]
-            self.known.update((c, raw[i + 4:j]) for c, i, j in zip(part, at, at[1:]))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.ranked is None:
-            return [self._ids(t).tobytes() for t in texts]
-        chunks = [_CHUNK.findall(t) for t in texts]
-        every = set().union(*chunks)
-        new = every.difference(self.known)
-        if new and len(self.known) + len(new) > self.limit:
-            self.known, new = {}, every
-        self._learn(sorted(new))
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-
-
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str, cache_entries: int) -> Encoder:
-    """One encoder for all tasks of a Python worker."""
-    return Encoder(path, cache_entries)
-
-
-def _encoded(texts: pa.Array, encode: Encoder):
-    """(row, ids) of every text, encoded in slices of bounded size."""
-    for begin, piece in words.slices(texts):
-        yield from enumerate(encode(piece.to_pylist()), begin)
+    cache_bytes: int = 48 << 20
 
 
 def pieces(docs: DataFrame, tokenizer: str, setting: Settings) -> DataFrame:
@@ -153,12 +52,12 @@ def pieces(docs: DataFrame, tokenizer: str, setting: Settings) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        encode = _encoder(tokenizer, setting.cache_entries)
+        encode = bpe.encoder(tokenizer, setting.cache_bytes)
         part, seen, full = TaskContext.get().partitionId(), {}, setting.capacity
         end = np.array([setting.end_id], "<u4").tobytes()
         for batch in batches:
             owner, out = [], []
-            for i, ids in _encoded(batch["text"], encode):
+            for i, ids in bpe.encoded(batch["text"], encode):
                 ids += end
                 size = len(ids) // 4
                 at, stop, number = 0, size % full or full, 0

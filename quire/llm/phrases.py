@@ -43,7 +43,7 @@ class Settings:
     scale: int = 2_000_000
     best: int = 2000
     #: Words (and borders of pieces) of a shard.
-    shard: int = 1 << 20
+    shard: int = 1 << 19
     #: Bytes of a text worked on at a time.
     chunk: int = 2 << 20
     #: Bits of the table that sends frequent phrases to the tasks, at most; 16 a phrase below that.

@@ -62,7 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are near copies of which?"""
     setting = neardup.Settings(width=3, percent=85)
-    return neardup.near_duplicates(*_read(spark, sf_dir, "documents"), setting).drop("node")
+    return neardup.near_duplicates(*_read(spark, sf_dir, "documents"), setting).drop("node", "root")
 
 
 def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

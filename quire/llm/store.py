@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.session import checkpoint_folder
 
 
+#: Bytes of a batch of rows on its way to a Python worker. Texts differ so much in length that a
+#: number of rows is no bound.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on, batches for Python workers in this session are bounded by bytes too."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(BATCH_BYTES + 1)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only the tasks that were running on it.
     """
     spark, schema = df.sparkSession, df.schema
+    bound_batches(spark)
     path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -47,6 +60,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest:
     A doc_id with two different labels, or with a null one, teaches nothing. The labels
     drawn are bounded by ``size``, so they are broadcast; the texts are not moved.
     """
+    bound_batches(docs.sparkSession)
     own = (labels.select("doc_id", F.col(label).cast("int").alias("_label"))
            .where(F.col("_label").isin(0, 1) & ~held_out("doc_id", modulus, rest))
            .groupBy("doc_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other"))

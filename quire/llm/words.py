@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about this many bytes, which bounds the memory of a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,6 +84,7 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
             yield first + start, sizes.slice(start, stop - start)
             start = stop
         first += len(chunk)
+    pa.default_memory_pool().release_unused()
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

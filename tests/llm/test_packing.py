@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quire.llm import packing
+from quire.llm import bpe, packing
 from quire.llm.queries import tokenizer_path
 
 
@@ -55,9 +55,8 @@ TEXTS = ["a b  c  d\n\n e\r\nf\x0bg \x85h\x1cx\x1f y", "  lead", "trail  ", "\n"
 
 def test_ids_are_those_of_the_tokenizer(tables):
     own = Tokenizer.from_file(tokenizer_path())
-    own.encode_special_tokens = True
     texts = TEXTS + [r["text"] for r in tables("documents").limit(60).collect()]
-    for text, ids in zip(texts, packing.Encoder(tokenizer_path(), 500)(texts)):
+    for text, ids in zip(texts, bpe.Encoder(tokenizer_path(), 500)(texts)):
         assert np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == ids
 
 
@@ -66,15 +65,13 @@ def test_other_vocabularies_are_encoded_as_they_are():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    encoder = packing.Encoder(path, 500)
+    encoder = bpe.Encoder(path, 500)
     assert encoder.ranked is None
     assert encoder(["Hello  world"])[0] == np.array(own.encode("Hello  world", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_round_trip(spark, hard_docs):
     own = Tokenizer.from_file(tokenizer_path())
-    own.encode_special_tokens = True
     rows = packing.pack(hard_docs, tokenizer_path()).collect()
     by_doc = {}
     for r in rows:

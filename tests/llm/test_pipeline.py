@@ -47,11 +47,29 @@ def test_pipeline_on_hard_rows(spark, hard_docs):
     assert empty.count() == 0
 
 
+def test_copies_go_by_row(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    near = a.replace("a39", "other")
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 3), (None, a, 4), (5, None, 5), (7, near, 6), (8, "", 7), (8, b, 8), (0, near + " x y", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root int").repartition(4)
+    left = sorted(r["root"] for r in neardup.drop_copies(docs).collect())
+    assert left in ([2, 4, 5, 7, 9], [3, 4, 5, 7, 9])
+
+
+def test_contamination_goes_by_row(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, f"start {item} end", 0), (1, "all clean words here", 1), (None, item, 2), (None, "clean too", 3), (None, None, 4), (2, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r["_text"] for r in decontam.drop_contaminated(docs, items).collect()) == [1, 3, 4, 5]
+    assert decontam.drop_contaminated(docs, items.where("false")).count() == 6
+
+
 def test_ids_are_marked_by_crc32(spark):
     rows = spark.range(30).select("id", store.remainder("id", 10).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 10 for r in rows)
 
 
-def test_all_ten_are_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+def test_all_are_registered():
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.ORACLES) <= set(queries.QUERIES) and packing.Settings().capacity == 2048
