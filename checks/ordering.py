@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.fixtures import oracle
 from quire.operators import ordering as o
+from quire.plans.session import checkpoint_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -81,7 +84,7 @@ def validate_order(spark, sf_dir):
 
 
 @q("ordering_independent", "f_page", """
-SELECT book_id, scan_index, CAST(coalesce(best.v, own) AS INTEGER) AS assigned_position,
+SELECT book_id, scan_index, CAST(coalesce(best.v, own) AS BIGINT) AS assigned_position,
        round(CASE WHEN best.c >= 95 THEN least(0.95, best.c / 100) WHEN best.c >= 50 THEN least(0.8, best.c / 100)
                   WHEN best.c IS NOT NULL THEN 0.6 WHEN own <= 5 THEN 0.9 WHEN own <= 50 THEN 0.6 ELSE 0.3 END, 6) AS confidence,
        best.c IS NOT NULL AS has_number
@@ -117,3 +120,14 @@ def output_names(spark, sf_dir):
 
     return names(ordered(spark, sf_dir), fx.lines_wide(spark, sf_dir)).select(
         "book_id", "scan_index", "original_name", "assigned_position", "output_name")
+
+
+@q("ordered_output", "f_ordered", """
+SELECT book_id, scan_index, assigned_position, row_number() OVER (ORDER BY book_id, assigned_position, scan_index) AS output_row FROM f_ordered""")
+def ordered_output(spark, sf_dir):
+    from quire.sources import sinks
+
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    pages = ordered(spark, sf_dir).select("book_id", "scan_index", "assigned_position")
+    sinks.write_ordered(pages, folder, rows_per_file=100_000)
+    return sinks.read_ordered(spark, folder)

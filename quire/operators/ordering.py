@@ -215,8 +215,7 @@ def _settle(decisions: DataFrame, wide: bool | None) -> DataFrame:
 
 def resolve_conflicts(decisions: DataFrame, wide: bool | None = None) -> DataFrame:
     """Unique positions for the pages that take part."""
-    wide = ranks.settle_width(decisions, BOOK, wide)
-    return _settle(decisions.where(to_resolve()), wide).drop("part")
+    return ranks.by_width(decisions.where(to_resolve()), BOOK, wide, lambda rows, own: _settle(rows, own).drop("part"))
 
 
 def order_pages(decisions: DataFrame, wide: bool | None = None) -> DataFrame:
@@ -225,7 +224,10 @@ def order_pages(decisions: DataFrame, wide: bool | None = None) -> DataFrame:
     Pages that take no part in conflict resolution go, in scan order, to the
     lowest free positions. ``part`` tells the two kinds apart.
     """
-    wide = ranks.settle_width(decisions, BOOK, wide)
+    return ranks.by_width(decisions, BOOK, wide, _order_pages)
+
+
+def _order_pages(decisions: DataFrame, wide: bool) -> DataFrame:
     rows = _settle(decisions, wide).withColumn("_place", F.col("assigned_position"))
     group, taken = ["book_id", "part"], F.col("part") & (F.col("_place") >= 1)
     rows = rows.withColumn("_order", F.when(F.col("part"), F.col("_place")).otherwise(F.col("scan_index")))
@@ -261,7 +263,7 @@ def decide_alone(numbered: DataFrame, detected: DataFrame) -> DataFrame:
                  F.struct(-F.col("confidence"), "ord")).alias("_best"))
     own = F.col("scan_index") + 1
     sure = F.col("_best.confidence")
-    position = F.coalesce("_best.numeric_value", own).cast("int")
+    position = F.coalesce("_best.numeric_value", own).cast("long")
     confidence = (
         F.when(sure >= 95, F.least(F.lit(0.95), sure / 100.0))
         .when(sure >= 50, F.least(F.lit(0.8), sure / 100.0))

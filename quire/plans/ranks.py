@@ -9,11 +9,14 @@ all pages, so every helper here has two exact ways:
   table with one row per chunk carries the totals across chunk borders;
 * ``wide=None``: measure the largest group with one pre-aggregated count, then
   choose.
+
+Operators that work on each group by itself go through :func:`by_width`, which sends only the
+hot groups the wide way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +40,27 @@ def settle_width(df: DataFrame, group: Sequence[str], wide: bool | None) -> bool
     return is_wide(df, group) if wide is None else wide
 
 
+def by_width(df: DataFrame, group: Sequence[str], wide: bool | None,
+             work: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``work(rows, wide)`` on all groups; without a given ``wide``, the groups of more rows than
+    one task should sort go the wide way and all others the plain one.
+
+    One pre-aggregated count finds the hot groups. They are few, since each has over
+    ``WIDE_ROWS`` rows, so their names are sent to all tasks and no row is moved to tell the two
+    kinds apart; the checkpoints of the wide way hold rows of hot groups only.
+    """
+    if wide is not None:
+        return work(df, wide)
+    group = list(group)
+    hot = fix(df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > WIDE_ROWS)
+              .select(*[F.col(g).alias(f"__{g}") for g in group]))
+    if hot.isEmpty():
+        return work(df, False)
+    same = [df[g].eqNullSafe(hot[f"__{g}"]) for g in group]
+    few = F.broadcast(hot)
+    return work(df.join(few, same, "left_anti"), False).unionByName(work(df.join(few, same, "left_semi"), True))
+
+
 def _chunk(key: str) -> Column:
     return F.floor(F.col(key) / F.lit(CHUNK_KEYS))
 

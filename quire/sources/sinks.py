@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.plans import ranks
@@ -105,22 +105,60 @@ def summary_lines(ordered: DataFrame, report: DataFrame, advice: DataFrame, asse
     return head.unionByName(order).unionByName(tips).unionByName(review)
 
 
-def write_outputs(outputs: dict[str, tuple[DataFrame, str]], folder: str) -> dict[str, str | None]:
+#: Columns that say where a row stands inside its book, by what a frame has.
+ROW_ORDERS = (("assigned_position", "scan_index"), ("section", "line_no"))
+
+
+def ordered_output(ordered: DataFrame, parts: int | None = None) -> DataFrame:
+    """All pages in final order, as ranges of (book, position): every partition is sorted and lies
+    wholly before the next one, so a book of any size is dealt over as many as it needs.
+
+    Pages without a position stand at the end of their book.
+    """
+    keys = [F.col("book_id").asc_nulls_last(), F.col("assigned_position").asc_nulls_last(), F.col("scan_index").asc_nulls_last()]
+    spread = ordered.repartitionByRange(parts, *keys) if parts else ordered.repartitionByRange(*keys)
+    return spread.sortWithinPartitions(*keys)
+
+
+def write_ordered(ordered: DataFrame, folder: str, parts: int | None = None, rows_per_file: int = 1_000_000) -> None:
+    """Write the pages of all books in final order; the files, read by name, are that order."""
+    ordered_output(ordered, parts).write.option("maxRecordsPerFile", rows_per_file).parquet(folder)
+
+
+def read_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of ``write_ordered`` with ``output_row``, each one's place from 1 among all rows of
+    all files. Counts per file are added up, so no row is sorted again."""
+    name = F.regexp_extract("_metadata.file_name", r"part-(\d+)-.*-c(\d+)", 1).cast("long")
+    roll = F.regexp_extract("_metadata.file_name", r"part-(\d+)-.*-c(\d+)", 2).cast("long")
+    rows = spark.read.parquet(folder).select("*", name.alias("_part"), roll.alias("_roll"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_part", "_roll").agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_part", "_roll").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    before = sizes.select("_part", "_roll", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    return (rows.join(before, ["_part", "_roll"])
+            .withColumn("output_row", F.col("_before") + F.col("_row") + 1).drop("_part", "_roll", "_before", "_row"))
+
+
+def write_outputs(outputs: dict[str, tuple[DataFrame, str]], folder: str, rows_per_file: int = 1_000_000) -> dict[str, str | None]:
     """Write the chosen outputs, each by book; ``outputs`` maps a name to (frame, 'json', 'text' or 'parquet').
 
-    Rows of a book are brought together for few files, and a hot book is split
-    again by size (rebalance). A failed output does not stop the others; each name
-    maps to None when written, else to the error.
+    Rows stand in the files of their book by the first of ``ROW_ORDERS`` that the frame has; a
+    hot book is a run of ranges, and files are rolled at ``rows_per_file``. Frames without an order are
+    brought together by book, a hot one split again by size (rebalance). A failed output does not stop
+    the others; each name maps to None when written, else to the error.
     """
     done: dict[str, str | None] = {}
     for name, (frame, kind) in outputs.items():
-        keys = ["book_id"] if "book_id" in frame.columns else []
-        if kind == "text":
-            frame = frame.select(*keys, "line")
-        if keys:
-            frame = frame.hint("rebalance", *keys)
         try:
-            frame.write.mode("overwrite").partitionBy(*keys).format(kind).save(f"{folder}/{name}")
+            keys = ["book_id"] if "book_id" in frame.columns else []
+            order = next((o for o in ROW_ORDERS if set(o) <= set(frame.columns)), None)
+            if keys and order:
+                frame = frame.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+            elif keys:
+                frame = frame.hint("rebalance", *keys)
+            if kind == "text":
+                frame = frame.select(*keys, "line")
+            (frame.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).format(kind)
+             .save(f"{folder}/{name}"))
             done[name] = None
         except Exception as error:  # reported per output, as the caller asked for
             done[name] = f"{type(error).__name__}: {error}"
