@@ -275,11 +275,22 @@ def build(docs: DataFrame, setting: Settings) -> DataFrame:
         gather, "lang string, weight int, size long, forward binary, backward binary, dictionary array<binary>"))
 
 
-def _bits(frequent: DataFrame, setting: Settings) -> np.ndarray:
+def _bits(level: DataFrame, setting: Settings) -> np.ndarray:
     """The hashes of frequent phrases as a bit table, gathered as words of 64 bits."""
-    count = frequent.count()
-    power = min(setting.table_bits, max(10, (16 * count).bit_length()))
-    found = (frequent.selectExpr(f"_hash & {(1 << power) - 1}L AS p").groupBy(F.expr("shiftright(p, 6) AS i"))
+    power = min(setting.table_bits, max(10, (16 * level.count()).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            split = [p.split(b" ") for p in batch["phrase"].cast(pa.binary()).to_pylist()]
+            start = np.array([xxhash.xxh64_intdigest(lang.encode()) for lang in batch["lang"].to_pylist()], np.uint64)
+            out = None
+            for own in zip(*split):
+                mark = np.array([xxhash.xxh64_intdigest(w, 7) for w in own], np.uint64) ^ start
+                out = mark if out is None else words.pair(out, mark)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array((out & np.uint64((1 << power) - 1)).view(np.int64))], ["p"])
+
+    found = (level.select("lang", "phrase").mapInArrow(places, "p long").groupBy(F.expr("shiftright(p, 6) AS i"))
              .agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT))) AS bits")).toArrow())
     out = np.zeros(1 << power - 6, np.uint64)
     out[found["i"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
@@ -297,7 +308,7 @@ def frequent(shards: DataFrame, setting: Settings) -> DataFrame:
             if level.isEmpty():
                 break
             tables[k] = shards.sparkSession.sparkContext.broadcast(_bits(level, setting))
-    return found.drop("_hash")
+    return found
 
 
 def _level(shards: DataFrame, k: int, tables: dict, setting: Settings) -> DataFrame:
@@ -320,13 +331,12 @@ def _level(shards: DataFrame, k: int, tables: dict, setting: Settings) -> DataFr
                     texts = [dictionary.take(pa.array(part.words[:, j] - 1)).cast(pa.string()) for j in range(k)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(part.count)), pc.binary_join_element_wise(*texts, " "),
-                         pa.array(part.count * weight), pa.array(_hash(mark, part.words).view(np.int64))],
-                        ["lang", "phrase", "n", "_hash"])
+                         pa.array(part.count * weight)], ["lang", "phrase", "n"])
 
     return (shards.select("lang", "weight", "forward", "backward", "dictionary")
-            .mapInArrow(count, "lang string, phrase string, n long, _hash long")
-            .groupBy("lang", "phrase").agg(F.sum("n").alias("a"), F.max("_hash").alias("_hash"))
-            .where(F.col("a") >= setting.least).select("lang", F.lit(k).alias("words"), "phrase", "a", "_hash"))
+            .mapInArrow(count, "lang string, phrase string, n long")
+            .groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+            .where(F.col("a") >= setting.least).select("lang", F.lit(k).alias("words"), "phrase", "a"))
 
 
 def collocations(docs: DataFrame, setting: Settings = Settings()) -> DataFrame:
