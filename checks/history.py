@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.fixtures import add_view, oracle
-from quire.operators import candidates as cand, dataset as d, history as h, learner as l, scans as s
+from quire.operators import candidates as cand, dataset as d, history as h, learner as l, location_fold, scans as s
 from quire.schemas import ARABIC_SCAN_ORDER, REGIONS, ROMAN_SCAN_ORDER
 
 QUERIES, ORACLES = {}, {}
@@ -385,9 +385,38 @@ def skippable_locations(spark, sf_dir):
     return l.skippable_locations(f_hits(spark, sf_dir))
 
 
-@q("location_learner")
+# One row of each book per step, in step with all other books.
+@q("location_learner", "f_hits", """
+, steps AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS n, base + 1 AS own, hit, number_type FROM f_hits),
+fold AS (
+  SELECT book_id, CAST(0 AS BIGINT) AS n, [CAST(0 AS BIGINT) FOR x IN range(18)] AS done, [CAST(0 AS BIGINT) FOR x IN range(18)] AS tried,
+         [false FOR x IN range(18)] AS boost, [CAST(0 AS BIGINT) FOR x IN range(18)] AS since, CAST(0 AS BIGINT) AS moves,
+         CAST(0 AS BIGINT) AS pr, CAST(0 AS BIGINT) AS pa, false AS lr, false AS la, CAST(0 AS BIGINT) AS hr, CAST(0 AS BIGINT) AS ha, CAST(NULL AS BIGINT) AS place
+  FROM steps GROUP BY book_id
+  UNION ALL
+  SELECT book_id, n, done, tried, boost, since, moves,
+         CASE WHEN moved AND roman AND lr THEN greatest(5, pr - 5) ELSE pr END, CASE WHEN moved AND arabic AND la THEN greatest(5, pa - 5) ELSE pa END,
+         lr AND NOT (moved AND roman), la AND NOT (moved AND arabic), hr, ha,
+         CASE WHEN top.s > 0.6 THEN -top.i ELSE place END
+  FROM (
+    SELECT *, list_max([{'s': done[i] / greatest(tried[i], 1) * CASE WHEN boost[i] THEN CAST(1.2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END * pow(CAST(0.7 AS DOUBLE), moves - since[i]), 'd': done[i], 'i': -i} FOR i IN range(1, 19)]) AS top
+    FROM (
+      SELECT book_id, n, done, tried, moved, roman, arabic, place, moves + CAST(moved AS BIGINT) AS moves,
+             [CASE WHEN i = own THEN moved ELSE boost[i] END FOR i IN range(1, 19)] AS boost,
+             [CASE WHEN i = own THEN moves + CAST(moved AS BIGINT) ELSE since[i] END FOR i IN range(1, 19)] AS since,
+             pr + CAST(roman AS BIGINT) AS pr, pa + CAST(arabic AS BIGINT) AS pa, hr + CAST(roman AS BIGINT) AS hr, ha + CAST(arabic AS BIGINT) AS ha,
+             lr OR (roman AND pr = 9) AS lr, la OR (arabic AND pa = 9) AS la
+      FROM (
+        SELECT *, hit AND place IS NOT NULL AND place <> own AND done[own] >= 3 AS moved, hit AND number_type = 'roman' AS roman, hit AND number_type = 'arabic' AS arabic
+        FROM (
+          SELECT f.book_id, s.n, own, hit, number_type, boost, since, moves, pr, pa, lr, la, hr, ha, place,
+                 [done[i] + CAST(i = own AND hit AS BIGINT) FOR i IN range(1, 19)] AS done, [tried[i] + CAST(i = own AS BIGINT) FOR i IN range(1, 19)] AS tried
+          FROM fold f JOIN steps s ON s.book_id = f.book_id AND s.n = f.n + 1)))))
+SELECT book_id, n AS events, pr AS roman_detections, pa AS arabic_detections, lr AS roman_learned, la AS arabic_learned, """ + _NAMES + """[place] AS dominant_location,
+       CASE WHEN hr >= ha AND hr > 2 THEN 'roman' WHEN ha > 2 AND ha > hr THEN 'arabic' END AS dominant_type, moves AS shifts
+FROM fold QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY n DESC) = 1""")
 def location_learner(spark, sf_dir):
-    return l.location_learner(f_hits(spark, sf_dir))
+    return location_fold.location_learner(f_hits(spark, sf_dir))
 
 
 # ---- training data

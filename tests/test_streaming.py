@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.history import f_hits, f_sessions
-from quire.operators import history, learner
+from quire.operators import history, learner, location_fold
 from quire.streaming import jobs
 from tests.conftest import SMALL
 
@@ -36,7 +36,7 @@ def test_learner_stream_equals_batch(spark, tmp_path):
     finally:
         query.stop()
     last = spark.table("learned").groupBy("book_id").agg(F.max_by(F.struct("*"), "events").alias("r")).select("r.*")
-    batch = learner.location_learner(hits)
+    batch = location_fold.location_learner(hits)
     assert sorted(map(str, last.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
 
 
