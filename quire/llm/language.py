@@ -109,8 +109,8 @@ def fit(docs: DataFrame, setting: Settings = Settings(), modulus: int = 4, rest:
     if not counts:
         return train(np.zeros((0, 1 << bits), np.uint8), [], setting)
     each = setting.sample_rows // len(counts)
-    chance = F.create_map(*[F.lit(v) for r in counts for v in (r["_lang"], int(min(1.0, each / r["count"]) * 1e6))])
-    drawn = own.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < chance[F.col("_lang")])
+    chance = F.create_map(*[F.lit(v) for r in counts for v in (r["_lang"], store.cut(each, r["count"]))])
+    drawn = own.where(store.draw("doc_id", 23) < chance[F.col("_lang")])
 
     @F.arrow_udf("binary")
     def packed(text: pa.Array) -> pa.Array:

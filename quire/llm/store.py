@@ -44,13 +44,27 @@ def held_out(key: str, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(key, modulus) == rest, F.lit(True))
 
 
+#: A draw has this many steps for each millionth, so that a share of one row in 10**15 is still drawn.
+FINE = 1 << 40
+
+
+def draw(key: str, seed: int) -> Column:
+    """A number below 1,000,000 * FINE for each key, the same on every run."""
+    coarse = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
+    return coarse * F.lit(FINE) + F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1000)), F.lit(FINE))
+
+
+def cut(size: int, count: int) -> int:
+    """Below it lie the draws of about ``size`` of ``count`` keys; never 0 for a ``size`` of one or more."""
+    return min(1_000_000 * FINE, size * 1_000_000 * FINE // max(count, 1))
+
+
 def sample_of(rows: DataFrame, key: str, size: int) -> DataFrame:
     """About ``size`` rows, chosen by a hash of the key alone: the same rows on every run."""
     count = rows.count()
     if count <= size:
         return rows
-    cut = int(size / count * 1_000_000)
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) < cut)
+    return rows.where(draw(key, 17) < F.lit(cut(size, count)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int,

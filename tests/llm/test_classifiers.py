@@ -106,3 +106,12 @@ def test_kernel_is_the_presence_kernel():
 def test_small_sample_bound(tables):
     docs, labels = tables("documents", SMALL), tables("labels", SMALL)
     assert toxicity.fit(docs, labels, toxicity.Settings(sample_rows=5)).bias is not None
+
+
+def test_a_small_share_of_very_many_rows_is_drawn(spark):
+    """Counts of a large language or label table; the rows stand for a part of them."""
+    from quire.llm import store
+
+    assert store.cut(46, 700_000_000_000) > 0 and store.cut(3, 2) == 1_000_000 * store.FINE
+    share = store.cut(600, 1_500_000_000)  # 4e-7, less than a millionth
+    assert 5 <= spark.range(50_000_000).where(store.draw("id", 23) < share).count() <= 45
