@@ -25,8 +25,7 @@ def replay(spark, frame, folder, parts, order):
 
 
 def test_learner_stream_equals_batch(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _rocks(spark)
     hits = f_hits(spark, SMALL).select("book_id", "seq", "location", "hit", "number_type")
     stream = replay(spark, hits, str(tmp_path / "hits"), 3, "seq")
     query = (jobs.learner_stream(stream).writeStream.format("memory").queryName("learned").outputMode("update")
@@ -40,6 +39,50 @@ def test_learner_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, last.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
 
 
+def _rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def test_reordered_stream_equals_batch(spark, tmp_path):
+    """Batches shuffled within the watermark; the rows behind it come out beside the states."""
+    _rocks(spark)
+    columns = ["book_id", "seq", "location", "hit", "number_type", "ts"]
+    # event ids a second apart
+    hits = f_hits(spark, SMALL).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))).select(columns)
+    top = hits.agg(F.max("seq")).first()[0]
+    folder, out = str(tmp_path / "hits"), str(tmp_path / "out")
+    # row k goes to the batch of its own part or the one after: at most two parts behind
+    part = F.floor(F.col("seq") * 6 / (top + 1)) + F.when(F.hash("seq") % 2 == 0, 1).otherwise(0)
+    dealt = hits.withColumn("_part", part).cache()
+    long = 2**60 + 1  # not a double
+    late = spark.createDataFrame([("1", long, "top_left", True, "roman")], "book_id string, seq long, location string, hit boolean, number_type string")
+    late = late.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_003)))
+    nowhere = late.withColumns({"ts": F.lit(None).cast("timestamp"), "seq": F.lit(None).cast("long")})
+    beyond = late.withColumns({"book_id": F.lit("end"), "ts": F.timestamp_seconds(F.lit(1_800_000_000))})
+    steps = [dealt.where(F.col("_part") == k).select(columns).orderBy(F.rand(k)) for k in range(7)]
+    steps += [beyond, late.unionByName(nowhere), nowhere, nowhere.withColumn("book_id", F.lit("end"))]
+    width = f"{top // 6 * 2 + 60} seconds"
+    spark.createDataFrame([], hits.schema).write.parquet(folder)
+    stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    updates = jobs.reordering_learner_stream(stream, width, "30 seconds")
+    query = jobs.write_learner(updates, out, str(tmp_path / "state")).start()
+    try:
+        for rows in steps:
+            rows.coalesce(1).write.mode("append").parquet(folder)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    written = spark.read.parquet(out)
+    batch = location_fold.location_learner(hits.drop("ts"))
+    found = jobs.latest_learners(written).select(batch.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect()))
+    aside = [(r.outcome, r.book_id, r.seq, r.location) for r in jobs.set_aside(written).collect()]
+    assert sorted(aside, key=str) == sorted([("late", "1", long, "top_left"), ("unplaced", "end", None, "top_left"),
+                                             *[("unplaced", "1", None, "top_left")] * 2], key=str)
+    dealt.unpersist()
+
+
 def test_shift_is_learned():
     state = learner.Learner()
     for _ in range(10):
