@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.fixtures import add_view, oracle
-from quire.operators import candidates as cand, dataset as d, history as h, learner as l, location_fold, scans as s
+from quire.operators import candidates as cand, dataset as d, history as h, learner as l, location_fold, memory, scans as s
 from quire.schemas import ARABIC_SCAN_ORDER, REGIONS, ROMAN_SCAN_ORDER
 
 QUERIES, ORACLES = {}, {}
@@ -322,6 +322,47 @@ def memory_merge(spark, sf_dir):
     return h.memory_merge(both.where("o_orderstatus = 'F'").select(*kept.columns), both.where("o_orderstatus <> 'F'").select(*kept.columns))
 
 
+# One import a year: 1996 replaces, 1998 clears preferences, 1999 is written a second time in part.
+def f_memory_log(spark, sf_dir):
+    status, year = F.col("o_orderstatus"), F.year("o_orderdate")
+    rows = fx.table(spark, sf_dir, "orders").select(
+        year.cast("long").alias("batch"), F.col("o_orderkey").alias("row"), F.when(year == 1996, "replace").otherwise("merge").alias("mode"),
+        F.when(status == "F", "corrections").when(status == "O", "patterns").otherwise("preferences").alias("section"),
+        F.when(status == "O", F.col("o_orderpriority")).alias("name"), (F.col("o_custkey") % 1000).cast("string").alias("key"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("value")).where("batch <> 1998")
+    log = rows.unionByName(rows.where("batch = 1999 AND row % 3 = 0"))
+    for mark in (memory.mark(spark, 1996, "replace"), memory.mark(spark, 1998, "clear", "preferences"), memory.mark(spark, 1999)):
+        log = log.unionByName(mark)
+    return log
+
+
+add_view("f_memory_log", """
+  SELECT year(o_orderdate) AS batch, o_orderkey AS row, CASE o_orderstatus WHEN 'F' THEN 'corrections' WHEN 'O' THEN 'patterns' ELSE 'preferences' END AS section,
+         CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS name, CAST(o_custkey % 1000 AS VARCHAR) AS key, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS value
+  FROM orders WHERE year(o_orderdate) >= 1996 AND year(o_orderdate) <> 1998 AND (o_orderstatus <> 'P' OR year(o_orderdate) > 1998)""")
+
+
+@q("memory_state", "f_memory_log", "SELECT section, name, key, value FROM f_memory_log WHERE section <> 'corrections' QUALIFY row_number() OVER (PARTITION BY section, name, key ORDER BY batch DESC, row DESC) = 1")
+def memory_state(spark, sf_dir):
+    return memory.remembered(f_memory_log(spark, sf_dir))
+
+
+@q("memory_corrections", "f_memory_log", "SELECT CAST(batch AS BIGINT) AS batch, row, name, key, value FROM f_memory_log WHERE section = 'corrections'")
+def memory_corrections(spark, sf_dir):
+    return memory.corrections(f_memory_log(spark, sf_dir))
+
+
+@q("correction_examples", "f_corrections", """
+SELECT a.correction_type, a.corrections, e.place, e.seq, e.position_change, e.corrected_at
+FROM (SELECT correction_type, count(*) AS corrections FROM f_corrections GROUP BY 1) a
+JOIN (SELECT correction_type, seq, position_change, corrected AS corrected_at, row_number() OVER (PARTITION BY correction_type ORDER BY corrected DESC, seq DESC) AS place FROM f_corrections) e
+  ON e.correction_type = a.correction_type AND e.place <= 50""")
+def correction_examples(spark, sf_dir):
+    found = memory.correction_patterns(f_corrections(spark, sf_dir).withColumn("confidence", F.lit(None).cast("double")))
+    return found.select("correction_type", "corrections", F.posexplode("examples").alias("_at", "_e")).select(
+        "correction_type", "corrections", (F.col("_at") + 1).cast("long").alias("place"), "_e.seq", "_e.position_change", "_e.corrected_at")
+
+
 # ---- learner
 
 def f_hits(spark, sf_dir):
