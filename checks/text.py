@@ -71,6 +71,25 @@ def extract_hybrid(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+# letter by letter: words are runs of word characters
+add_view("f_letters", r"""
+  SELECT book_id, scan_index, unnest(string_split(full_text, '')) AS ch, generate_subscripts(string_split(full_text, ''), 1) AS p FROM f_text""", ["f_text"])
+add_view("f_runs", r"""
+  SELECT book_id, scan_index, min(p) AS start, string_agg(ch, '' ORDER BY p) AS tok FROM (
+    SELECT *, p - row_number() OVER (PARTITION BY book_id, scan_index ORDER BY p) AS run FROM f_letters WHERE regexp_matches(ch, '[\p{L}\p{N}_]'))
+  GROUP BY book_id, scan_index, run""".replace("\\\\", "\\"), ["f_letters"])
+
+
+@q("number_contexts", ["f_text", "f_runs"], """
+SELECT r.book_id, r.scan_index, number_type, tok AS text, start, CAST(length(tok) AS BIGINT) AS length,
+       trim(substr(full_text, greatest(start - 20, 1), start - greatest(start - 20, 1) + length(tok) + 20), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS context
+FROM (SELECT *, CASE WHEN regexp_full_match(tok, '[0-9]+') THEN 'arabic'
+                     WHEN regexp_full_match(lower(tok), 'm{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})') THEN 'roman' END AS number_type FROM f_runs) r
+JOIN f_text t ON t.book_id = r.book_id AND t.scan_index = r.scan_index WHERE number_type IS NOT NULL""")
+def number_contexts(spark, sf_dir):
+    return t.located_numbers(fx.f_text(spark, sf_dir)).drop("ord")
+
+
 @q("roman_to_int", "f_tokens", f"""
 SELECT DISTINCT word, CASE WHEN regexp_full_match(word, '[ivxlcdm]+') AND {roman_sql("word")} > 0 THEN {roman_sql("word")} END AS value,
        regexp_full_match(word, '[ivxlcdm]+') AS loose
