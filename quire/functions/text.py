@@ -115,6 +115,8 @@ def located_numbers(pages: DataFrame, text: str = "full_text", reach: int = 20)
                            F.length("_c.gap").alias("_gap"), F.left("_c.gap", F.lit(reach)).alias("_head"),
                            F.right("_c.gap", F.lit(reach)).alias("_tail"))
         whole = rows if whole is None else whole.unionByName(rows)
+    # the shuffle that the windows need, by page even if the pages come dealt by book
+    whole = whole.repartition("book_id", "scan_index")
     page = Window.partitionBy("book_id", "scan_index", "number_type").orderBy("ord")
     number = F.coalesce("text", F.lit(""))
     before = F.array_join(F.collect_list(F.concat("_tail", number)).over(page.rowsBetween(-reach, -1)), "")
