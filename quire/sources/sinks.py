@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions.numerals import one_decimal
 from quire.plans import ranks
 
 
@@ -79,14 +80,14 @@ def summary_lines(ordered: DataFrame, report: DataFrame, advice: DataFrame, asse
     """The text summary as (book_id, section, line_no, line); sort by section and line_no to print."""
     lines = F.array_compact(F.array(
         F.format_string("Total pages processed: %d", "page_count"),
-        F.format_string("Overall confidence: %.1f%%", "overall_confidence"),
+        F.format_string("Overall confidence: %s%%", one_decimal(F.col("overall_confidence"))),
         F.format_string("Pages needing review: %d", "problem_pages"),
         F.when(F.col("needs_human_review"), "HUMAN REVIEW RECOMMENDED").otherwise("Automatic ordering appears reliable"),
         F.format_string("High confidence pages: %d", "high_pages"),
         F.format_string("Medium confidence pages: %d", "medium_pages"),
         F.format_string("Low confidence pages: %d", "low_pages"),
-        F.format_string("Numbering detection: %.1f%%", "numbering_confidence"),
-        F.format_string("Sequence quality: %.1f%%", F.col("sequence_confidence").cast("double"))))
+        F.format_string("Numbering detection: %s%%", one_decimal(F.col("numbering_confidence"))),
+        F.format_string("Sequence quality: %s%%", one_decimal(F.col("sequence_confidence")))))
     head = report.select("book_id", F.lit("1 results").alias("section"),
                          F.posexplode(lines).alias("line_no", "line"))
     mark = F.when(F.col("confidence") > 0.8, "ok").when(F.col("confidence") > 0.5, "check").otherwise("unsure")
