@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.plans import ranks
+from quire.plans.session import fix
 
 # Settings counted as features.
 FEATURES = ["preprocessing", "auto_rotate", "auto_crop", "clean_circles", "blank_removal", "compression"]
@@ -153,13 +154,27 @@ def _stem(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(.)\.[^.]*$", "$1"))
 
 
+def _alike(asking: DataFrame, stored: DataFrame) -> DataFrame:
+    """Which stored prefixes (``_prefix``) fit each asking one: equal, or the shorter a whole name that opens the other."""
+    def cut(column: Column) -> Column:
+        return F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.lit(5)), lambda n: n <= F.length(column)),
+                                     lambda n: F.substring(column, F.lit(1), n)))
+
+    left = asking.select("prefix", cut(F.col("prefix")).alias("_cut"))
+    right = stored.select(F.col("prefix").alias("_prefix"), cut(F.col("prefix")).alias("_cut"))
+    size = F.length("_cut")
+    return left.join(right, "_cut").where((size == F.length("prefix")) | (size == F.length("_prefix"))).select("prefix", "_prefix")
+
+
 def suggest_positions(pages: DataFrame, corrections: DataFrame, minimum: int = 3) -> DataFrame:
     """Suggested position from similar corrections: the most common change, first seen on ties.
 
     Similar means equal first five characters of the name, first numbers within 3,
-    or original position within 2. Corrections are counted per key and change
-    first, and the three conditions are combined by inclusion and exclusion, so no
-    page is ever paired with single corrections.
+    or original position within 2. Corrections are counted per (prefix, number, position,
+    change) first. Prefix and position are combined by inclusion and exclusion over the
+    distinct (prefix, position) of the pages; what only the number meets is added from the
+    counts at the numbers around, so no page is ever paired with single corrections and the
+    big joins stay off the driver.
 
     ``pages``: page_id, page_name, position. ``corrections``: page_name,
     original_position, position_change, seq.
@@ -171,51 +186,48 @@ def suggest_positions(pages: DataFrame, corrections: DataFrame, minimum: int = 3
     history = corrections.select(
         *[c.alias(k) for k, c in keyed(F.col("page_name")).items()],
         F.col("original_position").cast("long").alias("pos"), "position_change", "seq")
-    asks = pages.select(
+    history = fix(history.groupBy("prefix", "num", "pos", "position_change").agg(
+        F.count("*").alias("_n"), F.min("seq").alias("_seen")))
+    # nothing in these keys is null, so that pages without number or position keep their prefix
+    pair_key = F.concat_ws("\u0001", F.coalesce("prefix", F.lit("")), F.coalesce(F.col("pos").cast("string"), F.lit("-")))
+    ask_key = F.concat_ws("\u0001", pair_key, F.coalesce(F.col("num").cast("string"), F.lit("-")))
+    asks = fix(pages.select(
         *[c.alias(k) for k, c in keyed(F.col("page_name")).items()], F.col("position").cast("long").alias("pos")).distinct()
-    # a short name is its own prefix, so it also meets every longer name that starts with it
-    lengths = [F.struct(F.lit(n).alias("n"), F.substring("prefix", 1, n).alias("prefix")) for n in range(1, 6)]
-    reach = {"num": 3, "pos": 2}
-    ask_key = F.sha2(F.concat_ws("\u0001", "prefix", F.coalesce(F.col("num").cast("string"), F.lit("-")), F.col("pos").cast("string")), 256)
-    asks = asks.withColumn("_ask", ask_key)
-    parts = []
-    for used in (("prefix",), ("num",), ("pos",), ("prefix", "num"), ("prefix", "pos"), ("num", "pos"), ("prefix", "num", "pos")):
-        left, right, keys = asks, history, []
-        for key in used:
-            if key == "prefix":
-                size_a, size_b = F.length("prefix"), F.length("prefix")
-                left = left.withColumn("_p", F.explode(F.array_compact(F.array(*[
-                    F.when(F.lit(n) <= size_a, F.struct((F.lit(n) == size_a).alias("whole"), s["n"].alias("n"), s["prefix"].alias("prefix")))
-                    for n, s in enumerate(lengths, 1)]))))
-                left = left.withColumns({"_pre": F.col("_p.prefix"), "_whole": F.col("_p.whole")}).drop("_p")
-                right = right.withColumn("_p", F.explode(F.array_compact(F.array(*[
-                    F.when(F.lit(n) <= size_b, F.struct((F.lit(n) == size_b).alias("whole"), s["prefix"].alias("prefix")))
-                    for n, s in enumerate(lengths, 1)]))))
-                right = right.withColumns({"_pre": F.col("_p.prefix"), "_whole_b": F.col("_p.whole")}).drop("_p")
-                keys.append("_pre")
-            else:
-                near = F.explode(F.sequence(F.col(key) - reach[key], F.col(key) + reach[key]))
-                left = left.where(F.col(key).isNotNull()).withColumn(f"_{key}", near)
-                right = right.withColumn(f"_{key}", F.col(key))
-                keys.append(f"_{key}")
-        flags = ["_whole_b"] if "prefix" in used else []
-        counted = right.groupBy(*keys, *flags, "position_change").agg(
-            F.count("*").alias("_n"), F.min("seq").alias("_seen"))
-        met = left.join(counted, keys)
-        if flags:
-            # compare at the length of the shorter of the two names
-            met = met.where(F.col("_whole") | F.col("_whole_b"))
-        sign = 1 if len(used) % 2 else -1
-        parts.append(met.select("_ask", "position_change", (sign * F.col("_n")).alias("_n"), "_seen"))
-    union = parts[0]
+        .withColumns({"_ask": ask_key, "_pair": pair_key}))
+    pairs = asks.select("_pair", "prefix", "pos").distinct()
+    change, totals = "position_change", (F.sum("_n").alias("_n"), F.min("_seen").alias("_seen"))
+
+    near = pairs.select("pos").distinct().select("pos", F.explode(F.sequence(F.col("pos") - 2, F.col("pos") + 2)).alias("_pos"))
+    at = history.groupBy("prefix", "pos", change).agg(*totals)
+    alike = _alike(pairs.select("prefix").distinct(), at.select("prefix").distinct())
+    of_prefix = alike.join(at.withColumnRenamed("prefix", "_prefix"), "_prefix")
+    by_prefix = of_prefix.groupBy("prefix", change).agg(*totals)
+    by_pos = near.join(at.select(F.col("pos").alias("_pos"), change, "_n", "_seen"), "_pos").groupBy("pos", change).agg(*totals)
+    by_both = (near.join(of_prefix.groupBy("prefix", F.col("pos").alias("_pos"), change).agg(*totals), "_pos")
+               .groupBy("prefix", "pos", change).agg(*totals))
+    parts = [pairs.join(by_prefix, ["prefix"]), pairs.join(by_pos, ["pos"]),
+             pairs.join(by_both.withColumn("_n", -F.col("_n")), ["prefix", "pos"])]
+    union = parts[0].select("_pair", change, "_n", "_seen")
     for part in parts[1:]:
-        union = union.unionByName(part)
-    per_change = union.groupBy("_ask", "position_change").agg(F.sum("_n").alias("_n"), F.min("_seen").alias("_seen"))
+        union = union.unionByName(part.select("_pair", change, "_n", "_seen"))
+    per_pair = union.groupBy("_pair", change).agg(*totals)
+
+    around = asks.where(F.col("num").isNotNull()).withColumn("_num", F.explode(F.sequence(F.col("num") - 3, F.col("num") + 3)))
+    counted = history.where(F.col("num").isNotNull()).select(
+        F.col("num").alias("_num"), F.col("prefix").alias("_prefix"), F.col("pos").alias("_pos"), change, "_n", "_seen")
+    met = around.hint("merge").join(counted, "_num")
+    one, other = F.col("prefix"), F.col("_prefix")
+    same_prefix = (F.length(one) > 0) & (F.length(other) > 0) & (one.startswith(other) | other.startswith(one))
+    same_place = F.abs(F.col("pos") - F.col("_pos")) <= 2
+    by_num = met.where(~F.coalesce(same_prefix, F.lit(False)) & ~F.coalesce(same_place, F.lit(False)))
+    per_change = (by_num.select("_ask", change, "_n", "_seen")
+                  .unionByName(asks.join(per_pair, "_pair").select("_ask", change, "_n", "_seen"))
+                  .groupBy("_ask", change).agg(*totals))
     best = per_change.groupBy("_ask").agg(
         F.sum("_n").alias("similar"),
         F.min_by("position_change", F.struct(-F.col("_n"), "_seen")).alias("change")).where(F.col("similar") >= minimum)
     rows = pages.withColumns({**keyed(F.col("page_name")), "pos": F.col("position").cast("long")}).withColumn("_ask", ask_key)
-    return rows.join(best, ["_ask"]).select(
+    return rows.hint("merge").join(best, ["_ask"]).select(
         "page_id", "page_name", "position", "similar", (F.col("position") + F.col("change")).alias("suggested"))
 
 
