@@ -290,33 +290,29 @@ add_view("f_best", """
 _KEYS = ["book_id", "scan_index", "block_index", "region", "candidate", "number"]
 
 
-def boxes(spark, sf_dir):
-    return cand.region_assign(f_blocks(spark, sf_dir))
-
-
 @q("score_arabic", "f_arabic", "SELECT book_id, scan_index, block_index, region, candidate, number, round(confidence, 6) AS confidence FROM f_arabic")
 def score_arabic(spark, sf_dir):
-    return cand.score_arabic(boxes(spark, sf_dir)).select(*_KEYS, F.round("confidence", 6).alias("confidence"))
+    return cand.score_arabic(f_blocks(spark, sf_dir)).select(*_KEYS, F.round("confidence", 6).alias("confidence"))
 
 
 @q("score_roman", "f_roman", "SELECT book_id, scan_index, block_index, region, candidate, number, round(confidence, 6) AS confidence FROM f_roman")
 def score_roman(spark, sf_dir):
-    return cand.score_roman(boxes(spark, sf_dir)).select(*_KEYS, F.round("confidence", 6).alias("confidence"))
+    return cand.score_roman(f_blocks(spark, sf_dir)).select(*_KEYS, F.round("confidence", 6).alias("confidence"))
 
 
 @q("edge_boost", "f_cand", "SELECT book_id, scan_index, block_index, region, candidate, number, round(confidence, 6) AS confidence FROM f_cand")
 def edge_boost(spark, sf_dir):
-    return cand.candidates(boxes(spark, sf_dir)).select(*_KEYS, F.round("confidence", 6).alias("confidence"))
+    return cand.candidates(f_blocks(spark, sf_dir)).select(*_KEYS, F.round("confidence", 6).alias("confidence"))
 
 
 @q("early_exit", "f_kept", "SELECT book_id, scan_index, block_index, region, candidate, number FROM f_kept")
 def early_exit(spark, sf_dir):
-    return cand.early_exit(cand.candidates(boxes(spark, sf_dir))).select(*_KEYS)
+    return cand.early_exit(cand.candidates(f_blocks(spark, sf_dir))).select(*_KEYS)
 
 
 @q("best_candidate", "f_best", "SELECT book_id, scan_index, candidate AS text, number, kind, region, round(weighted, 6) AS confidence FROM f_best")
 def best_candidate(spark, sf_dir):
-    return cand.best_candidate(cand.candidates(boxes(spark, sf_dir))).withColumn("confidence", F.round("confidence", 6))
+    return cand.best_candidate(cand.candidates(f_blocks(spark, sf_dir))).withColumn("confidence", F.round("confidence", 6))
 
 
 @q("repair_numbers", "f_best", """
@@ -324,7 +320,7 @@ SELECT book_id, scan_index, CASE WHEN bad AND number // 10 BETWEEN 1 AND 9 THEN
        round(weighted * CASE WHEN bad THEN 0.8 ELSE 1 END, 6) AS confidence
 FROM (SELECT *, number > 15 AND number BETWEEN 10 AND 99 AND candidate NOT IN ('i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii','xiii','xiv','xv','xvi','xvii','xviii','xix','xx') AS bad FROM f_best)""")
 def repair_numbers(spark, sf_dir):
-    best = cand.best_candidate(cand.candidates(boxes(spark, sf_dir)))
+    best = cand.best_candidate(cand.candidates(f_blocks(spark, sf_dir)))
     return cand.repair_numbers(best, F.lit(10)).select(
         "book_id", "scan_index", "number", "repaired", F.round("confidence", 6).alias("confidence"))
 
@@ -333,6 +329,6 @@ def repair_numbers(spark, sf_dir):
 SELECT book_id, scan_index, candidate AS text, CASE WHEN candidate IN ('i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii','xiii','xiv','xv') THEN 'roman' ELSE 'arabic' END AS number_type,
        number AS numeric_value, CASE WHEN scan_index + 1 BETWEEN 6 AND 16 THEN 'roman' WHEN scan_index + 1 > 16 THEN 'arabic' END AS expected FROM f_best WHERE weighted > 50""")
 def accept_numbers(spark, sf_dir):
-    best = cand.best_candidate(cand.candidates(boxes(spark, sf_dir)))
+    best = cand.best_candidate(cand.candidates(f_blocks(spark, sf_dir)))
     hint = cand.expected_type(F.col("scan_index") + 1, F.lit(None).cast("string"))
     return cand.accept(best).select("book_id", "scan_index", "text", "number_type", "numeric_value", hint.alias("expected"))

@@ -48,12 +48,13 @@ def _first(*rules: tuple[Column, float]) -> Column:
 
 def _arabic_matches() -> Column:
     found = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])([0-9]{1,3})(?![\p{L}\p{N}_])"), F.lit(1))
-    return F.transform(found, lambda m: F.struct(F.lit("arabic").alias("kind"), m.alias("candidate")))
+    return F.transform(found, lambda m: F.struct(
+        F.lit("arabic").alias("kind"), m.alias("candidate"), m.try_cast("int").alias("number")))
 
 
 def _roman_matches() -> Column:
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])([ivxlcdm]{1,10})(?![\p{L}\p{N}_])"), F.lit(1)))
-    return F.transform(found, lambda m: F.struct(F.lit("roman").alias("kind"), m.alias("candidate")))
+    return F.transform(found, lambda m: F.struct(F.lit("roman").alias("kind"), m.alias("candidate"), roman_value(m).alias("number")))
 
 
 def _arabic_score(score_scale: float) -> Column:
@@ -83,21 +84,26 @@ def _roman_stands() -> Column:
     alone = (size > 1) | (one == "x") | (one.isin("i", "v") & (F.length("text") <= 3))
     longer = (F.size("_all") > 1) & F.exists("_all", lambda o: (
         (o["kind"] == "roman") & (F.length(o["candidate"]) > size) & o["candidate"].contains(one)
-        & roman_value(o["candidate"]).between(1, 50)))
+        & o["number"].between(1, 50)))
     return F.col("number").between(1, 50) & alone & ~longer
 
 
 def _scored(boxes: DataFrame, matches: Column, score_scale: float) -> DataFrame:
-    """Candidates of the given matches: kind, candidate, number and capped score."""
+    """Candidates of the given matches: kind, candidate, number and capped score.
+
+    ``boxes`` may still lack their regions; then each text is read once, not once per region
+    that its box lies in, and only boxes with candidates are placed.
+    """
+    arabic = F.col("kind") == "arabic"
     rows = (boxes.withColumn("text", F.btrim("text", F.lit(" \t\r\n"))).where(plausible_text(F.col("text")))
             .withColumn("_all", matches)
-            .select("*", F.posexplode("_all").alias("cand_ord", "_c")).select("*", "_c.kind", "_c.candidate"))
-    arabic = F.col("kind") == "arabic"
-    rows = rows.withColumn("number", F.when(arabic, F.col("candidate").try_cast("int")).otherwise(
-        roman_value(F.col("candidate"))))
-    stands = F.when(arabic, F.col("number").between(1, 999)).otherwise(_roman_stands())
+            .select("*", F.posexplode("_all").alias("cand_ord", "_c"))
+            .select("*", "_c.kind", "_c.candidate", "_c.number"))
+    rows = rows.where(F.when(arabic, F.col("number").between(1, 999)).otherwise(_roman_stands())).drop("_all", "_c")
+    if "region" not in boxes.columns:
+        rows = region_assign(rows)
     score = F.when(arabic, _arabic_score(score_scale)).otherwise(_roman_score(score_scale))
-    return rows.where(stands).drop("_all", "_c").withColumn("confidence", F.least(score, F.lit(CAP)))
+    return rows.withColumn("confidence", F.least(score, F.lit(CAP)))
 
 
 def score_arabic(boxes: DataFrame, score_scale: float = 1.0) -> DataFrame:
