@@ -28,17 +28,17 @@ def confidence_class(confidence: Column) -> Column:
     return F.when(confidence > 0.8, "high").when(confidence > 0.5, "medium").otherwise("low")
 
 
-def order_comparison(pages: DataFrame, ordered: DataFrame) -> DataFrame:
+def order_comparison(pages: DataFrame, ordered: DataFrame, wide: bool | None = None) -> DataFrame:
     """Original place beside final place for every page of either list."""
     before = pages.select("book_id", "scan_index", (F.col("scan_index") + 1).alias("original_place"))
     after = ordered.select("book_id", "scan_index", "assigned_position", "confidence")
-    return before.join(after, ["book_id", "scan_index"], "full_outer").select(
+    return ranks.dealt(before, ["book_id", "scan_index"], wide).join(after, ["book_id", "scan_index"], "full_outer").select(
         "book_id", "scan_index", "original_place", "assigned_position",
         (F.col("assigned_position") - F.col("original_place")).alias("shift"),
         confidence_class(F.col("confidence")).alias("confidence_class"))
 
 
-def page_details(ordered: DataFrame, detected: DataFrame, page_text: DataFrame) -> DataFrame:
+def page_details(ordered: DataFrame, detected: DataFrame, page_text: DataFrame, wide: bool | None = None) -> DataFrame:
     """One JSON object per page: place, confidence, numbers, OCR facts.
 
     A long book never becomes one object; the file sink writes one line per page
@@ -53,7 +53,7 @@ def page_details(ordered: DataFrame, detected: DataFrame, page_text: DataFrame)
     listed = F.transform(F.coalesce(kept, F.array()), lambda n: F.struct(
         n["text"].alias("text"), n["type"].alias("type"), n["numeric_value"].alias("numeric_value"),
         n["confidence"].alias("confidence")))
-    return (ordered.join(numbers, ["book_id", "scan_index"], "left")
+    return (ranks.dealt(ordered, ["book_id", "scan_index"], wide).join(numbers, ["book_id", "scan_index"], "left")
             .join(page_text, ["book_id", "scan_index"], "left")
             .select("book_id", "scan_index", F.struct(
                 F.col("original_name").alias("original_filename"), "assigned_position", "confidence",
