@@ -9,7 +9,8 @@ Phrases are counted level by level. A phrase of k words can be frequent only if
 k - 1 words in it are, so the index walks from the words in the middle: it extends their
 intervals to the right, drops what is not frequent, extends to the left, and drops again. It asks
 a bit table of the frequent phrases, of bounded size, which may let too much through but never
-loses a phrase. Counts of all shards are added in Spark, where the phrase itself is the key, so
+loses a phrase. Pairs of words are first counted by hash alone, in a few bytes each, which tells
+most of the rare ones. Counts of all shards are added in Spark, where the phrase itself is the key, so
 no two phrases are ever mixed up, and the exact minimum is applied to the sums.
 
 Scores, the search for longer phrases and the ranks are joins and windows over frequent phrases.
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import store, words
+from quire.llm.hpyp import press, press_sorted, unpress, unpress_sorted
 
 
 @dataclass(frozen=True)
@@ -275,9 +277,22 @@ def build(docs: DataFrame, setting: Settings) -> DataFrame:
         gather, "lang string, weight int, size long, forward binary, backward binary, dictionary array<binary>"))
 
 
+def _power(count: int, setting: Settings) -> int:
+    return min(setting.table_bits, max(10, (16 * count).bit_length()))
+
+
+def _table(places: DataFrame, power: int) -> np.ndarray:
+    """A bit table of 2**``power`` bits with the bits ``p`` set, gathered as words of 64 bits."""
+    found = (places.groupBy(F.expr("shiftright(p, 6) AS i"))
+             .agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT))) AS bits")).toArrow())
+    out = np.zeros(1 << power - 6, np.uint64)
+    out[found["i"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def _bits(level: DataFrame, setting: Settings) -> np.ndarray:
-    """The hashes of frequent phrases as a bit table, gathered as words of 64 bits."""
-    power = min(setting.table_bits, max(10, (16 * level.count()).bit_length()))
+    """The hashes of frequent phrases as a bit table."""
+    power = _power(level.count(), setting)
 
     def places(batches):
         for batch in batches:
@@ -290,50 +305,112 @@ def _bits(level: DataFrame, setting: Settings) -> np.ndarray:
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array((out & np.uint64((1 << power) - 1)).view(np.int64))], ["p"])
 
-    found = (level.select("lang", "phrase").mapInArrow(places, "p long").groupBy(F.expr("shiftright(p, 6) AS i"))
-             .agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT))) AS bits")).toArrow())
-    out = np.zeros(1 << power - 6, np.uint64)
-    out[found["i"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return out
+    return _table(level.select("lang", "phrase").mapInArrow(places, "p long"), power)
 
 
 def frequent(shards: DataFrame, setting: Settings) -> DataFrame:
     """lang, words (how many), phrase, a: all phrases of at most ``longest`` words that occur
     ``least`` times or more."""
     found, tables = None, {}
+    context = shards.sparkSession.sparkContext
     for k in range(1, setting.longest + 1):
-        level = store.keep(_level(shards, k, dict(tables), setting))
+        # most pairs of frequent words are rare, and they are most of what would be shuffled
+        sieve = context.broadcast(_sieve(shards, k, dict(tables), setting)) if k == 2 else None
+        level = store.keep(_level(shards, k, dict(tables), sieve, setting))
         found = level if found is None else found.unionByName(level)
         if k < setting.longest:
             if level.isEmpty():
                 break
-            tables[k] = shards.sparkSession.sparkContext.broadcast(_bits(level, setting))
+            tables[k] = context.broadcast(_bits(level, setting))
     return found
 
 
-def _level(shards: DataFrame, k: int, tables: dict, setting: Settings) -> DataFrame:
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h & np.uint64(64 * len(bits) - 1)
+    return bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1) > 0
+
+
+def _walk(batches, k: int, tables: dict) -> Iterator[tuple[str, int, pa.Array, np.ndarray, Intervals]]:
+    """(lang, weight, dictionary, hashes of its words, phrases of k words that can be frequent) of each shard."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            lang, weight = batch["lang"][row].as_py(), batch["weight"][row].as_py()
+            dictionary = batch["dictionary"][row].values
+            last = [np.frombuffer(batch[c][row].as_buffer(), "<i4") for c in ("forward", "backward")]
+            mark = _mark(lang, dictionary)
+
+            def passes(numbers: np.ndarray) -> np.ndarray:
+                return _in(tables[numbers.shape[1]].value, _hash(mark, numbers))
+
+            yield lang, weight, dictionary, mark, phrases_of(BidirectionalIndex(*last), k, passes)
+
+
+_WALKED = ("lang", "weight", "forward", "backward", "dictionary")
+#: Bits of a hash that the sieve counts by, and hashes a task holds before it sends their counts on.
+_SIEVE_BITS, _SIEVE_HELD = 40, 1 << 21
+
+
+def _sieve(shards: DataFrame, k: int, tables: dict, setting: Settings) -> np.ndarray:
+    """A bit table that every phrase of k words passes whose count can reach ``least``: counts are
+    added by hash, in buckets of hashes, where phrases of one hash only make each other pass."""
+    buckets = max(64, shards.count() // 2)
+
+    def send(held: list) -> Iterator[pa.RecordBatch]:
+        h, n = _added(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+        edges = np.searchsorted(h * np.uint64(buckets) >> np.uint64(_SIEVE_BITS), np.arange(buckets + 1, dtype=np.uint64))
+        own = np.flatnonzero(np.diff(edges))
+        for part in range(0, len(own), 256):
+            cuts = [slice(edges[i], edges[i + 1]) for i in own[part:part + 256]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[part:part + 256], pa.int32()), pa.array([c.stop - c.start for c in cuts], pa.int64()),
+                 pa.array([press_sorted(h[c]) for c in cuts], pa.binary()), pa.array([press(n[c]) for c in cuts], pa.binary())],
+                ["bucket", "size", "hashes", "counts"])
+
     def count(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                lang, weight = batch["lang"][row].as_py(), batch["weight"][row].as_py()
-                dictionary = batch["dictionary"][row].values
-                last = [np.frombuffer(batch[c][row].as_buffer(), "<i4") for c in ("forward", "backward")]
-                mark = _mark(lang, dictionary)
-
-                def passes(numbers: np.ndarray) -> np.ndarray:
-                    bits = tables[numbers.shape[1]].value
-                    h = _hash(mark, numbers) & np.uint64(64 * len(bits) - 1)
-                    return bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1) > 0
-
-                got = phrases_of(BidirectionalIndex(*last), k, passes)
-                for start in range(0, len(got.count), 1 << 16):
-                    part = got.take(slice(start, start + (1 << 16)))
-                    texts = [dictionary.take(pa.array(part.words[:, j] - 1)).cast(pa.string()) for j in range(k)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part.count)), pc.binary_join_element_wise(*texts, " "),
-                         pa.array(part.count * weight)], ["lang", "phrase", "n"])
-
-    return (shards.select("lang", "weight", "forward", "backward", "dictionary")
+        held, size = [], 0
+        for _, weight, _, mark, got in _walk(batches, k, tables):
+            if len(got.count):
+                held.append((_hash(mark, got.words) & np.uint64((1 << _SIEVE_BITS) - 1), got.count * weight))
+                size += len(got.count)
+            if size >= _SIEVE_HELD:
+                yield from send(held)
+                held, size = [], 0
+        if held:
+            yield from send(held)
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        h, n = _added(np.concatenate([unpress_sorted(r["hashes"], r["size"]) for r in rows]),
+                      np.concatenate([unpress(r["counts"], r["size"]).view(np.int64) for r in rows]))
+        return pa.table({"p": pa.array(h[n >= setting.least].view(np.int64))})
+
+    sent = shards.select(*_WALKED).mapInArrow(count, "bucket int, size long, hashes binary, counts binary")
+    places = store.keep(sent.groupBy("bucket").applyInArrow(merge, "p long"))
+    power = _power(places.count(), setting)
+    return _table(places.select(F.col("p").bitwiseAND(F.lit((1 << power) - 1)).alias("p")), power)
+
+
+def _added(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, in order, with the sum of its counts."""
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[first], np.add.reduceat(n, first)
+
+
+def _level(shards: DataFrame, k: int, tables: dict, sieve, setting: Settings) -> DataFrame:
+    def count(batches):
+        for lang, weight, dictionary, mark, got in _walk(batches, k, tables):
+            if sieve is not None:
+                got = got.take(_in(sieve.value, _hash(mark, got.words)))
+            for start in range(0, len(got.count), 1 << 16):
+                part = got.take(slice(start, start + (1 << 16)))
+                texts = [dictionary.take(pa.array(part.words[:, j] - 1)).cast(pa.string()) for j in range(k)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part.count)), pc.binary_join_element_wise(*texts, " "),
+                     pa.array(part.count * weight)], ["lang", "phrase", "n"])
+
+    return (shards.select(*_WALKED)
             .mapInArrow(count, "lang string, phrase string, n long")
             .groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
             .where(F.col("a") >= setting.least).select("lang", F.lit(k).alias("words"), "phrase", "a"))

@@ -91,6 +91,20 @@ def test_small_shards_small_tables_and_few_ranks(spark, tables):
     assert _got(phrases.collocations(docs.repartition(5), setting)) == _plain(rows, 20, 7)
 
 
+def test_rare_pairs_are_not_sent_as_phrases(spark, tables, monkeypatch):
+    monkeypatch.setattr(phrases, "_SIEVE_HELD", 100)
+    setting = phrases.Settings(shard=3000, chunk=700)
+    shards = phrases.build(tables("documents").repartition(5), setting)
+    word = phrases._level(shards, 1, {}, None, setting)
+    known = {1: spark.sparkContext.broadcast(phrases._bits(word, setting))}
+    sieve = spark.sparkContext.broadcast(phrases._sieve(shards, 2, known, setting))
+    through = phrases._level(shards, 2, known, sieve, phrases.Settings(least=1))
+    every = {(r.lang, r.phrase): r.a for r in phrases._level(shards, 2, known, None, phrases.Settings(least=1)).collect()}
+    kept = {(r.lang, r.phrase): r.a for r in through.collect()}
+    assert {p for p, a in every.items() if a >= setting.least} <= set(kept) and kept.items() <= every.items()
+    assert len(kept) < len(every) / 4
+
+
 def test_hard_rows(spark, hard_docs):
     more = spark.createDataFrame(
         [(20, "Big Cat,big cat\tBIG  cat. big\x0bcat" * 12, None, "a", 1), (21, "É É É É É É É" * 9, "fr", "a", 1), (22, ",,, ..", "fr", "a", 1),
