@@ -131,17 +131,29 @@ def _listed(listed: list[bytes]) -> Numbered:
     return Numbered(coded.indices.to_numpy() + 1, coded.dictionary, False, False)
 
 
+def ordered(key: np.ndarray) -> np.ndarray:
+    """The places of ``key``, whole numbers from 0, in order of their values; equal ones stay in order."""
+    if len(key) == 0:
+        return np.zeros(0, np.int64)
+    place = (len(key) - 1).bit_length()
+    if int(key.max()).bit_length() + place > 63:
+        return np.argsort(key, kind="stable")
+    # value and place in one number: sorting numbers is several times faster than sorting places by them
+    return np.sort(key.astype(np.int64) << place | np.arange(len(key))) & ((1 << place) - 1)
+
+
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """The places of ``text``, read around its end, in order of their first ``depth`` symbols or
     more, by doubling; places that agree so far stay in order."""
     rank, known = text.astype(np.int64), 1
     while True:
         key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -known)
-        order = np.argsort(key, kind="stable")
+        order = ordered(key)
         known *= 2
         if known >= depth:
             return order
-        changed = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
+        key = key[order]
+        changed = np.r_[0, np.cumsum(key[1:] != key[:-1])]
         rank = np.empty_like(rank)
         rank[order] = changed
 
@@ -169,20 +181,19 @@ class BidirectionalIndex:
 
     def __init__(self, forward: np.ndarray, backward: np.ndarray) -> None:
         self.last = (forward, backward)
-        self.step = tuple(self._step(last) for last in self.last)
+        self._steps: dict[int, np.ndarray] = {}
 
     @classmethod
     def of(cls, text: np.ndarray, depth: int) -> BidirectionalIndex:
         back = text[::-1]
         return cls(text[sorted_suffixes(text, depth) - 1], back[sorted_suffixes(back, depth) - 1])
 
-    @staticmethod
-    def _step(last: np.ndarray) -> np.ndarray:
+    def step(self, side: int) -> np.ndarray:
         """Row -> row of the suffix that begins one symbol earlier."""
-        out = np.empty(len(last), np.int64)
-        small = last.astype(np.uint16) if last.max(initial=0) < 1 << 16 else last
-        out[np.argsort(small, kind="stable")] = np.arange(len(last))
-        return out
+        if side not in self._steps:
+            self._steps[side] = np.empty(len(self.last[side]), np.int64)
+            self._steps[side][ordered(self.last[side])] = np.arange(len(self.last[side]))
+        return self._steps[side]
 
     def root(self) -> Intervals:
         """The empty phrase."""
@@ -191,26 +202,37 @@ class BidirectionalIndex:
     def extend(self, phrases: Intervals, left: bool) -> Intervals:
         """Every phrase with every word that precedes (or follows) it; never over a border."""
         own, other = (phrases.forward, phrases.backward) if left else (phrases.backward, phrases.forward)
-        last, step = (self.last[0], self.step[0]) if left else (self.last[1], self.step[1])
+        last = self.last[0 if left else 1]
+        if phrases.words.shape[1] == 0:  # rows are in order of their first word: no need to look for it
+            count = np.bincount(last)
+            begin, word = np.cumsum(count) - count, np.flatnonzero(count)
+            word = word[word > 0] if len(phrases.count) else word[:0]
+            return Intervals(word[:, None].astype(np.int32), begin[word], begin[word], count[word])
         begin = np.cumsum(phrases.count) - phrases.count
         parent = np.repeat(np.arange(len(own)), phrases.count)
         row = np.arange(len(parent)) - begin[parent] + own[parent]
         key = parent * (int(last.max(initial=0)) + 1) + last[row]
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
+        order = ordered(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.r_[first, len(key)])
         at = row[order[first]]
         up, word = parent[order[first]], last[at]
-        moved, stayed = step[at], other[up] + first - begin[up]
+        moved, stayed = self.step(0 if left else 1)[at], other[up] + first - begin[up]
         grown = np.column_stack([word, phrases.words[up]] if left else [phrases.words[up], word])
         made = Intervals(grown.astype(np.int32), moved if left else stayed, stayed if left else moved, count)
         return made.take(word > 0)
 
 
+def _hashes(listed: pa.Array) -> np.ndarray:
+    """A hash of each word, the same wherever it occurs."""
+    raw, at = words.raw_bytes(listed.cast(pa.large_binary()))
+    return words.hashes(raw, at[:-1], at[1:])
+
+
 def _mark(lang: str, dictionary: pa.Array) -> np.ndarray:
     """A hash per word number, the border's first, that is the same in all shards of a language."""
-    return np.array([0, *(xxhash.xxh64_intdigest(w, 7) for w in dictionary.to_pylist())], np.uint64) ^ np.uint64(
-        xxhash.xxh64_intdigest(lang.encode()))
+    return np.r_[np.uint64(0), _hashes(dictionary)] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))
 
 
 def _hash(mark: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -242,10 +264,11 @@ def build(docs: DataFrame, setting: Settings) -> DataFrame:
             at += own
         text = np.concatenate(parts).astype(np.int32)
         index = BidirectionalIndex.of(text, setting.longest)
+        known = every.dictionary.cast(pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.array([lang]), pa.array([weight], pa.int32()), pa.array([int((text > 0).sum())]),
              *(pa.array([last.astype("<i4").tobytes()]) for last in index.last),
-             pa.array([every.dictionary.to_pylist()], pa.list_(pa.binary()))],
+             pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known)],
             ["lang", "weight", "size", "forward", "backward", "dictionary"])
 
     def parts(texts: pa.Array) -> Iterator[tuple[int, Numbered]]:
@@ -300,7 +323,7 @@ def _bits(level: DataFrame, setting: Settings) -> np.ndarray:
             start = np.array([xxhash.xxh64_intdigest(lang.encode()) for lang in batch["lang"].to_pylist()], np.uint64)
             out = None
             for own in zip(*split):
-                mark = np.array([xxhash.xxh64_intdigest(w, 7) for w in own], np.uint64) ^ start
+                mark = _hashes(pa.array(own, pa.binary())) ^ start
                 out = mark if out is None else words.pair(out, mark)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array((out & np.uint64((1 << power) - 1)).view(np.int64))], ["p"])

@@ -117,11 +117,15 @@ def split(texts: pa.Array, letters: bool = False) -> Words:
     end = solid.copy()
     end[:-1] &= ~solid[1:] | border[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * _power(_BASE, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts])
     row = np.searchsorted(offsets[1:], starts, side="right")
-    return Words(len(texts), hashes, row, starts, ends, raw, offsets)
+    return Words(len(texts), hashes(raw, starts, ends), row, starts, ends, raw, offsets)
+
+
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run of bytes ``raw[start:end]``, A-Z as a-z."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[_LOWER[raw]] * _power(_BASE, len(raw)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, max(len(raw), 1))[starts])
 
 
 def group_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:

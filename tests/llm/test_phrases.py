@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import phrases, queries
@@ -117,3 +118,26 @@ def test_hard_rows(spark, hard_docs):
     assert found == _plain(rows, 3) and {r[0] for r in found} == {"und", "fr", "de", "en"}
     empty = phrases.collocations(docs.where("false"))
     assert empty.count() == 0 and empty.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_places_in_order():
+    rng = np.random.default_rng(5)
+    for top in (1, 7, 1 << 20, 1 << 40, (1 << 63) - 1):  # the last has no room for places beside the values
+        key = rng.integers(0, top, 3000)
+        assert (phrases.ordered(key) == np.argsort(key, kind="stable")).all()
+    assert phrases.ordered(key[:1]).tolist() == [0] and len(phrases.ordered(key[:0])) == 0
+
+
+def test_words_are_counted_and_marked_without_sorting(monkeypatch):
+    text = np.array([0, 3, 1, 3, 0, 2, 3, 0], np.int32)
+    index = phrases.BidirectionalIndex.of(text, 4)
+    listed = pa.array([b"z", b"x" * 9000, "é".encode(), b"a b"], pa.binary())
+    with monkeypatch.context() as patched:
+        for name in ("argsort", "sort"):
+            patched.setattr(phrases.np, name, None)
+        for left in (True, False):
+            found = index.extend(index.root(), left)
+            assert dict(zip(found.words[:, 0].tolist(), found.count.tolist())) == {1: 1, 2: 1, 3: 3}
+        mark = phrases._mark("de", listed)
+    assert len(set(mark.tolist())) == 5 and (phrases._mark("de", listed[2:])[1:] == mark[3:]).all()
+    assert (phrases._mark("fr", listed) != mark).all()
