@@ -2,23 +2,25 @@
 
 Each context has a Chinese restaurant; every restaurant's tables are customers of one shared
 parent, the restaurant of all words, whose own base is uniform over the known words and one
-unknown. A context is the previous word (or the start), hashed into ``2**context_bits``
-restaurants, so the restaurants - not what they hold - have a proven bound. Seating is sampled by
+unknown. A context is the previous word, or the start; every word has a restaurant of its own.
+Seating is sampled by
 blocked Gibbs sweeps: the customers of one dish in one restaurant are reseated together,
 with the number of tables drawn from its conditional given all other tables (generalised
 Stirling numbers; a saddle point for dishes of many customers and tables). The predictive probability of a word is averaged over the last
 ``samples`` sweeps; in each of them probabilities add up to one.
 
 How it runs: one pass cuts the texts into blocks of about ``block_words`` tokens and keeps, per
-block, its distinct (word, context) pairs in sorted key order and each document's references
-to them. Pairs go to buckets by key range, so all contexts of a word meet in one bucket - at
-most ``2**context_bits`` rows a word - and a bucket merges its blocks into counts. A sweep reads
-every bucket once and returns one number per restaurant. At the end each bucket answers its
-blocks with a probability per pair, and blocks add them up per document. The count tables grow
-with the corpus and stay in Spark.
-
-A word is known by 52 bits of its hash: two of a million distinct words share them with a
-chance of about one in ten thousand.
+block, its distinct words by range of their hash, and its tokens as places among them. Words of a
+range meet in one bucket, which numbers them; with these numbers each block counts its distinct
+(word, previous word) pairs and sends them to the word's bucket, so all contexts of a word meet
+there. A sweep reads every bucket once. It knows the tables of its own pairs only, so the sums per
+restaurant are an exchange: each bucket sends its share of them by range of the restaurant's
+number, ranges add them up, and every bucket gets back the restaurants that its pairs are in. At the end
+each bucket answers its blocks with a probability per pair, and blocks add them up per document.
+Words, counts and restaurants grow with the corpus and stay in Spark; the driver sees totals,
+and one number per bucket.
+
+A word is known by 64 bits of its hash.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is never learned
 from; repeated rows are learned from and scored each; with nothing to learn from every token
@@ -28,7 +30,7 @@ has probability one, as in the base score.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,6 @@ from quire.llm import store, words
 
 @dataclass(frozen=True)
 class Settings:
-    context_bits: int = 12
     block_words: int = 1 << 20
     sweeps: int = 3
     samples: int = 2
@@ -56,6 +57,9 @@ class Settings:
 #: Stirling numbers hardly change beyond ROWS customers.
 FEW, WIDTH, ROWS = 40, 128, 4096
 
+#: Low bits of a pair's key that hold the previous word's number, and those of them within a range of restaurants.
+CONTEXT, RANGE = 32, 14
+
 END, START = np.uint64(0x6C62272E07BB0142), np.uint64(0x62B821756295C58D)
 
 
@@ -78,19 +82,29 @@ def unpress_sorted(blob: bytes, size: int) -> np.ndarray:
     return np.cumsum(unpress(blob, size), dtype=np.uint64)
 
 
-def tokens(text: words.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every token, the end included. Key: 52 bits or so of the word, then the context."""
-    rows = np.arange(text.rows)
+def tokens(text: words.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every token, the end included."""
     count = text.counts()
     token = np.empty(len(text.hash) + text.rows, np.uint64)
     token[np.arange(len(text.hash)) + text.row] = text.hash
-    last = np.cumsum(count + 1) - 1
-    token[last] = END
+    token[np.cumsum(count + 1) - 1] = END
+    return np.repeat(np.arange(text.rows), count + 1), token
+
+
+def pairs(token: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, previous word) of the distinct pairs in order, and the pair of each token; ``start``
+    stands before the first token of each of the texts of ``sizes`` tokens."""
     before = np.empty_like(token)
     before[1:] = token[:-1]
-    before[last - count] = START
-    context = words.mix(before) >> np.uint64(64 - bits)
-    return np.repeat(rows, count + 1), (token >> np.uint64(bits) << np.uint64(bits)) | context
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = start
+    wide = max(int(token.max(initial=0)), start) + 1
+    key = token * wide + before
+    order = words.ordered(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]][:len(key)]
+    refs = np.empty(len(key), np.int64)
+    refs[order] = np.cumsum(new) - 1
+    return key[new] // wide, key[new] % wide, refs
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -99,92 +113,149 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
 
 
-_BLOCKS = ("block long, bucket int, size long, keys binary, counts binary, "
-           "ids array<{kind}>, held array<boolean>, sizes array<int>, refs binary, n_refs long")
+_BLOCKS = ("block long, bucket int, size long, words binary, "
+           "ids array<{kind}>, held array<boolean>, sizes array<int>, start long, refs binary, n_refs long")
 
 
 def blocks(docs: DataFrame, setting: Settings, buckets: int, modulus: int, rest: int) -> DataFrame:
-    """One row per block and bucket (keys and training counts), and one per block (its documents)."""
-    kind, bits = docs.schema["doc_id"].dataType.simpleString(), setting.context_bits
+    """One row per block and bucket (its distinct words), and one per block (its documents and tokens)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def flush(number, ids, held, row, key):
+    def flush(number, ids, held, row, token):
         sizes = np.bincount(row, minlength=len(ids)) if len(row) else np.zeros(len(ids), np.int64)
-        keys, refs = np.unique(key, return_inverse=True)
-        counts = np.bincount(refs, weights=~held[row], minlength=len(keys)).astype(np.uint64)
-        refs = refs[np.lexsort((refs, row))]
-        edges = bucket_edges(keys, buckets)
+        known, refs = np.unique(np.r_[START, token], return_inverse=True)
+        edges = bucket_edges(known, buckets)
         own = np.flatnonzero(np.diff(edges))
         parts = [slice(edges[k], edges[k + 1]) for k in own]
         n, none = len(own), [None] * len(own)
         yield pa.RecordBatch.from_arrays([
             pa.array([number] * (n + 1), pa.int64()), pa.array([*own.tolist(), -1], pa.int32()),
-            pa.array([*(p.stop - p.start for p in parts), len(keys)], pa.int64()),
-            pa.array([*(press_sorted(keys[p]) for p in parts), None], pa.binary()),
-            pa.array([*(press(counts[p]) for p in parts), None], pa.binary()),
+            pa.array([*(p.stop - p.start for p in parts), len(known)], pa.int64()),
+            pa.array([*(press_sorted(known[p]) for p in parts), None], pa.binary()),
             pa.array([*none, ids], pa.list_(ids_type)), pa.array([*none, held.tolist()], pa.list_(pa.bool_())),
-            pa.array([*none, sizes.tolist()], pa.list_(pa.int32())),
-            pa.array([*none, press(refs.astype(np.uint64))], pa.binary()), pa.array([*none, len(refs)], pa.int64()),
-        ], ["block", "bucket", "size", "keys", "counts", "ids", "held", "sizes", "refs", "n_refs"])
+            pa.array([*none, sizes.tolist()], pa.list_(pa.int32())), pa.array([*none, int(refs[0])], pa.int64()),
+            pa.array([*none, press(refs[1:])], pa.binary()), pa.array([*none, len(token)], pa.int64()),
+        ], ["block", "bucket", "size", "words", "ids", "held", "sizes", "start", "refs", "n_refs"])
 
     ids_type = pa.string() if kind == "string" else {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.int64())
 
     def cut(batches):
         base, made = TaskContext.get().partitionId() << 32, 0
-        ids, held, rows, keys, total = [], [], [], [], 0
+        ids, held, rows, found, total = [], [], [], [], 0
         for batch in batches:
             own_ids, own_held = batch["doc_id"].to_pylist(), batch["held"].to_numpy(zero_copy_only=False)
             for begin, piece in words.slices(batch["text"]):
-                row, key = tokens(words.split(piece), bits)
+                row, token = tokens(words.split(piece))
                 rows.append(row + len(ids))
-                keys.append(key)
+                found.append(token)
                 ids += own_ids[begin:begin + len(piece)]
                 held.append(own_held[begin:begin + len(piece)])
-                total += len(key)
+                total += len(token)
                 if total >= setting.block_words:
-                    yield from flush(base + made, ids, np.concatenate(held), np.concatenate(rows), np.concatenate(keys))
-                    made, ids, held, rows, keys, total = made + 1, [], [], [], [], 0
+                    yield from flush(base + made, ids, np.concatenate(held), np.concatenate(rows), np.concatenate(found))
+                    made, ids, held, rows, found, total = made + 1, [], [], [], [], 0
         if ids:
-            yield from flush(base + made, ids, np.concatenate(held), np.concatenate(rows), np.concatenate(keys))
+            yield from flush(base + made, ids, np.concatenate(held), np.concatenate(rows), np.concatenate(found))
 
     return store.keep(docs.select("doc_id", "text", store.held_out("doc_id", modulus, rest).alias("held"))
                       .mapInArrow(cut, _BLOCKS.format(kind=kind)))
 
 
+def numbered(parts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Per block and bucket the places of the block's words among the bucket's, in order of their
+    hashes; and the number of each bucket's first word."""
+    def number(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = [unpress_sorted(r["words"], r["size"]) for r in rows]
+        every = np.unique(np.concatenate(own))
+        return pa.table({
+            "block": table["block"], "bucket": table["bucket"], "size": table["size"],
+            "places": pa.array([press_sorted(np.searchsorted(every, w).astype(np.uint64)) for w in own], pa.binary()),
+            "total": pa.array([len(every)] * len(rows), pa.int64())})
+
+    places = store.keep(parts.where("bucket >= 0").select("block", "bucket", "size", "words").groupBy("bucket").applyInArrow(
+        number, "block long, bucket int, size long, places binary, total long"))
+    first, known = {}, 0
+    for bucket, total in sorted(places.groupBy("bucket").agg(F.max("total")).collect()):
+        first[bucket], known = known, known + total
+    if known > 1 << CONTEXT:
+        raise ValueError(f"{known} distinct words, more than pairs have room for")
+    return places, first
+
+
 def merged(parts: DataFrame) -> DataFrame:
-    """One row per bucket: the merged training counts, and the keys each block asks for."""
+    """One row per bucket: its distinct pairs with their training counts (0: in held-out texts only),
+    and which of them each block asks for."""
+    places, first = numbered(parts)
+
+    def count(own: pa.Table, replies: pa.Table) -> pa.Table:
+        block, rows = own.to_pylist()[0], sorted(replies.to_pylist(), key=lambda r: r["bucket"])
+        # Numbers follow hashes, in a block as in all: pairs in order of places are in order of numbers.
+        number = np.concatenate([unpress_sorted(r["places"], r["size"]) + np.uint64(first[r["bucket"]]) for r in rows])
+        sizes = np.array(block["sizes"], np.int64)
+        word, before, refs = pairs(unpress(block["refs"], block["n_refs"]).astype(np.int64), sizes, block["start"])
+        learned = ~np.repeat(np.array(block["held"], bool), sizes)
+        counts = np.bincount(refs, weights=learned, minlength=len(word)).astype(np.uint64)
+        keys = number[word] << np.uint64(CONTEXT) | number[before]
+        edges = np.searchsorted(word, np.cumsum([0, *(r["size"] for r in rows)]))
+        cuts = [(r["bucket"], slice(a, b)) for r, a, b in zip(rows, edges, edges[1:]) if b > a]
+        return pa.table({
+            "block": pa.array([block["block"]] * len(cuts), pa.int64()), "bucket": pa.array([b for b, _ in cuts], pa.int32()),
+            "size": pa.array([c.stop - c.start for _, c in cuts], pa.int64()),
+            "keys": pa.array([press_sorted(keys[c]) for _, c in cuts], pa.binary()),
+            "counts": pa.array([press(counts[c]) for _, c in cuts], pa.binary())})
+
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         key = np.concatenate([unpress_sorted(r["keys"], r["size"]) for r in rows])
-        count = np.concatenate([unpress(r["counts"], r["size"]) for r in rows]).astype(np.int64)
-        key, count = key[count > 0], count[count > 0]
+        n = np.concatenate([unpress(r["counts"], r["size"]) for r in rows]).astype(np.int64)
         order = np.argsort(key, kind="stable")
-        key, count = key[order], count[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        key, count = key[first], np.add.reduceat(count, first) if len(first) else count
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        place = np.empty(len(key), np.uint64)
+        place[order] = np.cumsum(new) - 1
+        key, n = key[new], np.add.reduceat(n[order], np.flatnonzero(new))
+        cuts = np.cumsum([r["size"] for r in rows])[:-1]
         return pa.table({
             "bucket": pa.array([rows[0]["bucket"]], pa.int32()), "size": pa.array([len(key)], pa.int64()),
-            "keys": pa.array([press_sorted(key)], pa.binary()), "counts": pa.array([press(count)], pa.binary()),
+            "keys": pa.array([press_sorted(key)], pa.binary()), "counts": pa.array([press(n)], pa.binary()),
             "blocks": pa.array([[r["block"] for r in rows]], pa.list_(pa.int64())),
             "sizes": pa.array([[r["size"] for r in rows]], pa.list_(pa.int64())),
-            "asked": pa.array([[r["keys"] for r in rows]], pa.list_(pa.binary()))})
+            "asked": pa.array([[press_sorted(p) for p in np.split(place, cuts)]], pa.list_(pa.binary()))})
 
-    return store.keep(parts.where("bucket >= 0").select("block", "bucket", "size", "keys", "counts").groupBy("bucket").applyInArrow(
+    owners = parts.where("bucket < 0").select("block", "held", "sizes", "start", "refs", "n_refs")
+    asked = owners.groupBy("block").cogroup(places.select("block", "bucket", "size", "places").groupBy("block")).applyInArrow(
+        count, "block long, bucket int, size long, keys binary, counts binary")
+    return store.keep(asked.groupBy("bucket").applyInArrow(
         merge, "bucket int, size long, keys binary, counts binary, blocks array<long>, sizes array<long>, asked array<binary>"))
 
 
 @dataclass(frozen=True)
 class State:
-    """What all restaurants share: one number each per restaurant, and totals."""
+    """What restaurants share: totals, and a table of the restaurants that each bucket's pairs are in."""
 
     tokens: int
     vocabulary: int
     discount: float
     parent_discount: float
-    customers: np.ndarray
-    tables: np.ndarray
+    restaurants: DataFrame
     parent_customers: int
     parent_tables: int
 
+    def _listed(self, value: int) -> np.ndarray:
+        rows = sorted(self.restaurants.where("bucket < 0").collect(), key=lambda r: r["range"])
+        return np.concatenate([np.zeros(0, np.int64), *(unpress(r["sums"][value], r["size"]).astype(np.int64) for r in rows)])
+
+    @property
+    def customers(self) -> np.ndarray:
+        """Of every restaurant; collected, to look at small models only."""
+        return self._listed(0)
+
+    @property
+    def tables(self) -> np.ndarray:
+        """Of every restaurant; collected, to look at small models only."""
+        return self._listed(1)
+
 
 @functools.lru_cache(maxsize=8)
 def _log_stirling(size: int, width: int, discount: float) -> np.ndarray:
@@ -258,29 +329,57 @@ def seat(count: np.ndarray, strength: np.ndarray, chance: np.ndarray, discount:
     return tables
 
 
-def _sweep(key: np.ndarray, count: np.ndarray, state: State, setting: Settings, bucket: int, turn: int):
-    """(context, word number, tables of each pair, customers and tables of each word in the parent)."""
-    rng = np.random.default_rng([setting.seed, bucket, turn])
-    bits = np.uint64(setting.context_bits)
-    word = key >> bits
-    context = (key & np.uint64((1 << setting.context_bits) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(key) else np.zeros(0, np.int64)
-    number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
-    base = 1 / (state.vocabulary + 1)
-    tables = np.ones(len(key), np.int64)
+@dataclass(frozen=True)
+class Bucket:
+    """Pairs of a bucket in order, and the place of each one's restaurant among ``contexts``."""
+
+    number: int
+    key: np.ndarray
+    count: np.ndarray
+    contexts: np.ndarray
+    context: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Bucket:
+        key = unpress_sorted(row["keys"], row["size"])
+        contexts, context = np.unique(key & np.uint64((1 << CONTEXT) - 1), return_inverse=True)
+        return cls(row["bucket"], key, unpress(row["counts"], row["size"]).astype(np.int64), contexts, context)
+
+    def learned(self) -> Bucket:
+        """The pairs that training texts hold."""
+        at = self.count > 0
+        return Bucket(self.number, self.key[at], self.count[at], self.contexts, self.context[at])
+
+    def words(self) -> np.ndarray:
+        """Where the pairs of each word begin."""
+        word = self.key >> np.uint64(CONTEXT)
+        return np.flatnonzero(np.r_[True, word[1:] != word[:-1]][:len(word)])
+
+    def per_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=values, minlength=len(self.contexts)).astype(np.int64)
+
+
+def _sweep(own: Bucket, seated: np.ndarray, now: State, setting: Settings, turn: int):
+    """(first pair of each word, word of each pair, its tables, customers and tables of each word in the
+    parent) for learned pairs, with ``seated`` tables in each restaurant so far."""
+    rng = np.random.default_rng([setting.seed, own.number, turn])
+    first = own.words()
+    word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(own.key)]))
+    base = 1 / (now.vocabulary + 1)
+    tables = np.ones(len(own.key), np.int64)
 
     def parent():
-        own = np.add.reduceat(tables, first) if len(first) else tables
-        strength = np.full(len(own), setting.parent_strength + state.parent_discount * max(state.parent_tables - 1, 0))
-        return own, seat(own, strength, np.full(len(own), base), state.parent_discount, setting.exact, rng)
+        customers = np.add.reduceat(tables, first) if len(first) else tables
+        strength = np.full(len(customers), setting.parent_strength + now.parent_discount * max(now.parent_tables - 1, 0))
+        return customers, seat(customers, strength, np.full(len(customers), base), now.parent_discount, setting.exact, rng)
 
-    own, above = parent()
+    customers, above = parent()
     for _ in range(setting.inner):
-        chance = _parent_chance(own, above, state, setting)
-        others = np.maximum(state.tables[context] - tables, 0)
-        tables = seat(count, setting.strength + state.discount * others, chance[number], state.discount, setting.exact, rng)
-        own, above = parent()
-    return context, first, number, tables, own, above
+        chance = _parent_chance(customers, above, now, setting)
+        others = np.maximum(seated[own.context] - tables, 0)
+        tables = seat(own.count, setting.strength + now.discount * others, chance[word], now.discount, setting.exact, rng)
+        customers, above = parent()
+    return first, word, tables, customers, above
 
 
 def _parent_chance(own: np.ndarray, above: np.ndarray, state: State, setting: Settings) -> np.ndarray:
@@ -288,108 +387,126 @@ def _parent_chance(own: np.ndarray, above: np.ndarray, state: State, setting: Se
     return (own - state.parent_discount * above + left) / (setting.parent_strength + state.parent_customers)
 
 
-def _per_context(restaurants: int, context: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.bincount(context, weights=values, minlength=restaurants).astype(np.int64)
+_SHARES = "range long, bucket int, size long, contexts binary, shares array<binary>, totals array<long>"
+
+
+def _shares(own: Bucket, values: list[np.ndarray], totals: list[int]) -> pa.Table:
+    """What a bucket adds to its restaurants, by ranges of their numbers; the totals go with the first."""
+    ranges, begin = np.unique(own.contexts >> np.uint64(RANGE), return_index=True)
+    cuts = [slice(a, b) for a, b in zip(begin, np.r_[begin[1:], len(own.contexts)])]
+    return pa.table({
+        "range": pa.array(ranges.astype(np.int64)), "bucket": pa.array([own.number] * len(cuts), pa.int32()),
+        "size": pa.array([c.stop - c.start for c in cuts], pa.int64()),
+        "contexts": pa.array([press_sorted(own.contexts[c]) for c in cuts], pa.binary()),
+        "shares": pa.array([[press(v[c]) for v in values] for c in cuts], pa.list_(pa.binary())),
+        "totals": pa.array([totals, *[[0] * len(totals)] * (len(cuts) - 1)], pa.list_(pa.int64()))})
+
+
+def _added(shares: DataFrame) -> DataFrame:
+    """The sums per restaurant, sent back to each bucket in order of its contexts; and each range's
+    own list of them as bucket -1."""
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        low, sums = rows[0]["range"] << RANGE, np.zeros((len(rows[0]["shares"]), 1 << RANGE), np.int64)
+        at = [unpress_sorted(r["contexts"], r["size"]).astype(np.int64) - low for r in rows]
+        there = np.zeros(1 << RANGE, bool)
+        for r, own in zip(rows, at):
+            there[own] = True
+            for k, blob in enumerate(r["shares"]):
+                sums[k, own] += unpress(blob, r["size"]).astype(np.int64)
+        at.append(np.flatnonzero(there))
+        return pa.table({
+            "bucket": pa.array([*(r["bucket"] for r in rows), -1], pa.int32()),
+            "range": pa.array([rows[0]["range"]] * len(at), pa.int64()), "size": pa.array([len(own) for own in at], pa.int64()),
+            "sums": pa.array([[press(s[own]) for s in sums] for own in at], pa.list_(pa.binary())),
+            "totals": pa.array([*(r["totals"] for r in rows), [0] * len(rows[0]["totals"])], pa.list_(pa.int64()))})
 
+    return store.keep(shares.groupBy("range").applyInArrow(
+        add, "bucket int, range long, size long, sums array<binary>, totals array<long>"))
 
-def _gather(model: DataFrame, setting: Settings, measure) -> dict[int, np.ndarray]:
-    """Sums over all buckets of ``measure(bucket, keys, counts)`` -> name number -> one number per restaurant."""
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}  # of all buckets of the task: one row a restaurant leaves it
-        for batch in batches:
-            for r in batch.to_pylist():
-                found = measure(r["bucket"], unpress_sorted(r["keys"], r["size"]), unpress(r["counts"], r["size"]).astype(np.int64))
-                for name, values in found.items():
-                    sums[name] = sums.get(name, 0) + values
-        for name, values in sums.items():
-            at = np.flatnonzero(values)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int32()), pa.array(at), pa.array(values[at])],
-                                             ["name", "at", "value"])
-
-    rows = (model.select("bucket", "size", "keys", "counts").mapInArrow(run, "name int, at long, value long")
-            .groupBy("name", "at").agg(F.sum("value").alias("value")).toArrow())
-    size, out = 1 << setting.context_bits, {}
-    name, at, value = (rows[c].to_numpy() for c in ("name", "at", "value"))
-    for k in range(4):
-        out[k] = np.zeros(size, np.int64)
-        out[k][at[name == k]] = value[name == k]
-    return out
+
+def _totals(added: DataFrame, size: int) -> list[int]:
+    return [int(x or 0) for x in added.agg(*(F.sum(F.col("totals")[k]) for k in range(size))).first()]
+
+
+def _restaurants(rows: list[dict]) -> list[np.ndarray]:
+    """Customers and tables of the restaurants that one bucket's pairs are in."""
+    rows = sorted(rows, key=lambda r: r["range"])
+    return [np.concatenate([unpress(r["sums"][k], r["size"]).astype(np.int64) for r in rows]) for k in range(2)]
 
 
 def train(model: DataFrame, setting: Settings) -> list[State]:
     """The shared state before the first sweep and after each one."""
-    size, mask = 1 << setting.context_bits, np.uint64((1 << setting.context_bits) - 1)
-
-    def begin(_, key, count):
-        context = (key & mask).astype(np.int64)
-        word = key >> np.uint64(setting.context_bits)
-        fans = np.diff(np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(key)]) if len(key) else np.zeros(0, int)
-        totals = np.zeros(size, np.int64)
-        totals[:6] = (len(fans), (count == 1).sum(), (count == 2).sum(), (fans == 1).sum(), (fans == 2).sum(), count.sum())
-        return {0: _per_context(size, context, count), 1: _per_context(size, context, np.ones(len(key))), 2: totals}
+    def begin(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = Bucket.of(r).learned()
+                fans = np.diff(np.r_[own.words(), len(own.key)])
+                totals = [len(fans), (own.count == 1).sum(), (own.count == 2).sum(), (fans == 1).sum(), (fans == 2).sum(), own.count.sum(),
+                          len(own.key)]
+                sent = _shares(own, [own.per_context(own.count), own.per_context(np.ones(len(own.key)))], [int(x) for x in totals])
+                yield from sent.to_batches()
 
-    got = _gather(model, setting, begin)
-    words_, one, two, fan_one, fan_two, tokens_ = (int(x) for x in got[2][:6])
+    held = model.select("bucket", "size", "keys", "counts")
+    added = _added(held.mapInArrow(begin, _SHARES))
+    words_, one, two, fan_one, fan_two, tokens_, pairs_ = _totals(added, 7)
 
     def discount(a: int, b: int) -> float:
         return float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95))
 
-    states = [State(tokens_, words_, discount(one, two), discount(fan_one, fan_two), got[0], got[1], int(got[1].sum()), words_)]
-    for turn in range(setting.sweeps):
-        now = states[-1]
+    states = [State(tokens_, words_, discount(one, two), discount(fan_one, fan_two), added, pairs_, words_)]
+    def sweep(now: State, turn: int):
+        def once(bucket: pa.Table, replies: pa.Table) -> pa.Table:
+            own = Bucket.of(bucket.to_pylist()[0]).learned()
+            _, _, tables, customers, above = _sweep(own, _restaurants(replies.to_pylist())[1], now, setting, turn)
+            return _shares(own, [own.per_context(own.count), own.per_context(tables)], [int(customers.sum()), int(above.sum())])
 
-        def once(bucket, key, count, now=now, turn=turn):
-            context, _, _, tables, own, above = _sweep(key, count, now, setting, bucket, turn)
-            totals = np.zeros(size, np.int64)
-            totals[:2] = own.sum(), above.sum()
-            return {0: _per_context(size, context, tables), 1: totals}
+        return once
 
-        got = _gather(model, setting, once)
-        states.append(State(now.tokens, now.vocabulary, now.discount, now.parent_discount, now.customers, got[0],
-                            int(got[1][0]), int(got[1][1])))
+    for turn in range(setting.sweeps):
+        now = replace(states[-1], restaurants=None)
+        added = _added(held.groupBy("bucket").cogroup(_replies(states[-1]).groupBy("bucket")).applyInArrow(sweep(now, turn), _SHARES))
+        customers, above = _totals(added, 2)
+        states.append(replace(now, restaurants=added, parent_customers=customers, parent_tables=above))
     return states
 
 
+def _replies(state: State, turn: int = 0) -> DataFrame:
+    return state.restaurants.where("bucket >= 0").select("bucket", "range", "size", "sums", F.lit(turn).alias("turn"))
+
+
 def _answers(model: DataFrame, states: list[State], setting: Settings) -> DataFrame:
     """(block, bucket, logs, counts): log10 probability of each asked pair, training count of its word."""
-    sent = model.sparkSession.sparkContext.broadcast(states)
-    mask, bits = np.uint64((1 << setting.context_bits) - 1), np.uint64(setting.context_bits)
+    turns = range(setting.sweeps - setting.samples, setting.sweeps)
+    shared = [replace(s, restaurants=None) for s in states]
+    replies = functools.reduce(DataFrame.unionAll, [_replies(states[t], t) for t in [*turns, setting.sweeps]])
+
+    def answer(bucket: pa.Table, replies: pa.Table) -> pa.Table:
+        r, rows = bucket.to_pylist()[0], replies.to_pylist()
+        every = Bucket.of(r)
+        own, learned = every.learned(), every.count > 0
+        sums = {t: _restaurants([x for x in rows if x["turn"] == t]) for t in [*turns, setting.sweeps]}
+        word, known = every.key >> np.uint64(CONTEXT), own.key[own.words()] >> np.uint64(CONTEXT)
+        at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
+        at = np.where(known[at] == word, at, len(known)) if len(known) else np.zeros(len(word), np.int64)
+        total = np.r_[np.add.reduceat(own.count, own.words()) if len(known) else own.count, 0][at]
+        p = np.zeros(len(word))
+        for turn in turns:
+            # The same sweep as in training, so the totals of the state after it are its own.
+            _, _, tables, customers, above = _sweep(own, sums[turn][1], shared[turn], setting, turn)
+            after, (guests, seated) = shared[turn + 1], sums[turn + 1]
+            left = (setting.strength + after.discount * seated) / (setting.strength + guests)
+            chance = np.r_[_parent_chance(customers, above, after, setting), _parent_chance(np.zeros(1), np.zeros(1), after, setting)]
+            p += left[every.context] * chance[at]
+            p[learned] += (own.count - after.discount * tables) / (setting.strength + guests[own.context])
+        logs = np.log10(p / len(turns)).astype(np.float32)
+        asked = [unpress_sorted(blob, size).astype(np.int64) for size, blob in zip(r["sizes"], r["asked"])]
+        return pa.table({
+            "block": pa.array(r["blocks"], pa.int64()), "bucket": pa.array([every.number] * len(asked), pa.int32()),
+            "logs": pa.array([logs[a].tobytes() for a in asked], pa.binary()), "counts": pa.array([press(total[a]) for a in asked], pa.binary())})
 
-    def run(batches):
-        states_ = sent.value
-        for batch in batches:
-            for r in batch.to_pylist():
-                key, count = unpress_sorted(r["keys"], r["size"]), unpress(r["counts"], r["size"]).astype(np.int64)
-                seen, back = [], []
-                for turn in range(setting.sweeps - setting.samples, setting.sweeps):
-                    # The same sweep as in training, so the totals of the state after it are its own.
-                    context, first, number, tables, own, above = _sweep(key, count, states_[turn], setting, r["bucket"], turn)
-                    after = states_[turn + 1]
-                    left = (setting.strength + after.discount * after.tables) / (setting.strength + after.customers)
-                    chance = _parent_chance(own, above, after, setting)
-                    unknown = _parent_chance(np.zeros(1), np.zeros(1), after, setting)
-                    seen.append((count - after.discount * tables) / (setting.strength + after.customers[context])
-                                + left[context] * chance[number])
-                    back.append((left, np.r_[chance, unknown]))
-                known = np.mean(seen, axis=0)
-                word = (key >> bits)[first]
-                total = np.r_[np.add.reduceat(count, first) if len(first) else count, 0]
-                for block, size, blob in zip(r["blocks"], r["sizes"], r["asked"]):
-                    asked = unpress_sorted(blob, size)
-                    at = np.minimum(np.searchsorted(word, asked >> bits), max(len(word) - 1, 0))
-                    at = np.where(word[at] == asked >> bits, at, len(word)) if len(word) else np.zeros(size, np.int64)
-                    context = (asked & mask).astype(np.int64)
-                    p = np.mean([left[context] * chance[at] for left, chance in back], axis=0)
-                    if len(key):
-                        pair = np.minimum(np.searchsorted(key, asked), len(key) - 1)
-                        hit = key[pair] == asked
-                        p[hit] = known[pair[hit]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block], pa.int64()), pa.array([r["bucket"]], pa.int32()),
-                         pa.array([np.log10(p).astype(np.float32).tobytes()], pa.binary()),
-                         pa.array([press(total[at])], pa.binary())], ["block", "bucket", "logs", "counts"])
-
-    return model.mapInArrow(run, "block long, bucket int, logs binary, counts binary")
+    return model.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(
+        answer, "block long, bucket int, logs binary, counts binary")
 
 
 def score(docs: DataFrame, setting: Settings = Settings(), modulus: int = 10, rest: int = 0) -> DataFrame:
@@ -408,8 +525,8 @@ def score(docs: DataFrame, setting: Settings = Settings(), modulus: int = 10, re
         rows = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
         logs = np.concatenate([np.frombuffer(r["logs"], np.float32) for r in rows]).astype(np.float64)
         counts = np.concatenate([unpress(r["counts"], len(r["logs"]) // 4) for r in rows]).astype(np.float64)
-        refs = unpress(block["refs"], block["n_refs"]).astype(np.int64)
         sizes = np.array(block["sizes"], np.int64)
+        _, _, refs = pairs(unpress(block["refs"], block["n_refs"]).astype(np.int64), sizes, block["start"])
         row = np.repeat(np.arange(len(sizes)), sizes)
         base = np.log10((counts + 0.1) / (total + 0.1 * (vocabulary + 1)))
         return pa.table({
@@ -418,6 +535,6 @@ def score(docs: DataFrame, setting: Settings = Settings(), modulus: int = 10, re
             "train_tokens": pa.array(np.full(len(sizes), total)), "base_score": pa.array(words.group_sums(base[refs], row, len(sizes))),
             "score": pa.array(words.group_sums(logs[refs], row, len(sizes)))})
 
-    owners = parts.where("bucket < 0").select("block", "ids", "held", "sizes", "refs", "n_refs")
+    owners = parts.where("bucket < 0").select("block", "ids", "held", "sizes", "start", "refs", "n_refs")
     return owners.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

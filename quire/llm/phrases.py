@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import store, words
 from quire.llm.hpyp import press, press_sorted, unpress, unpress_sorted
+from quire.llm.words import ordered
 
 
 @dataclass(frozen=True)
@@ -131,17 +132,6 @@ def _listed(listed: list[bytes]) -> Numbered:
     return Numbered(coded.indices.to_numpy() + 1, coded.dictionary, False, False)
 
 
-def ordered(key: np.ndarray) -> np.ndarray:
-    """The places of ``key``, whole numbers from 0, in order of their values; equal ones stay in order."""
-    if len(key) == 0:
-        return np.zeros(0, np.int64)
-    place = (len(key) - 1).bit_length()
-    if int(key.max()).bit_length() + place > 63:
-        return np.argsort(key, kind="stable")
-    # value and place in one number: sorting numbers is several times faster than sorting places by them
-    return np.sort(key.astype(np.int64) << place | np.arange(len(key))) & ((1 << place) - 1)
-
-
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """The places of ``text``, read around its end, in order of their first ``depth`` symbols or
     more, by doubling; places that agree so far stay in order."""

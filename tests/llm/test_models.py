@@ -1,5 +1,7 @@
 import itertools
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -56,6 +58,43 @@ def test_probabilities_add_up_to_one(spark):
         assert all(by_text[f"{p} {w}"] < 0 for w in words + ["qq"])
 
 
+def test_every_context_has_a_restaurant_of_its_own(spark):
+    """More previous words than a range of restaurants holds."""
+    rows = [(5 * i + j, f"a{i} b{i}") for i in range(9000) for j in range(5)]
+    taught = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    parts = hpyp.blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hpyp.Settings(), 16, 10, 0)
+    states = hpyp.train(hpyp.merged(parts), hpyp.Settings())
+    per_word = Counter(i // 5 for i in taught)
+    wanted = sorted([len(taught), *[per_word[i] for i in range(9000)] * 2])
+    assert len(wanted) > 1 << hpyp.RANGE
+    for state in states:
+        assert sorted(state.customers.tolist()) == wanted and state.tables.sum() == state.parent_customers
+    # a table at least for each word that follows: one after all of them, but the start
+    assert (states[-1].tables >= np.minimum(states[-1].customers, 1)).all() and states[-1].tables.max() >= len(per_word)
+
+
+def test_probabilities_of_all_words_add_up_to_one_after_every_context(spark):
+    known, other, new = "a b c d e".split(), "zz", "qq"
+    held = [i for i in range(10 ** 5) if zlib.crc32(str(i).encode()) % 10 == 0]
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    probes = [f"{p} {w}" for p in [*known, other] for w in [*known, new]] + [*known, other]
+    rows = [*zip(free, ["a b a b c", "a b d", "e e a b", "c a b a"]), *zip(held, probes)]
+    docs, setting = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), hpyp.Settings()
+    parts = hpyp.blocks(docs, setting, 16, 10, 0)
+    model = hpyp.merged(parts)
+    block, = parts.where("bucket < 0").collect()
+    answers = sorted(hpyp._answers(model, hpyp.train(model, setting), setting).collect(), key=lambda r: r["bucket"])
+    p = 10 ** np.concatenate([np.frombuffer(r["logs"], np.float32) for r in answers]).astype(float)
+    number = hpyp.unpress(block["refs"], block["n_refs"]).astype(int)
+    word, before, refs = hpyp.pairs(number, np.array(block["sizes"]), block["start"])
+    assert len(p) == len(word) and ((word[refs] == number).all())
+    texts = [t.split() + [None] for i, t in sorted(rows, key=lambda r: block["ids"].index(r[0]))]
+    names = dict(zip(number.tolist(), [w for t in texts for w in t])) | {block["start"]: "start"}
+    for context in [*known, other]:
+        own = {names[w]: x for w, b, x in zip(word.tolist(), before.tolist(), p) if names[b] == context}
+        assert own.keys() == {*known, new, None} and sum(own.values()) == pytest.approx(1, abs=1e-5)
+
+
 @pytest.mark.parametrize("count, strength, chance, discount", [(5, 1.5, 0.3, 0.5), (4, 20.0, 0.05, 0.8), (6, 0.3, 0.9, 0.2)])
 def test_seating_has_the_exact_distribution(count, strength, chance, discount):
     """Against all set partitions of the customers."""
