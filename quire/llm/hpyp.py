@@ -74,6 +74,11 @@ def unpress(blob: bytes, size: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, size).T).view(np.uint64).ravel()
 
 
+def floats(blob: bytes, size: int) -> np.ndarray:
+    """32-bit floats that were pressed as numbers."""
+    return unpress(blob, size).astype(np.uint32).view(np.float32)
+
+
 def press_sorted(keys: np.ndarray) -> bytes:
     return press(np.diff(keys, prepend=np.uint64(0)))
 
@@ -232,29 +237,31 @@ def merged(parts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class State:
-    """What restaurants share: totals, and a table of the restaurants that each bucket's pairs are in."""
+    """What restaurants share: totals, and for each bucket the restaurants that its pairs are in: their
+    customers (in ``opened``, the same in all states) and tables (last of the sums in ``seated``)."""
 
     tokens: int
     vocabulary: int
     discount: float
     parent_discount: float
-    restaurants: DataFrame
+    opened: DataFrame | None
+    seated: DataFrame | None
     parent_customers: int
     parent_tables: int
 
-    def _listed(self, value: int) -> np.ndarray:
-        rows = sorted(self.restaurants.where("bucket < 0").collect(), key=lambda r: r["range"])
-        return np.concatenate([np.zeros(0, np.int64), *(unpress(r["sums"][value], r["size"]).astype(np.int64) for r in rows)])
-
     @property
     def customers(self) -> np.ndarray:
         """Of every restaurant; collected, to look at small models only."""
-        return self._listed(0)
+        return _restaurants(self.opened.where("bucket < 0").collect(), 0)
 
     @property
     def tables(self) -> np.ndarray:
         """Of every restaurant; collected, to look at small models only."""
-        return self._listed(1)
+        return _restaurants(self.seated.where("bucket < 0").collect(), -1)
+
+    def alone(self) -> State:
+        """The totals without the tables, to be sent to tasks."""
+        return replace(self, opened=None, seated=None)
 
 
 @functools.lru_cache(maxsize=8)
@@ -429,10 +436,10 @@ def _totals(added: DataFrame, size: int) -> list[int]:
     return [int(x or 0) for x in added.agg(*(F.sum(F.col("totals")[k]) for k in range(size))).first()]
 
 
-def _restaurants(rows: list[dict]) -> list[np.ndarray]:
-    """Customers and tables of the restaurants that one bucket's pairs are in."""
+def _restaurants(rows: list, value: int) -> np.ndarray:
+    """One of the sums of the restaurants that one bucket's pairs are in."""
     rows = sorted(rows, key=lambda r: r["range"])
-    return [np.concatenate([unpress(r["sums"][k], r["size"]).astype(np.int64) for r in rows]) for k in range(2)]
+    return np.concatenate([np.zeros(0, np.int64), *(unpress(r["sums"][value], r["size"]).astype(np.int64) for r in rows)])
 
 
 def train(model: DataFrame, setting: Settings) -> list[State]:
@@ -454,38 +461,42 @@ def train(model: DataFrame, setting: Settings) -> list[State]:
     def discount(a: int, b: int) -> float:
         return float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95))
 
-    states = [State(tokens_, words_, discount(one, two), discount(fan_one, fan_two), added, pairs_, words_)]
+    states = [State(tokens_, words_, discount(one, two), discount(fan_one, fan_two), added, added, pairs_, words_)]
     def sweep(now: State, turn: int):
         def once(bucket: pa.Table, replies: pa.Table) -> pa.Table:
             own = Bucket.of(bucket.to_pylist()[0]).learned()
-            _, _, tables, customers, above = _sweep(own, _restaurants(replies.to_pylist())[1], now, setting, turn)
-            return _shares(own, [own.per_context(own.count), own.per_context(tables)], [int(customers.sum()), int(above.sum())])
+            _, _, tables, customers, above = _sweep(own, _restaurants(replies.to_pylist(), -1), now, setting, turn)
+            return _shares(own, [own.per_context(tables)], [int(customers.sum()), int(above.sum())])
 
         return once
 
     for turn in range(setting.sweeps):
-        now = replace(states[-1], restaurants=None)
-        added = _added(held.groupBy("bucket").cogroup(_replies(states[-1]).groupBy("bucket")).applyInArrow(sweep(now, turn), _SHARES))
+        now = states[-1]
+        shares = held.groupBy("bucket").cogroup(_replies(now.seated).groupBy("bucket")).applyInArrow(sweep(now.alone(), turn), _SHARES)
+        added = _added(shares)
         customers, above = _totals(added, 2)
-        states.append(replace(now, restaurants=added, parent_customers=customers, parent_tables=above))
+        states.append(replace(now, seated=added, parent_customers=customers, parent_tables=above))
     return states
 
 
-def _replies(state: State, turn: int = 0) -> DataFrame:
-    return state.restaurants.where("bucket >= 0").select("bucket", "range", "size", "sums", F.lit(turn).alias("turn"))
+def _replies(added: DataFrame, turn: int = 0) -> DataFrame:
+    return added.where("bucket >= 0").select("bucket", "range", "size", "sums", F.lit(turn).alias("turn"))
 
 
 def _answers(model: DataFrame, states: list[State], setting: Settings) -> DataFrame:
-    """(block, bucket, logs, counts): log10 probability of each asked pair, training count of its word."""
+    """(block, bucket, size, logs, words, counts): log10 probability of each asked pair (32-bit floats, as
+    numbers), training count of each of their words."""
     turns = range(setting.sweeps - setting.samples, setting.sweeps)
-    shared = [replace(s, restaurants=None) for s in states]
-    replies = functools.reduce(DataFrame.unionAll, [_replies(states[t], t) for t in [*turns, setting.sweeps]])
+    shared = [state.alone() for state in states]
+    replies = functools.reduce(DataFrame.unionAll, [_replies(states[0].opened, -1),
+                                                    *(_replies(states[t].seated, t) for t in [*turns, setting.sweeps])])
 
     def answer(bucket: pa.Table, replies: pa.Table) -> pa.Table:
         r, rows = bucket.to_pylist()[0], replies.to_pylist()
         every = Bucket.of(r)
         own, learned = every.learned(), every.count > 0
-        sums = {t: _restaurants([x for x in rows if x["turn"] == t]) for t in [*turns, setting.sweeps]}
+        guests = _restaurants([x for x in rows if x["turn"] < 0], 0)
+        seated = {t: _restaurants([x for x in rows if x["turn"] == t], -1) for t in [*turns, setting.sweeps]}
         word, known = every.key >> np.uint64(CONTEXT), own.key[own.words()] >> np.uint64(CONTEXT)
         at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
         at = np.where(known[at] == word, at, len(known)) if len(known) else np.zeros(len(word), np.int64)
@@ -493,20 +504,22 @@ def _answers(model: DataFrame, states: list[State], setting: Settings) -> DataFr
         p = np.zeros(len(word))
         for turn in turns:
             # The same sweep as in training, so the totals of the state after it are its own.
-            _, _, tables, customers, above = _sweep(own, sums[turn][1], shared[turn], setting, turn)
-            after, (guests, seated) = shared[turn + 1], sums[turn + 1]
-            left = (setting.strength + after.discount * seated) / (setting.strength + guests)
+            _, _, tables, customers, above = _sweep(own, seated[turn], shared[turn], setting, turn)
+            after = shared[turn + 1]
+            left = (setting.strength + after.discount * seated[turn + 1]) / (setting.strength + guests)
             chance = np.r_[_parent_chance(customers, above, after, setting), _parent_chance(np.zeros(1), np.zeros(1), after, setting)]
             p += left[every.context] * chance[at]
             p[learned] += (own.count - after.discount * tables) / (setting.strength + guests[own.context])
-        logs = np.log10(p / len(turns)).astype(np.float32)
+        logs = np.log10(p / len(turns)).astype(np.float32).view(np.uint32)
         asked = [unpress_sorted(blob, size).astype(np.int64) for size, blob in zip(r["sizes"], r["asked"])]
+        firsts = [a[np.r_[True, word[a[1:]] != word[a[:-1]]]] for a in asked]
         return pa.table({
             "block": pa.array(r["blocks"], pa.int64()), "bucket": pa.array([every.number] * len(asked), pa.int32()),
-            "logs": pa.array([logs[a].tobytes() for a in asked], pa.binary()), "counts": pa.array([press(total[a]) for a in asked], pa.binary())})
+            "size": pa.array(r["sizes"], pa.int64()), "logs": pa.array([press(logs[a]) for a in asked], pa.binary()),
+            "words": pa.array([len(f) for f in firsts], pa.int64()), "counts": pa.array([press(total[f]) for f in firsts], pa.binary())})
 
     return model.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(
-        answer, "block long, bucket int, logs binary, counts binary")
+        answer, "block long, bucket int, size long, logs binary, words long, counts binary")
 
 
 def score(docs: DataFrame, setting: Settings = Settings(), modulus: int = 10, rest: int = 0) -> DataFrame:
@@ -523,10 +536,11 @@ def score(docs: DataFrame, setting: Settings = Settings(), modulus: int = 10, re
     def add_up(own: pa.Table, replies: pa.Table) -> pa.Table:
         block = own.to_pylist()[0]
         rows = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-        logs = np.concatenate([np.frombuffer(r["logs"], np.float32) for r in rows]).astype(np.float64)
-        counts = np.concatenate([unpress(r["counts"], len(r["logs"]) // 4) for r in rows]).astype(np.float64)
+        logs = np.concatenate([floats(r["logs"], r["size"]) for r in rows]).astype(np.float64)
         sizes = np.array(block["sizes"], np.int64)
-        _, _, refs = pairs(unpress(block["refs"], block["n_refs"]).astype(np.int64), sizes, block["start"])
+        word, _, refs = pairs(unpress(block["refs"], block["n_refs"]).astype(np.int64), sizes, block["start"])
+        counts = np.concatenate([unpress(r["counts"], r["words"]) for r in rows]).astype(np.float64)
+        counts = counts[np.cumsum(np.r_[False, word[1:] != word[:-1]])]
         row = np.repeat(np.arange(len(sizes)), sizes)
         base = np.log10((counts + 0.1) / (total + 0.1 * (vocabulary + 1)))
         return pa.table({

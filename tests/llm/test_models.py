@@ -84,7 +84,7 @@ def test_probabilities_of_all_words_add_up_to_one_after_every_context(spark):
     model = hpyp.merged(parts)
     block, = parts.where("bucket < 0").collect()
     answers = sorted(hpyp._answers(model, hpyp.train(model, setting), setting).collect(), key=lambda r: r["bucket"])
-    p = 10 ** np.concatenate([np.frombuffer(r["logs"], np.float32) for r in answers]).astype(float)
+    p = 10 ** np.concatenate([hpyp.floats(r["logs"], r["size"]) for r in answers]).astype(float)
     number = hpyp.unpress(block["refs"], block["n_refs"]).astype(int)
     word, before, refs = hpyp.pairs(number, np.array(block["sizes"]), block["start"])
     assert len(p) == len(word) and ((word[refs] == number).all())
