@@ -4,22 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.session import checkpoint_folder
-
-
-#: Bytes of a batch of rows on its way to a Python worker. Texts differ so much in length that a
-#: number of rows is no bound.
-BATCH_BYTES = 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """From now on, batches for Python workers in this session are bounded by bytes too."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str(BATCH_BYTES + 1)).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+from quire.plans.session import bound_batches, checkpoint_folder
 
 
 def keep(df: DataFrame) -> DataFrame:
