@@ -47,20 +47,24 @@ def page_details(ordered: DataFrame, detected: DataFrame, page_text: DataFrame,
     from quire.operators.confidence import word_count
 
     numbers = detected.groupBy("book_id", "scan_index").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "ord", "text", F.col("number_type").alias("type"), "numeric_value", "confidence"))).alias("_numbers"))
-    kept = F.when(F.col("has_number"), F.col("_numbers"))
+        F.sort_array(F.collect_list(F.struct("ord", "text", "number_type", "numeric_value", "confidence"))).alias("numbers"))
+    facts = page_text.select("book_id", "scan_index", F.length("full_text").alias("text_length"),
+                             word_count(F.col("full_text")).alias("word_count"), "language_confidence", "processing_time")
+    return details(ranks.dealt(ordered, ["book_id", "scan_index"], wide).join(numbers, ["book_id", "scan_index"], "left")
+                   .join(facts, ["book_id", "scan_index"], "left"))
+
+
+def details(pages: DataFrame) -> DataFrame:
+    """:func:`page_details` of ordered pages that hold their ``numbers`` (text, number_type, numeric_value, confidence, in
+    list order), text_length, word_count, language_confidence and processing_time themselves."""
+    kept = F.when(F.col("has_number"), F.col("numbers"))
     listed = F.transform(F.coalesce(kept, F.array()), lambda n: F.struct(
-        n["text"].alias("text"), n["type"].alias("type"), n["numeric_value"].alias("numeric_value"),
+        n["text"].alias("text"), n["number_type"].alias("type"), n["numeric_value"].alias("numeric_value"),
         n["confidence"].alias("confidence")))
-    return (ranks.dealt(ordered, ["book_id", "scan_index"], wide).join(numbers, ["book_id", "scan_index"], "left")
-            .join(page_text, ["book_id", "scan_index"], "left")
-            .select("book_id", "scan_index", F.struct(
-                F.col("original_name").alias("original_filename"), "assigned_position", "confidence",
-                F.col("rule").alias("reasoning"), listed.alias("detected_numbers"),
-                F.struct(F.length("full_text").alias("text_length"),
-                         word_count(F.col("full_text")).alias("word_count"),
-                         "language_confidence", "processing_time").alias("ocr_info")).alias("detail")))
+    return pages.select("book_id", "scan_index", F.struct(
+        F.col("original_name").alias("original_filename"), "assigned_position", "confidence",
+        F.col("rule").alias("reasoning"), listed.alias("detected_numbers"),
+        F.struct("text_length", "word_count", "language_confidence", "processing_time").alias("ocr_info")).alias("detail"))
 
 
 def shorten(text: Column, limit: int = 100) -> Column:
