@@ -287,7 +287,7 @@ def build(docs: DataFrame, setting: Settings) -> DataFrame:
             yield shard(*key, own)
 
     return store.keep(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(
-        gather, "lang string, weight int, size long, forward binary, backward binary, dictionary array<binary>"))
+        gather, "lang string, weight int, size long, forward binary, backward binary, dictionary array<binary>"), large_rows=True)
 
 
 def _power(count: int, setting: Settings) -> int:

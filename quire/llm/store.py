@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 from quire.plans.session import bound_batches, checkpoint_folder
 
 
-def keep(df: DataFrame) -> DataFrame:
+#: For rows of megabytes. Parquet's writer looks at the size of what it holds after 100 rows only, and
+#: its reader takes all rows of a group at once.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+              "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def keep(df: DataFrame, large_rows: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs only the tasks that were running on it.
+    Cuts the lineage: a lost executor costs only the tasks that were running on it. ``large_rows``: rows may have
+    megabytes, so that a task holds a few of them at a time, however many it writes or reads.
     """
     spark, schema = df.sparkSession, df.schema
     bound_batches(spark)
     path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(LARGE_ROWS if large_rows else {})).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quire.llm import phrases, queries
+from quire.llm import phrases, queries, store
 
 
 def _plain(rows, least=30, best=2000):
@@ -141,3 +141,14 @@ def test_words_are_counted_and_marked_without_sorting(monkeypatch):
         mark = phrases._mark("de", listed)
     assert len(set(mark.tolist())) == 5 and (phrases._mark("de", listed[2:])[1:] == mark[3:]).all()
     assert (phrases._mark("fr", listed) != mark).all()
+
+
+def test_shards_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(store.LARGE_ROWS, "parquet.block.size", "1000")
+    docs = spark.createDataFrame([(f"l{k}", " ".join(f"w{k * n % 91}" for n in range(150))) for k in range(1, 40)],
+                                 "lang string, text string").coalesce(1)
+    shards = phrases.build(docs, phrases.Settings())
+    groups = sum(pq.ParquetFile(f.removeprefix("file:")).num_row_groups for f in shards.inputFiles())
+    assert groups == shards.count() > 10
